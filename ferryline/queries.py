@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables, each beside DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
