@@ -24,18 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm import words
-from ferryline.llm.shared import cut
+from ferryline.llm.shared import cut, keyed
 
 WINDOW = 50
 ANCHOR = 20
 _KEY = ["doc_id", "text_md5"]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_md5"), text.alias("text"))
-
-
 def _anchors(t: words.Texts, window: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of words, their texts, and for every window its start and anchor."""
     values, owner = t.word_hashes(), t.text_of_word()
@@ -124,8 +119,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of docs: doc_id, text_md5, n_words, words_sha256 (of all its words joined by a space), spans
     (array of {from, to} word positions to remove), n_removed, kept_text (null where nothing is removed)."""
     run = min(ANCHOR, window)
-    keyed = _keyed(docs, id_col, text_col)
-    profile = cut(keyed.mapInArrow(_profile(window, run), "doc_id long, text_md5 binary, n_words long, words_sha256 string, anchors array<bigint>"), "passages-profile")
+    rows = keyed(docs, id_col, text_col)
+    profile = cut(rows.mapInArrow(_profile(window, run), "doc_id long, text_md5 binary, n_words long, words_sha256 string, anchors array<bigint>"), "passages-profile")
     known = profile.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     rep = cut(known.groupBy("text_md5").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("text_md5", "rep"), "passages-copies")
     copies = known.select(*_KEY).join(rep, "text_md5").where("doc_id > rep").select(*_KEY).distinct()
@@ -136,11 +131,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.collect_set(F.when(F.col("low") < F.col("doc_id"), F.col("anchor"))).alias("asks"),
         F.collect_set(F.when(F.col("high") > F.col("doc_id"), F.col("anchor"))).alias("tells"),
     )
-    some = cut(keyed.where(F.col("doc_id").isNotNull()).join(lists, _KEY).dropDuplicates(_KEY), "passages-candidates")
-    rows = "hash long, anchor long, doc_id long, text_md5 binary, start int"
-    seen = some.where(F.size("tells") > 0).select(*_KEY, "text", "tells").mapInArrow(_windows(window, run, "tells"), rows)
+    some = cut(rows.where(F.col("doc_id").isNotNull()).join(lists, _KEY).dropDuplicates(_KEY), "passages-candidates")
+    row = "hash long, anchor long, doc_id long, text_md5 binary, start int"
+    seen = some.where(F.size("tells") > 0).select(*_KEY, "text", "tells").mapInArrow(_windows(window, run, "tells"), row)
     first_id = cut(seen.groupBy("hash", "anchor").agg(F.min("doc_id").alias("low")), "passages-windows")
-    asked = some.where(F.size("asks") > 0).select(*_KEY, "text", "asks").mapInArrow(_windows(window, run, "asks"), rows)
+    asked = some.where(F.size("asks") > 0).select(*_KEY, "text", "asks").mapInArrow(_windows(window, run, "asks"), row)
     starts = asked.join(first_id, ["hash", "anchor"]).where("low < doc_id").groupBy(*_KEY).agg(F.collect_list("start").alias("starts"))
     merged = some.select(*_KEY, "text").join(starts, _KEY).mapInArrow(_merge(window), "doc_id long, text_md5 binary, spans array<struct<from:int,to:int>>, n_removed long, kept_text string")
     gone = copies.select(*_KEY, F.lit(True).alias("copy"))

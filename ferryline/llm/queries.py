@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import passages
+from ferryline.llm import neardup, passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_shingles")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.repeated_passages(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept_text", 256), "words_sha256").alias("kept_sha256"))
@@ -30,5 +35,8 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n,
 from w left join kept using (doc_id)
 """
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+}
 ORACLES = {"op4_substring_dedup": OP4_SQL}
