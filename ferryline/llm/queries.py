@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferryline.llm import neardup, passages
+from ferryline.llm import quality as rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,53 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n,
 from w left join kept using (doc_id)
 """
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.quality(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("class_distance", 4).alias("class_distance"), F.round("word_distance", 4).alias("word_distance"),
+    )
+
+
+def _js(counts: str, ref: str) -> str:
+    """SQL for the Jensen-Shannon distance of two lists of counts."""
+    p, q = f"(x[1] / greatest(list_sum({counts}), 1))", f"(x[2] / list_sum({ref}))"
+    term = lambda a: f"(case when {a} > 0 then {a} * log2({a} / (({p} + {q}) / 2)) else 0 end)"
+    return f"sqrt(greatest(list_sum([{term(p)} + {term(q)} for x in list_zip({counts}, {ref})]) / 2, 0))"
+
+
+_COMMON = ", ".join(f"'{w}'" for w in rules.COMMON)
+OP5_SQL = rf"""
+with w as (select doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as h from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w)),
+rep as (select doc_id, unnest(range(i, i + 8)) as p from (select doc_id, i, count(*) over (partition by doc_id, h) as c from win) where c > 1),
+nrep as (select doc_id, count(distinct p) as n from rep group by doc_id),
+lines as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from w)
+          where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+f as (select w.doc_id, lang, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, length(regexp_replace(t, '[^0-9]', '', 'g')) as digits,
+        length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) as letters, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as upper_n, length(t) as chars,
+        coalesce(lines.n, 0) as n_dup_lines, coalesce(nrep.n, 0) as n_repeat_words,
+        [len(list_filter(ws, lambda x: lower(x) = c)) for c in [{_COMMON}]] as common
+      from w left join nrep using (doc_id) left join lines using (doc_id)),
+g as (select *, [letters - upper_n, upper_n, digits, chars - word_chars, n_symbols, word_chars - letters - digits - n_symbols] as classes,
+        list_append(common, n_words - list_sum(common)) as commons from f),
+r as (select lang, [{", ".join(f"sum(classes[{i + 1}])" for i in range(len(rules.CLASSES)))}] as rc,
+        [{", ".join(f"sum(commons[{i + 1}])" for i in range(len(rules.COMMON) + 1))}] as rw
+      from g where lang is not null and n_words >= {rules.WORD_MIN_WORDS} group by lang),
+d as (select doc_id, min({_js("classes", "rc")}) as cd, min({_js("commons", "rw")}) as wd from g left join r on true group by doc_id),
+j as (select g.*, case when n_words >= {rules.CLASS_MIN_WORDS} then cd end as cd, case when n_words >= {rules.WORD_MIN_WORDS} then wd end as wd,
+        n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words as base_failed from g join d using (doc_id))
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+       cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
+       not base_failed and not coalesce(cd > {rules.CLASS_LIMIT} or wd > {rules.WORD_LIMIT}, false) as kept,
+       round(cd, 4) as class_distance, round(wd, 4) as word_distance
+from j
+"""
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
 }
-ORACLES = {"op4_substring_dedup": OP4_SQL}
+ORACLES = {"op4_substring_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
