@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import neardup, passages
+from ferryline.llm import mixing, neardup, passages, shards, urls
 from ferryline.llm import quality as rules
 
 
@@ -18,6 +18,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_shingles")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), alpha=0.5, epochs=1.0)
+    return mixed.select("doc_id", "source", F.round("mix_rate", 6).alias("mix_rate"), "mix_copy", "mix_key")
+
+
+OP2_SQL = """
+with s as (select source, sum(strlen(coalesce(text, ''))) as b from documents group by source),
+w as (select source, b, case when b > 0 then pow(cast(b as double), 0.5) else 0.0 end as weight from s),
+t as (select cast(sum(cast(weight as decimal(38, 12))) as double) as w, cast(sum(b) as double) as b from w),
+r as (select source, weight / t.w * 1.0 * t.b / w.b as rate from w, t where w.b > 0),
+k as (select source, rate, unnest(range(0, cast(ceil(rate + 12 * sqrt(rate) + 40) as bigint) + 1)) as k from r where rate > 0),
+lp as (select source, rate, k, sum(case when k = 0 then -rate else ln(rate / k) end) over (partition by source order by k) as lp from k),
+c as (select source, k, sum(exp(lp)) over (partition by source order by k) as p from lp),
+u as (select doc_id, source, (cast(cast('0x' || substr(md5(concat_ws(':', doc_id, '0', 'copies')), 1, 13) as bigint) as double) + 0.5) / 4503599627370496.0 as u from documents),
+n as (select doc_id, u.source, count(*) as n from u join c on u.source is not distinct from c.source and c.p <= u.u group by doc_id, u.source),
+x as (select doc_id, source, unnest(range(0, n)) as mix_copy from n)
+select doc_id, x.source, round(rate, 6) as mix_rate, cast(mix_copy as integer) as mix_copy, md5(concat_ws(':', doc_id, mix_copy, '0')) as mix_key
+from x join r on x.source is not distinct from r.source
+"""
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.repeated_passages(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept_text", 256), "words_sha256").alias("kept_sha256"))
@@ -80,9 +101,64 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from j
 """
 
+def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(_table(spark, sf_dir, "documents"), weights=[1.0] * 8)
+
+
+OP7_SQL = """
+with tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(cast(i as ubigint), cast(range(8) as ubigint[])),
+         lambda c, k: case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as ubigint)) else c >> 1 end)) as t),
+b as (select doc_id, coalesce(text, '') as s, hex(encode(coalesce(text, ''))) as h from documents),
+crc as (select doc_id, strlen(s) + 1 as size, xor(list_reduce(list_prepend(cast(4294967295 as ubigint),
+         list_transform(range(1, len(h), 2), lambda i: cast(cast('0x' || h[i:i + 1] as bigint) as ubigint))),
+         lambda c, x: xor(t[cast(xor(c, x) & 255 as bigint) + 1], c >> 8)), cast(4294967295 as ubigint)) as crc from b, tab),
+d as (select doc_id, j, -ln((cast(cast('0x' || substr(md5(doc_id || ':' || j), 1, 13) as bigint) as double) + 0.5) / 4503599627370496.0) as d
+      from documents, (select unnest(range(9)) as j)),
+p as (select doc_id, cast(arg_min(j, d) filter (where j < 8) as integer) as shard, cast(arg_min(j, d) as integer) as grown_shard from d group by doc_id)
+select doc_id, cast(size as bigint) as size, cast(crc as bigint) as text_crc32, 'key' as law, shard,
+       row_number() over (partition by shard order by substr(md5(doc_id || ':slot'), 1, 3), doc_id, crc, size) - 1 as slot, grown_shard
+from crc join p using (doc_id)
+"""
+
+URL_RULES = [
+    urls.Rule("allow", "com", "/"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/"),
+]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _regex(glob: str) -> str:
+    return "".join({"*": "[\\s\\S]*", "?": "[\\s\\S]"}.get(c) or (c if c.isalnum() else "\\" + c) for c in glob)
+
+
+_URL_RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
+_URL_BLOCK = " or ".join(f"(regexp_full_match(host, '{_regex(h)}') and regexp_full_match(query, '{_regex(p)}'))" for h, p in urls.BLOCK_GLOBS)
+OP8_SQL = rf"""
+with r(verdict, h, p) as (values {_URL_RULES}),
+u as (select page_id, case when contains(url, '://') then url[position('://' in url) + 3:] else '' end as rest from pages),
+s as (select page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+        regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as query from u),
+f as (select page_id, arg_max(h || p, len(h || p)) as rule, arg_max(verdict, len(h || p)) as verdict
+      from s join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select page_id, host, path, rule, coalesce(verdict, case when host = '' or {_URL_BLOCK} then 'block' else 'allow' end) as verdict
+from s left join f using (page_id)
+"""
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_mix_sources": op2_mix_sources,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op8_url_filters": op8_url_filters,
+}
+ORACLES = {
+    "op2_mix_sources": OP2_SQL,
+    "op7_rendezvous_shards": OP7_SQL,
+    "op8_url_filters": OP8_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op5_quality_rules": OP5_SQL,
 }
-ORACLES = {"op4_substring_dedup": OP4_SQL, "op5_quality_rules": OP5_SQL}
