@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import mixing, neardup, passages, shards, urls
+from ferryline.llm import mixing, neardup, passages, shards, tokenfiles, urls
 from ferryline.llm import quality as rules
 
 
@@ -147,6 +149,20 @@ select page_id, host, path, rule, coalesce(verdict, case when host = '' or {_URL
 from s left join f using (page_id)
 """
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; FERRYLINE_TOKENIZERS names another folder."""
+    folder = os.environ.get("FERRYLINE_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.written(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -154,6 +170,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_url_filters": op8_url_filters,
+    "op10_token_files": op10_token_files,
 }
 ORACLES = {
     "op2_mix_sources": OP2_SQL,

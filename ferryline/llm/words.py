@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,20 +58,22 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 
 @dataclass
 class Texts:
-    """Some texts of a batch. Word i of the chunk is bytes data[start[i]:end[i]]; text t has words first[t]:first[t+1]."""
+    """Some texts of a batch. Word i of the chunk is bytes data[start[i]:end[i]]; text t has words
+    first[t]:first[t+1] and bytes edge[t]:edge[t+1]."""
 
     rows: slice
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    edge: np.ndarray
 
     @property
     def n_words(self) -> np.ndarray:
         return np.diff(self.first)
 
     def word_hashes(self) -> np.ndarray:
-        return spans_hash(_BYTE[self.data], self.start, self.end, WORD_BASE)
+        return spans_hash(BYTE_VALUES[self.data], self.start, self.end, WORD_BASE)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.n_words)
@@ -113,7 +115,7 @@ def texts(column: pa.Array) -> Iterator[Texts]:
         after[edge[edge > 0] - 1] = False
         start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after) + 1
-        yield Texts(slice(a, b), data, start, end, np.searchsorted(start, edge))
+        yield Texts(slice(a, b), data, start, end, np.searchsorted(start, edge), edge)
         a = b
 
 
