@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import mixing, neardup, passages, shards, tokenfiles, urls
+from ferryline.llm import langid, mixing, neardup, passages, shards, tokenfiles, urls
 from ferryline.llm import quality as rules
 
 
@@ -149,6 +149,16 @@ select page_id, host, path, rule, coalesce(verdict, case when host = '' or {_URL
 from s left join f using (page_id)
 """
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~held_out(F.col("doc_id")))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file; FERRYLINE_TOKENIZERS names another folder."""
     folder = os.environ.get("FERRYLINE_TOKENIZERS")
@@ -170,6 +180,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_url_filters": op8_url_filters,
+    "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 ORACLES = {
