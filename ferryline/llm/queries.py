@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import langid, mixing, neardup, passages, shards, tokenfiles, urls
+from ferryline.llm import langid, mixing, neardup, passages, pieces, shards, tokenfiles, urls
 from ferryline.llm import quality as rules
 
 
@@ -41,6 +41,16 @@ from x join r on x.source is not distinct from r.source
 """
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    coded = pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    read = pieces.decoded(coded, model)
+    return read.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_xxhash64"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.repeated_passages(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept_text", 256), "words_sha256").alias("kept_sha256"))
@@ -176,6 +186,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_rendezvous_shards": op7_rendezvous_shards,
