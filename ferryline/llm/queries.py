@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import langid, mixing, neardup, passages, pieces, shards, tokenfiles, urls
+from ferryline.llm import langid, mixing, neardup, passages, pieces, shards, tokenfiles, topk, urls
 from ferryline.llm import quality as rules
 
 
@@ -113,6 +113,20 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from j
 """
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+OP6_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) as bigint) as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from p)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(_table(spark, sf_dir, "documents"), weights=[1.0] * 8)
 
@@ -189,6 +203,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op8_url_filters": op8_url_filters,
     "op9_language_id": op9_language_id,
@@ -196,6 +211,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mix_sources": OP2_SQL,
+    "op6_exact_top_k": OP6_SQL,
     "op7_rendezvous_shards": OP7_SQL,
     "op8_url_filters": OP8_SQL,
     "op4_substring_dedup": OP4_SQL,
