@@ -11,7 +11,7 @@ octave that w only partly covers counts if its level is below w. Two signatures
 equal to the weighted Jaccard similarity.
 
 128 components in 32 bands of 4: a pair at 0.8 shares no band with probability 5e-8. Within a band bucket no pairs are
-listed: every member is checked against the bucket's smallest id (star). What the stars leave open is settled exactly:
+listed: every text is checked against the smallest id of its buckets (star). What the stars leave open is settled exactly:
 a prefix filter (ordered by absence from the cluster's smallest text) names the texts that can still have a link to
 another class, and those are compared in blocks of bounded size.
 
@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 SHINGLE = 5
 COMPONENTS = 128
 ROWS_PER_BAND = 4
-BLOCK_ELEMENTS = 16_384
+BLOCK_ELEMENTS = 8_192
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -177,6 +177,16 @@ def _compare(threshold: float):
     return scan
 
 
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, label): the end of each node's chain of parents (a < b, one a for each b), by pointer jumps."""
+    labels = parents.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    while True:
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        labels = cut(labels.select("node", "label").join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "roots")
+        if labels.where("moved").isEmpty():
+            return labels.select("node", "label")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each node's connected component, by least labels and pointer jumps."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -190,15 +200,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def _at_roots(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges between different labels; a node without a label is its own."""
+    one = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").select("b", F.coalesce("x", "a").alias("a"))
+    both = one.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
+    return cut(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "between")
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after edges have tied some labels together."""
+    between = _at_roots(edges, labels)
+    if between.isEmpty():
+        return labels
+    tied = components(between)
+    own = labels.join(tied.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return cut(own.unionByName(tied.where("node <> label")).groupBy("node").agg(F.min("label").alias("label")), "tied")
+
+
+def _pairs_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of a text's first pivot and its others, within the task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        others, first = batch.column("pivots"), batch.column("a").to_numpy()
+        size = np.diff(others.offsets.to_numpy())
+        pairs = np.unique(np.stack([np.repeat(first, size), others.flatten().to_numpy()], axis=1), axis=0)
+        fresh = [p for p in map(tuple, pairs[pairs[:, 0] < pairs[:, 1]].tolist()) if p not in seen]
+        seen.update(fresh)
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"])
+        if len(seen) > 1_000_000:
+            seen.clear()
+
+
 def _links(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
     left = elements.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     right = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     return pairs.join(right, "b").join(left, "a").mapInArrow(_check(threshold), "a long, b long")
 
 
-def _rest(star: DataFrame, links: DataFrame, comp: DataFrame, elements: DataFrame, threshold: float) -> DataFrame | None:
+def _rest(star: DataFrame, comp: DataFrame, elements: DataFrame, threshold: float) -> DataFrame | None:
     """Links between texts of one cluster (connected through shared bands) that the stars left in different components."""
-    cluster = components(star).withColumnRenamed("label", "cluster")
+    cluster = _joined(roots(star), star.select("a", "pivots").mapInArrow(_pairs_once, "a long, b long")).withColumnRenamed("label", "cluster")
+    cluster = cluster.unionByName(cluster.select(F.col("cluster").alias("node"), "cluster")).distinct()
     nodes = cut(cluster.join(comp, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("comp")), "nodes")
     by_comp = nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     split = cut(by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "main"), "split")
@@ -229,17 +271,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = usable.join(nodes, ["doc_id", "text_md5"]).dropDuplicates(["doc_id"])
     banded = firsts.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("band", "a"), "buckets")
-    star = cut(banded.join(buckets, "band").where("a < b").select("a", "b").distinct(), "star")
+    star = cut(banded.join(buckets, "band").where("a < b").groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("pivots")), "star")
     found = None
     if not star.isEmpty():
         members = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct().join(nodes, "doc_id")
         texts = rows.join(members, ["doc_id", "text_md5"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
         elements = cut(texts.mapInArrow(_elements(shingle), "node long, elements array<bigint>"), "elements")
-        links = cut(_links(star, elements, threshold), "links")
-        found = components(links)
-        more = _rest(star, links, found, elements, threshold)
+        found = roots(cut(_links(star.select("a", "b"), elements, threshold), "links"))
+        more = _rest(star, found, elements, threshold)
         if more is not None and not more.isEmpty():
-            found = components(links.unionByName(more))
+            found = _joined(found, more)
     out = signed.select("doc_id", "text_md5", "n").join(equal, "text_md5", "left")
     if found is not None:
         out = out.join(found, "node", "left")
