@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferryline.llm import langid, mixing, neardup, passages, pieces, shards, tokenfiles, topk, urls
 from ferryline.llm import quality as rules
+from ferryline.llm.shared import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -183,16 +182,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-def tokenizer_path(name: str) -> str:
-    """Place of a public tokenizer's file; FERRYLINE_TOKENIZERS names another folder."""
-    folder = os.environ.get("FERRYLINE_TOKENIZERS")
-    if folder:
-        return f"{folder}/{name}"
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.written(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -27,7 +28,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch between Spark and Python: rows here are whole texts or packed blocks.
+BATCH_ROWS = 512
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS, so that a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_md5 and text of each row; the first two name a text even where ids repeat."""
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_md5"), text.alias("text"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; FERRYLINE_TOKENIZERS names another folder."""
+    folder = os.environ.get("FERRYLINE_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
