@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm import words
+from ferryline.llm.shared import bounded_batches
 from ferryline.llm.tokenfiles import gather
 
 MARK = "▁"
@@ -295,6 +296,7 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
 
 def encoded(docs: DataFrame, pieces: Pieces, text_col: str = "text", into: str = "piece_ids") -> DataFrame:
     """docs with the column `into`, array<int>, of each text's piece ids."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,6 +313,7 @@ def encoded(docs: DataFrame, pieces: Pieces, text_col: str = "text", into: str =
 
 def decoded(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", into: str = "decoded") -> DataFrame:
     """rows with the column `into`, the text of each list of piece ids."""
+    bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferryline.llm import words
-from ferryline.llm.shared import new_path
+from ferryline.llm.shared import bounded_batches, new_path
 
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
@@ -168,6 +168,7 @@ def _encode(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Write doc_id, n_tokens, ids, part and pos (place in the part) in ascending id order; parts follow each other."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     coded = dealt.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n_tokens long, ids array<int>")
@@ -191,6 +192,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_rows(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each row, from the files. Sums per part are as many rows as parts."""
+    bounded_batches(spark)
     read = tokens(spark, path)
     rows = read.select("doc_id", "part", "pos", "ids").mapInArrow(_crc, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferryline.llm.shared import cut
+from ferryline.llm.shared import bounded_batches, cut
 
-SAMPLE, PIVOTS, BLOCK, PACK = 4096, 64, 1024, 256
+SAMPLE, PIVOTS = 4096, 64
+#: Components of a block of rows; a pack of queries has half as many.
+BLOCK_VALUES = 1 << 15
 
 
 def integers(vector: Column, scale: int) -> Column:
@@ -48,6 +50,8 @@ class Space:
     def __init__(self, ids: np.ndarray, sample: np.ndarray, dims: int, longest: int, largest: int):
         self.dims, self.longest = dims, longest
         self.kind = np.float64 if dims * largest * largest < 2**53 else np.int64
+        self.stored = "<i4" if largest < 2**31 else "<i8"
+        self.block = min(max(BLOCK_VALUES // dims, 16), 512)
         order = np.argsort(ids, kind="stable")
         self.ids, self.sample = ids[order], sample[order].astype(self.kind)
         far, chosen, points = None, [0], self.lengthened(self.sample)
@@ -98,17 +102,17 @@ def _key(space_of):
 
 
 def _annuli(space_of):
-    """Runs of up to BLOCK sorted rows of one pivot."""
+    """Runs of sorted rows of one pivot."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = space_of.value
         for batch in batches:
             pivot, dist, ids = (batch.column(c).to_numpy() for c in ("pivot", "dist", "vec_id"))
-            v = space.matrix(batch.column("v")).astype("<i8")
+            v = space.matrix(batch.column("v")).astype(space.stored)
             edges = np.flatnonzero(np.diff(pivot, prepend=-1, append=-1))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for i in range(a, b, BLOCK):
-                    j = min(i + BLOCK, b)
+                for i in range(a, b, space.block):
+                    j = min(i + space.block, b)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(pivot[i : i + 1]), pa.array([dist[i:j].min()]), pa.array([dist[i:j].max()]), pa.array([ids[i:j].tolist()], pa.list_(pa.int64())), pa.array([v[i:j].tobytes()], pa.binary())],
                         names=["pivot", "lo", "hi", "ids", "rows"],
@@ -123,8 +127,8 @@ def _packs(space_of, k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = space_of.value
         for whole in batches:
-            for a in range(0, len(whole), PACK):
-                batch = whole.slice(a, PACK)
+            for a in range(0, len(whole), space.block // 2):
+                batch = whole.slice(a, space.block // 2)
                 ids, v = batch.column("vec_id").to_numpy(), space.matrix(batch.column("v"))
                 score = np.full(len(ids), -np.inf)
                 last = np.full(len(ids), np.iinfo(np.int64).max)
@@ -138,7 +142,7 @@ def _packs(space_of, k: int):
                         last = np.where(np.isfinite(score), space.ids[at], last)
                 homes = np.unique(space.query_distances(v).argmin(axis=1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(ids[0])]), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([v.astype("<i8").tobytes()], pa.binary()), pa.array([score.tolist()], pa.list_(pa.float64())), pa.array([last.tolist()], pa.list_(pa.int64())), pa.array([homes.tolist()], pa.list_(pa.int32()))],
+                    [pa.array([int(ids[0])]), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([v.astype(space.stored).tobytes()], pa.binary()), pa.array([score.tolist()], pa.list_(pa.float64())), pa.array([last.tolist()], pa.list_(pa.int64())), pa.array([homes.tolist()], pa.list_(pa.int32()))],
                     names=["pack", "qids", "queries", "score", "last", "homes"],
                 )
 
@@ -152,7 +156,7 @@ def _reach(space_of, home: bool):
         space = space_of.value
         for batch in batches:
             for i in range(len(batch)):
-                v = np.frombuffer(batch.column("queries")[i].as_py(), dtype="<i8").reshape(-1, space.dims)
+                v = np.frombuffer(batch.column("queries")[i].as_py(), dtype=space.stored).reshape(-1, space.dims)
                 score = np.array(batch.column("score")[i].as_py(), dtype=np.float64)
                 d, r = space.query_distances(v), space.radius(v, score)
                 near, far = (d - r[:, None]).min(axis=0), (d + r[:, None]).max(axis=0)
@@ -172,8 +176,8 @@ def _match(space_of, k: int):
         for batch in batches:
             for i in range(len(batch)):
                 take = lambda c: batch.column(c)[i]  # noqa: E731, B023
-                q = np.frombuffer(take("queries").as_py(), dtype="<i8").reshape(-1, space.dims).astype(space.kind)
-                v = np.frombuffer(take("rows").as_py(), dtype="<i8").reshape(-1, space.dims).astype(space.kind)
+                q = np.frombuffer(take("queries").as_py(), dtype=space.stored).reshape(-1, space.dims).astype(space.kind)
+                v = np.frombuffer(take("rows").as_py(), dtype=space.stored).reshape(-1, space.dims).astype(space.kind)
                 qids, ids = take("qids").values.to_numpy(), take("ids").values.to_numpy()
                 least, last = take("score").values.to_numpy(), take("last").values.to_numpy()
                 s = q @ v.T
@@ -208,6 +212,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     is_query is a condition on the column vec_id."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     rows = cut(clean(vectors, id_col, vector_col, scale), "vectors")
     squares = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
     size = rows.agg(F.max(F.size("v")).alias("dims"), F.max(squares).alias("longest"), F.max(F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0))).alias("largest")).first()
