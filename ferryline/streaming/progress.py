@@ -67,7 +67,7 @@ class Throttle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "t double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         for pdf in rows:
             pdf = pdf.sort_values(["ts", "event_id"])
@@ -101,7 +101,7 @@ class Stall(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", "t long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         newest = max((int(pdf["ts"].max().timestamp() * 1000) for pdf in rows), default=None)
         if newest is not None:
             for t in list(self.handle.listTimers()):
@@ -112,7 +112,7 @@ class Stall(StatefulProcessor):
             self.handle.registerTimer(newest + self.ms)
         yield from ()
 
-    def handleExpiredTimer(self, key: Any, timer_values: Any, expired: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         seen = pd.to_datetime([self.seen.get()[0]], unit="ms", utc=True)
         yield pd.DataFrame({"table_name": [key[0]], "partition_key": [key[1]], "last_seen": seen})
 
