@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferryline.llm.shared import cut, fresh_names
 from ferryline.llm.shards import uniform
-from ferryline.llm.shared import cut
 
 #: Up to so many sources the rates are broadcast; beyond that they are joined over salted keys.
 BROADCAST_SOURCES = 10_000
@@ -55,17 +55,20 @@ def mix(
     docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 0,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """The columns of docs with `mix_rate`, `mix_copy` (from 0) and `mix_key`, sorted by the key."""
-    rates = source_rates(docs, targets, alpha, epochs, source_col, text_col).select(F.col("source").alias("_source"), F.col("rate").alias("mix_rate"), "table")
+    """The columns of docs with `mix_rate`, `mix_copy` (from 0) and `mix_key`, sorted by the key; these three replace
+    columns of the same names."""
+    docs = docs.drop("mix_rate", "mix_copy", "mix_key")
+    src, table, salt, own, n = fresh_names(docs, "source", "table", "salt", "own", "n")
+    rates = source_rates(docs, targets, alpha, epochs, source_col, text_col).select(F.col("source").alias(src), F.col("rate").alias("mix_rate"), F.col("table").alias(table))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    same = F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
+    same = F.col(source_col).cast("string").eqNullSafe(F.col(src))
     if few:
         joined = docs.join(F.broadcast(rates), same)
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_row", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_row") == F.col("_salt")))
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = docs.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(own) == F.col(salt)))
     draw = uniform(F.col(id_col), str(seed), "copies")
-    copies = F.size(F.filter("table", lambda p: p <= draw))
-    drawn = joined.withColumn("_n", copies).where("_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = drawn.withColumn("mix_key", F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mix_copy", F.lit(str(seed)))))
-    return keyed.select(*docs.columns, "mix_rate", "mix_copy", "mix_key").orderBy("mix_key")
+    copies = F.size(F.filter(table, lambda p: p <= draw))
+    drawn = joined.withColumn(n, copies).where(F.col(n) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    keys = drawn.withColumn("mix_key", F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mix_copy", F.lit(str(seed)))))
+    return keys.select(*docs.columns, "mix_rate", "mix_copy", "mix_key").orderBy("mix_key")

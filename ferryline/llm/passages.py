@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm import words
-from ferryline.llm.shared import cut, keyed
+from ferryline.llm.shared import cut, fresh_names, keyed
 
 WINDOW = 50
 ANCHOR = 20
@@ -151,8 +151,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the repeated passages cut out of text_col; documents left without words go. Other texts stay as they are."""
-    found = repeated_passages(docs, id_col, text_col, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_md5"])
+    key, md5, kept, own = fresh_names(docs, "id", "md5", "kept", "own")
+    changed = repeated_passages(docs, id_col, text_col, window).where("n_removed > 0")
+    found = changed.select(F.col("doc_id").alias(key), F.col("text_md5").alias(md5), F.col("kept_text").alias(kept)).dropDuplicates([key, md5])
     text = F.col(text_col).cast("string")
-    left = docs.withColumn("_hash", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
-    out = left.join(found, (F.col(id_col) == F.col("_id")) & (F.col("_hash") == F.col("_md5")), "left").where(F.col("_kept").isNull() | (F.col("_kept") != ""))
-    return out.withColumn(text_col, F.coalesce("_kept", text)).select(*docs.columns)
+    rows = docs.withColumn(own, F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    out = rows.join(found, (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(md5)), "left").where(F.col(kept).isNull() | (F.col(kept) != ""))
+    return out.withColumn(text_col, F.coalesce(kept, text)).select(*docs.columns)

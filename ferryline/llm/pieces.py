@@ -295,8 +295,9 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
 
 
 def encoded(docs: DataFrame, pieces: Pieces, text_col: str = "text", into: str = "piece_ids") -> DataFrame:
-    """docs with the column `into`, array<int>, of each text's piece ids."""
+    """docs with the column `into`, array<int>, of each text's piece ids; it replaces a column of that name."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop(into)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the vocabulary
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,8 +313,9 @@ def encoded(docs: DataFrame, pieces: Pieces, text_col: str = "text", into: str =
 
 
 def decoded(rows: DataFrame, pieces: Pieces, ids_col: str = "piece_ids", into: str = "decoded") -> DataFrame:
-    """rows with the column `into`, the text of each list of piece ids."""
+    """rows with the column `into`, the text of each list of piece ids; it replaces a column of that name."""
     bounded_batches(rows.sparkSession)
+    rows = rows.drop(into)
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.llm.shared import cut
+from ferryline.llm.shared import cut, fresh_names
 
 SPACE = r"[\x20\x09-\x0D]+"
 REPEAT_WINDOW = 8
@@ -148,6 +148,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, judged where they are: no row moves."""
     refs = references(cut(features(docs, id_col, text_col, lang_col), "quality"))
-    whole = F.struct(*docs.columns)
-    rows = features(docs.withColumn("_row", whole), id_col, text_col, lang_col, carry=["_row"])
-    return judge(rows, refs).where("kept").select("_row.*")
+    (row,) = fresh_names(docs, "row")
+    rows = features(docs.withColumn(row, F.struct(*docs.columns)), id_col, text_col, lang_col, carry=[row])
+    return judge(rows, refs).where("kept").select(f"{row}.*")

@@ -28,6 +28,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores in front, as many as keep them apart from the columns of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 #: Rows of an Arrow batch between Spark and Python: rows here are whole texts or packed blocks.
 BATCH_ROWS = 512
 
