@@ -10,10 +10,13 @@ values are the earliest times owned. Points come in time order and stop at the l
 octave that w only partly covers counts if its level is below w. Two signatures agree in a component with probability
 equal to the weighted Jaccard similarity.
 
-128 components in 32 bands of 4: a pair at 0.8 shares no band with probability 5e-8. Within a band bucket no pairs are
-listed: every text is checked against the smallest id of its buckets (star). What the stars leave open is settled exactly:
-a prefix filter (ordered by absence from the cluster's smallest text) names the texts that can still have a link to
-another class, and those are compared in blocks of bounded size.
+252 of 256 components make 42 bands of 6: a pair at 0.8 shares no band with probability 3e-6, one at 0.4 shares one with
+probability 0.16. Within a band bucket no pairs are
+listed: every text is checked against the most central text of its buckets, the one with the largest buckets in all (star). What the stars leave open is settled exactly. Each text of a cluster is compared with the
+cluster's pivot: x lacks `gone` of its elements and has `fresh` others. A link between x and y of
+different components needs a fresh element of both within their prefixes, or else counts that allow it,
+(1 + t) min(gone) >= gone + gone' + t (fresh + fresh') - (1 - t) |pivot|. Texts for which neither holds are done; the few
+others are compared in blocks of bounded size.
 
 Defined results: null ids, null texts and texts without words are classes of their own (class_id = doc_id); class_id is
 the smallest id of the class; of several texts under one id the one with the smallest MD5 stands for it.
@@ -29,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm import words
-from ferryline.llm.shared import cut, keyed
+from ferryline.llm.shared import cut, fresh_names, keyed
 
 THRESHOLD = 0.8
 SHINGLE = 5
-COMPONENTS = 128
-ROWS_PER_BAND = 4
-BLOCK_ELEMENTS = 8_192
+COMPONENTS = 256
+ROWS_PER_BAND = 6
+BLOCK_ELEMENTS = 32_768
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -79,7 +82,8 @@ def signatures(h: np.ndarray, who: np.ndarray, weight: np.ndarray, n_texts: int,
 
 
 def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
-    parts = sig.view(np.uint64).reshape(len(sig), -1, rows)
+    n = sig.shape[1] // rows
+    parts = np.ascontiguousarray(sig[:, : n * rows]).view(np.uint64).reshape(len(sig), n, rows)
     key = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), parts.shape[:2])
     for r in range(rows):
         key = words.mix(key * np.uint64(_STEP) + parts[:, :, r])
@@ -134,26 +138,73 @@ def _check(threshold: float):
     return scan
 
 
-def _prefixes(threshold: float):
-    """Elements of a text that any text of similarity threshold must share one of, those absent from the pivot first."""
+def _against_pivot(threshold: float):
+    """How a text differs from its cluster's pivot: elements gone and fresh, and the fresh part of its prefix.
+
+    A prefix is what any text of similarity threshold must share one element of, fresh elements first, then by hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, count = [], []
+            out: dict[str, list] = {c: [] for c in ("gone", "fresh", "pivot_size", "bounded", "prefix")}
             for e, p in zip(batch.column("elements"), batch.column("pivot_elements"), strict=True):
-                e = e.values.to_numpy()
-                known = np.isin(e, p.values.to_numpy(), assume_unique=True)
+                e, p = e.values.to_numpy(), p.values.to_numpy()
+                new = e[~np.isin(e, p, assume_unique=True)]
                 size = len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1
-                out.append(np.concatenate([e[~known], e[known]])[:size])
-                count.append(len(out[-1]))
-            row = pa.array(np.repeat(np.arange(len(count)), count))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("cluster", "node", "comp")), pa.array(np.concatenate(out) if out else [], pa.int64())], names=["cluster", "node", "comp", "element"])
+                for c, v in zip(out, (len(p) - (len(e) - len(new)), len(new), len(p), len(new) < size, new[:size]), strict=True):
+                    out[c].append(v)
+            kinds = {"bounded": pa.bool_(), "prefix": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "node", "comp")), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())], names=["cluster", "node", "comp", *out])
 
     return scan
 
 
+def overlaps(node: np.ndarray, e: np.ndarray, of: np.ndarray, node2: np.ndarray, e2: np.ndarray, of2: np.ndarray) -> np.ndarray:
+    """Shared elements of each text on the left with each on the right: frequent elements by a matrix product, the rest by counting."""
+    both = np.zeros((len(node), len(node2)), dtype=np.int64)
+    shared = np.intersect1d(e, e2)
+    keep, keep2 = np.isin(e, shared), np.isin(e2, shared)
+    c, c2 = np.searchsorted(shared, e[keep]), np.searchsorted(shared, e2[keep2])
+    of, of2 = of[keep], of2[keep2]
+    n, n2 = np.bincount(c, minlength=len(shared)), np.bincount(c2, minlength=len(shared))
+    many = np.flatnonzero(n * n2 > 64)
+    column = np.full(len(shared), -1)
+    for at in range(0, len(many), 1024):
+        column[:] = -1
+        column[many[at : at + 1024]] = np.arange(len(many[at : at + 1024]))
+        x, y = np.zeros((len(node), 1024), np.float32), np.zeros((len(node2), 1024), np.float32)
+        x[of[column[c] >= 0], column[c[column[c] >= 0]]] = 1
+        y[of2[column[c2] >= 0], column[c2[column[c2] >= 0]]] = 1
+        both += np.rint(x @ y.T).astype(np.int64)
+    few = n * n2 <= 64
+    c, of, c2, of2 = c[few[c]], of[few[c]], c2[few[c2]], of2[few[c2]]
+    order = np.argsort(c2)
+    c2, of2 = c2[order], of2[order]
+    lo = np.searchsorted(c2, c, "left")
+    m = np.searchsorted(c2, c, "right") - lo
+    at = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
+    return both + np.bincount(np.repeat(of, m) * len(node2) + of2[at], minlength=both.size).reshape(both.shape)
+
+
+def _uniting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of pairs that connect what the pairs before them did not: the others add nothing to the components."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[x] = y
+            out.append(i)
+    return np.array(out, dtype=np.int64)
+
+
 def _compare(threshold: float):
-    """Links between texts of different components in two blocks; co-occurrences are counted, not listed."""
+    """Links between texts of different components in two blocks, as many as connect all that are linked."""
 
     def flat(block: pa.Array) -> tuple[np.ndarray, ...]:
         lists = block.field("elements")
@@ -165,20 +216,17 @@ def _compare(threshold: float):
             for i in range(len(batch)):
                 node, comp, size, e, of = flat(batch.column("left")[i].values)
                 node2, comp2, size2, e2, of2 = flat(batch.column("right")[i].values)
-                order = np.argsort(e2)
-                e2, of2 = e2[order], of2[order]
-                lo, hi = np.searchsorted(e2, e, "left"), np.searchsorted(e2, e, "right")
-                n = hi - lo
-                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                both = np.bincount(np.repeat(of, n) * len(node2) + of2[at], minlength=len(node) * len(node2)).reshape(len(node), -1)
+                both = overlaps(node, e, of, node2, e2, of2)
                 a, b = np.nonzero((both >= threshold * (size[:, None] + size2[None, :] - both)) & (comp[:, None] != comp2[None, :]))
+                keep = _uniting(comp[a], comp2[b])
+                a, b = a[keep], b[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(node2[b], pa.int64())], names=["a", "b"])
 
     return scan
 
 
 def roots(parents: DataFrame) -> DataFrame:
-    """(node, label): the end of each node's chain of parents (a < b, one a for each b), by pointer jumps."""
+    """(node, label): the end of each node's chain of parents (one a for each b, no cycles), by pointer jumps."""
     labels = parents.select(F.col("b").alias("node"), F.col("a").alias("label"))
     while True:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
@@ -224,7 +272,7 @@ def _pairs_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others, first = batch.column("pivots"), batch.column("a").to_numpy()
         size = np.diff(others.offsets.to_numpy())
         pairs = np.unique(np.stack([np.repeat(first, size), others.flatten().to_numpy()], axis=1), axis=0)
-        fresh = [p for p in map(tuple, pairs[pairs[:, 0] < pairs[:, 1]].tolist()) if p not in seen]
+        fresh = [p for p in map(tuple, pairs[pairs[:, 0] != pairs[:, 1]].tolist()) if p not in seen]
         seen.update(fresh)
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], names=["a", "b"])
         if len(seen) > 1_000_000:
@@ -248,9 +296,18 @@ def _rest(star: DataFrame, comp: DataFrame, elements: DataFrame, threshold: floa
         return None
     some = nodes.join(split, "cluster").join(elements, "node")
     pivot = elements.select(F.col("node").alias("cluster"), F.col("elements").alias("pivot_elements"))
-    prefix = cut(some.join(pivot, "cluster").mapInArrow(_prefixes(threshold), "cluster long, node long, comp long, element long"), "prefix")
-    mixed = cut(prefix.groupBy("cluster", "element").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cluster", "element"), "mixed")
-    live = cut(prefix.join(mixed, ["cluster", "element"]).select("cluster", "node", "comp").distinct(), "live")
+    shaped = cut(some.join(pivot, "cluster").mapInArrow(_against_pivot(threshold), "cluster long, node long, comp long, gone long, fresh long, pivot_size long, bounded boolean, prefix array<bigint>"), "shaped")
+    # Texts that share a fresh element with another component,
+    fresh = shaped.select("cluster", "node", "comp", F.explode("prefix").alias("element"))
+    mixed = cut(fresh.groupBy("cluster", "element").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cluster", "element"), "mixed")
+    sharing = fresh.join(mixed, ["cluster", "element"]).select("cluster", "node", "comp")
+    # and texts whose counts alone allow a link that shares none: at most min(gone, gone) elements are gone from both.
+    classes = cut(shaped.where("bounded").groupBy("cluster", "gone", "fresh", "pivot_size").agg(F.min("comp").alias("x"), F.max("comp").alias("y")), "classes")
+    other = classes.select("cluster", F.col("gone").alias("gone2"), F.col("fresh").alias("fresh2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    may = (1 + threshold) * F.least("gone", "gone2") + 1e-6 >= (threshold - 1) * F.col("pivot_size") + F.col("gone") + F.col("gone2") + threshold * (F.col("fresh") + F.col("fresh2"))
+    able = classes.join(other, (classes["cluster"] == other["cluster"]) & (F.least("x", "x2") < F.greatest("y", "y2")) & may, "left_semi").select("cluster", "gone", "fresh")
+    counted = shaped.where("bounded").join(cut(able, "able"), ["cluster", "gone", "fresh"]).select("cluster", "node", "comp")
+    live = cut(sharing.unionByName(counted).distinct(), "live")
     sized = cut(live.join(elements, "node").join(split, "cluster"), "sized")
     count = cut(sized.groupBy("cluster").agg(F.ceil(F.sum(F.size("elements")) / BLOCK_ELEMENTS).cast("int").alias("blocks")), "blocks")
     dealt = sized.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -270,11 +327,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(equal.groupBy(F.col("node").alias("doc_id")).agg(F.min("text_md5").alias("text_md5")), "nodes")
     firsts = usable.join(nodes, ["doc_id", "text_md5"]).dropDuplicates(["doc_id"])
     banded = firsts.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
-    buckets = cut(banded.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("band", "a"), "buckets")
-    star = cut(banded.join(buckets, "band").where("a < b").groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("pivots")), "star")
+    buckets = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    inside = cut(banded.join(buckets, "band"), "inside")
+    central = cut(inside.groupBy("b").agg(F.sum("n").alias("s")), "central")
+    ranked = inside.select("b", "band").join(central, "b").select("band", "b", F.struct("s", (-F.col("b")).alias("z")).alias("rank"))
+    pivots = cut(ranked.groupBy("band").agg(F.max("rank").alias("top")), "pivots")
+    best = F.max("top")
+    star = cut(inside.select("b", "band").join(pivots, "band").groupBy("b").agg(best.alias("top"), F.collect_set(-F.col("top.z")).alias("pivots")).select("b", (-F.col("top.z")).alias("a"), "pivots").where("a <> b"), "star")
     found = None
     if not star.isEmpty():
-        members = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct().join(nodes, "doc_id")
+        members = central.select(F.col("b").alias("doc_id")).join(nodes, "doc_id")
         texts = rows.join(members, ["doc_id", "text_md5"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
         elements = cut(texts.mapInArrow(_elements(shingle), "node long, elements array<bigint>"), "elements")
         found = roots(cut(_links(star.select("a", "b"), elements, threshold), "links"))
@@ -283,7 +345,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = _joined(found, more)
     out = signed.select("doc_id", "text_md5", "n").join(equal, "text_md5", "left")
     if found is not None:
-        out = out.join(found, "node", "left")
+        least = found.groupBy("label").agg(F.least(F.min("node"), F.col("label")).alias("first"))
+        own = found.select("node", "label").unionByName(found.select(F.col("label").alias("node"), "label")).distinct()
+        out = out.join(own.join(least, "label").select("node", F.col("first").alias("label")), "node", "left")
     else:
         out = out.withColumn("label", F.lit(None).cast("long"))
     return out.select("doc_id", "text_md5", F.when(F.col("n") > 0, F.coalesce("label", "node", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
@@ -291,6 +355,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that have no near-duplicate of a smaller id; rows under one id stay or go together."""
-    found = near_duplicates(docs, id_col, text_col, threshold, shingle).where("class_id < doc_id").select("doc_id").distinct()
-    rest = docs.join(found, F.col(id_col) == F.col("doc_id"), "left_anti") if id_col != "doc_id" else docs.join(found, "doc_id", "left_anti")
-    return rest.select(*docs.columns)
+    (key,) = fresh_names(docs, "id")
+    found = near_duplicates(docs, id_col, text_col, threshold, shingle).where("class_id < doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(found, F.col(id_col) == F.col(key), "left_anti").select(*docs.columns)
