@@ -67,25 +67,24 @@ def dependency_levels(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.dependency_levels(counts.select("node"), edges).join(counts, "node").select("node", "level", "n_rows")
 
 
-@query("dependency_levels_replies", "select cast(conv_id as varchar) || ':' || turn as node, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as level from conversations qualify count(*) over (partition by conv_id, turn) = 1 and max(turn) over (partition by conv_id) + 1 = count(*) over (partition by conv_id) and max(turn) over (partition by conv_id) < 12")
+@query("dependency_levels_replies", """
+with t as (select distinct conv_id, turn from conversations),
+g as (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) as run from t)
+select conv_id || ':' || turn as node, cast(least(row_number() over (partition by conv_id, run order by turn) - 1, 64) as integer) as level from g""")
 def dependency_levels_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Levels over reply chains: each turn refers to the one before; conversations without gaps or repeats, up to 12 turns."""
-    turns = table(spark, d, "conversations")
-    whole = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("turn").alias("u"), F.max("turn").alias("m")).where("n = u and m + 1 = n and m < 12").select("conv_id")
-    rows = turns.join(whole, "conv_id").select(F.concat_ws(":", "conv_id", "turn").alias("node"), F.when(F.col("turn") > 0, F.concat_ws(":", "conv_id", F.col("turn") - 1)).alias("parent"))
-    return hierarchy.dependency_levels(rows.select("node"), rows.where("parent is not null"), 16)
+    """Levels over reply chains: each turn refers to the one before, if it is there; 64 levels at most."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    node = lambda turn: F.concat_ws(":", "conv_id", turn)
+    return hierarchy.dependency_levels(turns.select(node("turn").alias("node")), turns.select(node("turn").alias("node"), node(F.col("turn") - 1).alias("parent")), 64)
 
 
-_CHAIN = "e as (select distinct conv_id * 1000 + turn as node, case when turn > 0 then conv_id * 1000 + turn - 1 end as parent from conversations where turn < 1000)"
-
-
-@query("hierarchy", f"""with recursive {_CHAIN},
-w(node, level, path) as (select node, 1, cast(node as varchar) from e where parent is null union all select e.node, w.level + 1, w.path || '/' || e.node from e join w on e.parent = w.node)
+@query("hierarchy", """
+with recursive e as (select distinct conv_id || ':' || turn as node, case when turn > 0 then conv_id || ':' || (turn - 1) end as parent from conversations),
+w(node, level, path) as (select node, 1, node from e where parent is null union all select e.node, w.level + 1, w.path || '/' || e.node from e join w on e.parent = w.node)
 select node, level, path, node not in (select parent from e where parent is not null) as is_leaf from w""")
 def hierarchy_query(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").where("turn < 1000")
-    node = F.col("conv_id") * 1000 + F.col("turn")
-    edges = turns.select(node.alias("node"), F.when(F.col("turn") > 0, node - 1).alias("parent")).distinct()
+    node = lambda turn: F.concat_ws(":", "conv_id", turn)
+    edges = table(spark, d, "conversations").select(node("turn").alias("node"), F.when(F.col("turn") > 0, node(F.col("turn") - 1)).alias("parent")).distinct()
     return hierarchy.descend(edges, "node", "parent")
 
 
