@@ -146,8 +146,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, judged where they are: no row moves."""
-    refs = references(cut(features(docs, id_col, text_col, lang_col), "quality"))
+    """The rows of docs that the rules keep. No row is shuffled: the rows are written to the shared folder beside their
+    figures, and the filter reads them from there, where no optimizer can copy the figures' expressions into it."""
     (row,) = fresh_names(docs, "row")
-    rows = features(docs.withColumn(row, F.struct(*docs.columns)), id_col, text_col, lang_col, carry=[row])
-    return judge(rows, refs).where("kept").select(f"{row}.*")
+    rows = cut(features(docs.withColumn(row, F.struct(*docs.columns)), id_col, text_col, lang_col, carry=[row]), "quality-rows")
+    return judge(rows, references(rows)).where("kept").select(f"{row}.*")
