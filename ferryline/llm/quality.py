@@ -9,11 +9,13 @@ Everything is computed within the row, so no text is shuffled. The figures of ea
 folder; the references are one row of sums per language.
 
 Defined results: a null text has no words and fails the base rules; a null language is no reference; with no reference
-the distances are null and the method keeps what the base rules keep.
+the distances are null and the method keeps what the base rules keep. quality() judges words by WORD_LIMIT, as the SQL of
+its query does; keep_good() by word_limits(), which a text without common words is beyond.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,10 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Least words for the class and the word histogram, and the largest distances kept.
 CLASS_MIN_WORDS, WORD_MIN_WORDS = 20, 50
 CLASS_LIMIT, WORD_LIMIT = 0.25, 0.4
+#: keep_good's limit for a language: this part of the distance between its reference and a text without common words.
+WORDLESS_PART = 0.85
+#: A language is used so only if at most this part of its texts of WORD_MIN_WORDS words should have no common word.
+WORDLESS_CHANCE = 0.01
 #: At most so many languages become references.
 MAX_LANGUAGES = 256
 CLASSES = ["lower", "upper", "digit", "space", "symbol", "other"]
@@ -126,8 +132,20 @@ def js_distance(counts: Column, reference: list[int]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(each(share), F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def judge(rows: DataFrame, refs: list[tuple[str, list[int], list[int]]]) -> DataFrame:
-    """features() with class_distance, word_distance, base_failed and kept."""
+def word_limits(refs: list[tuple[str, list[int], list[int]]]) -> list[float]:
+    """The largest word distance kept for each reference, below what a text without any common word is at.
+
+    Where common words are rare, texts without one are usual and the limit stays WORD_LIMIT."""
+    out = []
+    for _, _, w in refs:
+        q = [x / sum(w) for x in w] if sum(w) else [1.0]
+        js = (sum(q[:-1]) + math.log2(2 / (1 + q[-1])) + (q[-1] * math.log2(2 * q[-1] / (1 + q[-1])) if q[-1] else 0.0)) / 2
+        out.append(min(WORD_LIMIT, WORDLESS_PART * math.sqrt(max(js, 0.0))) if q[-1] ** WORD_MIN_WORDS <= WORDLESS_CHANCE else WORD_LIMIT)
+    return out
+
+
+def judge(rows: DataFrame, refs: list[tuple[str, list[int], list[int]]], limits: list[float] | None = None) -> DataFrame:
+    """features() with class_distance, word_distance, base_failed and kept; limits has a word limit for each reference, in place of WORD_LIMIT."""
     least = lambda xs: F.least(*xs, xs[0]) if xs else F.lit(None).cast("double")
     words = F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x)))
     out = rows.withColumns({
@@ -135,8 +153,11 @@ def judge(rows: DataFrame, refs: list[tuple[str, list[int], list[int]]]) -> Data
         "word_distance": F.when(F.col("n_words") >= WORD_MIN_WORDS, least([js_distance(words, w) for _, _, w in refs if sum(w)])),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
-    far = (F.col("class_distance") > CLASS_LIMIT) | (F.col("word_distance") > WORD_LIMIT)
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    wordless = F.col("word_distance") > WORD_LIMIT
+    if limits is not None:
+        wordless = (F.col("n_words") >= WORD_MIN_WORDS) & (least([js_distance(words, w) - at for (_, _, w), at in zip(refs, limits, strict=True) if sum(w)]) > 0)
+    far = F.coalesce(F.col("class_distance") > CLASS_LIMIT, F.lit(False)) | F.coalesce(wordless, F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -146,8 +167,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep. No row is shuffled: the rows are written to the shared folder beside their
+    """The rows of docs that the rules keep, with word limits that a text without common words is beyond. No row is shuffled: the rows are written to the shared folder beside their
     figures, and the filter reads them from there, where no optimizer can copy the figures' expressions into it."""
     (row,) = fresh_names(docs, "row")
     rows = cut(features(docs.withColumn(row, F.struct(*docs.columns)), id_col, text_col, lang_col, carry=[row]), "quality-rows")
-    return judge(rows, references(rows)).where("kept").select(f"{row}.*")
+    refs = references(rows)
+    return judge(rows, refs, word_limits(refs)).where("kept").select(f"{row}.*")
