@@ -1,10 +1,14 @@
-"""Levels and paths over edge tables, by repeated joins with a depth limit."""
+"""Levels and paths over edge tables, by repeated joins."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferryline.sources.sink import scratch
+
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """node, level: the longest chain of references below a node; 0 refers to nothing.
@@ -23,17 +27,34 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame, max_depth: int = 64) -
     return levels
 
 
-def descend(edges: DataFrame, node: str, parent: str, max_depth: int = 1000, sep: str = "/") -> DataFrame:
-    """node, level (1 for roots), path, is_leaf: a walk from rows without a parent; a node met again on its path ends it."""
-    view = f"_edges_{abs(hash((node, parent))) % 10**8}"
-    edges.select(F.col(node).alias("node"), F.col(parent).alias("parent")).createOrReplaceTempView(view)
-    walked = edges.sparkSession.sql(f"""
-        with recursive walk(node, level, path) max recursion level {max_depth} as (
-          select node, 1, cast(node as string) from {view} where parent is null
-          union all
-          select e.node, w.level + 1, concat(w.path, '{sep}', cast(e.node as string)) from {view} e join walk w on e.parent = w.node
-          where not array_contains(split(w.path, '{sep}'), cast(e.node as string)))
-        select node, level, path from walk""")
+def _cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def descend(edges: DataFrame, node: str, parent: str, sep: str = "/") -> DataFrame:
+    """node, level (1 for roots), path, is_leaf: all walks from rows without a parent; a node met again on its path ends it.
+
+    Walks double in each round: those of 2^k rows that end at no root yet are put behind the walks that end at their top,
+    so the rounds are about log2(depth) and neither depth nor rows have a limit."""
+    rows = edges.select(F.col(node).alias("node"), F.col(parent).alias("top"), F.array(F.col(node).cast("string")).alias("path"))
+    walks = _cut(rows.where("top is null or node <> top"), "walks")
+    done = [walks.where("top is null")]
+    while True:
+        above = walks.where("top is not null")
+        if above.isEmpty():
+            break
+        far = _union([*done, above]).select(F.col("node").alias("top"), F.col("top").alias("up"), F.col("path").alias("head"))
+        longer = above.join(far, "top").where(~F.arrays_overlap("head", "path"))
+        walks = _cut(longer.select("node", F.col("up").alias("top"), F.concat("head", "path").alias("path")), "walks")
+        done.append(walks.where("top is null"))
+    walked = _union(done).select("node", F.size("path").alias("level"), F.when(F.col("node").isNotNull(), F.array_join("path", sep)).alias("path"))
     parents = edges.where(F.col(parent).isNotNull()).select(F.col(parent).alias("node")).distinct().withColumn("_p", F.lit(True))
     return walked.join(parents, "node", "left").select("node", "level", "path", F.col("_p").isNull().alias("is_leaf"))
 

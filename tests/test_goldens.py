@@ -189,6 +189,26 @@ def test_levels_and_cycles(spark):
     assert hierarchy.dependency_levels(nodes, ring, max_depth=5).count() == 4
 
 
+def test_walks_have_no_row_or_depth_limit(spark):
+    name = "spark.sql.cteRecursionRowLimit"
+    old = spark.conf.get(name)
+    spark.conf.set(name, 100)
+    try:
+        chain = spark.range(1100).select(F.col("id").alias("n"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+        got = {r["node"]: r for r in hierarchy.descend(chain, "n", "p").collect()}
+    finally:
+        spark.conf.set(name, old)
+    assert len(got) == 1100 and all(r["level"] == n + 1 and r["path"] == "/".join(map(str, range(n + 1))) for n, r in got.items())
+    assert [n for n, r in got.items() if r["is_leaf"]] == [1099]
+
+
+def test_walks_over_odd_edges(spark):
+    edges = [("a", None), ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("b", "d"), ("d", "d"), ("x", "y"), ("y", "x"), ("o", "none"), (None, "a"), (None, None), ("a", None)]
+    got = sorted((r["node"] or "", r["level"], r["path"] or "", r["is_leaf"]) for r in hierarchy.descend(spark.createDataFrame(edges, "n string, p string"), "n", "p").collect())
+    once = [("a", 1, "a", False), ("b", 2, "a/b", False), ("c", 2, "a/c", False), ("d", 3, "a/b/d", False), ("d", 3, "a/c/d", False), ("b", 4, "a/c/d/b", False)]
+    assert got == sorted([*once, *once, ("", 1, "", True)])
+
+
 def test_load_modes(spark, tmp_path):
     path = str(tmp_path / "t")
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, p string")
