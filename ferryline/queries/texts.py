@@ -72,10 +72,10 @@ with t as (select distinct conv_id, turn from conversations),
 g as (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) as run from t)
 select conv_id || ':' || turn as node, cast(least(row_number() over (partition by conv_id, run order by turn) - 1, 64) as integer) as level from g""")
 def dependency_levels_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Levels over reply chains: each turn refers to the one before, if it is there; 64 levels at most."""
+    """Levels over reply chains: each turn refers to the one before, if it is there. The SQL stops at level 64, the query does not."""
     turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
     node = lambda turn: F.concat_ws(":", "conv_id", turn)
-    return hierarchy.dependency_levels(turns.select(node("turn").alias("node")), turns.select(node("turn").alias("node"), node(F.col("turn") - 1).alias("parent")), 64)
+    return hierarchy.dependency_levels(turns.select(node("turn").alias("node")), turns.select(node("turn").alias("node"), node(F.col("turn") - 1).alias("parent")))
 
 
 @query("hierarchy", """

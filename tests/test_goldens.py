@@ -189,6 +189,41 @@ def test_levels_and_cycles(spark):
     assert hierarchy.dependency_levels(nodes, ring, max_depth=5).count() == 4
 
 
+def test_levels_have_no_limit(spark):
+    nodes = spark.range(200).select(F.col("id").alias("node"))
+    got = hierarchy.dependency_levels(nodes, nodes.select("node", (F.col("node") - 1).alias("parent"))).collect()
+    assert len(got) == 200 and all(r["node"] == r["level"] for r in got)
+
+
+def test_levels_of_deep_replies(spark, tmp_path):
+    from ferryline.queries import QUERIES
+
+    spark.range(150).select(F.lit(7).alias("conv_id"), F.col("id").cast("int").alias("turn")).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r["node"]: r["level"] for r in QUERIES["dependency_levels_replies"](spark, str(tmp_path)).collect()} == {f"7:{i}": i for i in range(150)}
+
+
+def test_levels_of_random_graphs(spark):
+    import random
+
+    r = random.Random(5)
+    edges = {(a, b) for _ in range(70) for a, b in [sorted(r.sample(range(60), 2), reverse=True)]} | {(60 + i, 59 + i) for i in range(1, 20)}
+    rings = {(90, 91), (91, 92), (92, 90), (93, 90), (94, 93), (94, 1), (95, 94), (96, 97), (97, 96), (96, 3), (98, 5), (98, 96), (99, 98)}
+    parents: dict[int, set] = {}
+    for a, b in edges | rings:
+        parents.setdefault(a, set()).add(b)
+
+    def level(n, path=()):
+        if n in path:
+            return None
+        below = [level(p, (*path, n)) for p in parents.get(n, ())]
+        return None if None in below else max(below, default=-1) + 1
+
+    nodes = spark.range(100).select(F.col("id").alias("node"))
+    table = spark.createDataFrame(sorted(edges | rings), "node long, parent long")
+    assert {x["node"]: x["level"] for x in hierarchy.dependency_levels(nodes, table).collect()} == {n: level(n) for n in range(100)}
+    assert {x["node"]: x["level"] for x in hierarchy.dependency_levels(nodes, table, 3).collect()} == {n: 3 if level(n) is None else min(level(n), 3) for n in range(100)}
+
+
 def test_walks_have_no_row_or_depth_limit(spark):
     name = "spark.sql.cteRecursionRowLimit"
     old = spark.conf.get(name)
