@@ -1,5 +1,6 @@
-"""A training corpus from `documents`: rules, near-dedup, substring dedup, mixing, encoding. Each stage is an operator of
-ferryline.llm over all rows that the stage before it kept; stages are cut by Parquet files in the shared folder."""
+"""A training corpus from `documents`: rules, near-dedup, substring dedup, mixing, encoding and decoding. Each
+stage is an operator of ferryline.llm over all rows that the stage before it kept; stages are cut by Parquet files in the
+shared folder."""
 
 from __future__ import annotations
 
@@ -34,10 +35,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def coded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every copy."""
+    """Piece ids of every copy, and whether their text is the copy's."""
     model = pieces.load(tokenizer_path("piece_bpe_32k.model"))
-    rows = pieces.encoded(docs.select("doc_id", "lang", "source", "text"), model)
-    return rows.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids")
+    rows = pieces.decoded(pieces.encoded(docs.select("doc_id", "lang", "source", "text"), model), model)
+    round_trip = F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
+    return rows.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", round_trip)
 
 
 STAGES = [
@@ -45,7 +47,7 @@ STAGES = [
     ("minhash near-dedup", once),
     ("substring dedup", fresh),
     ("mixing sources to target weights", mixed),
-    ("sentencepiece encoding", coded),
+    ("sentencepiece encoding and decoding", coded),
 ]
 
 #: Signatures, hash order and Viterbi have no SQL; the tests hold the stages against brute force.

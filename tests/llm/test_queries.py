@@ -39,3 +39,8 @@ def test_pipeline(spark, sf_dir):
 def test_pipeline_of_an_empty_table(spark, make, tmp_path):
     make([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_decodes_its_pieces(spark, make, prose):
+    out = corpus_pipeline.coded(spark, make([(1, prose(60, 1)), (2, "é ß あ\n🙂 ▁  x "), (3, ""), (4, None)]), "")
+    assert [r["round_trip"] for r in out.select("round_trip").collect()] == [True] * 4
