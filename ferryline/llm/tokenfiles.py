@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,23 @@ from ferryline.llm.shared import bounded_batches, new_path
 
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
-#: Distinct pieces remembered by a task, and pieces encoded in one string.
-CACHE, JOINED = 1 << 19, 256
+#: Slots of a worker's memory of pieces (half of them are filled), tails remembered, and words encoded in one string.
+MEMORY_BITS, TAILS, JOINED = 22, 1 << 16, 64
 #: Lead bytes of the multi-byte characters that are white space.
 _WIDE = np.zeros(256, dtype=bool)
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _tokenizers: dict[str, object] = {}
+_encoders: dict[str, Encoder] = {}
+
+
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """s, s + 1, ... s + n - 1 of each pair, one after another."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """flat[s:s+n] of each pair, one after another."""
-    n = int(length.sum())
-    return flat[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(n)] if n else flat[:0]
+    return flat[spread(start, length)] if len(length) else flat[:0]
 
 
 def _tokenizer(path: str):
@@ -54,6 +60,16 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _alphabet() -> np.ndarray:
+    """The character that the byte-level alphabet has for each byte: its own if it can be seen, else one from 256 on; then a space."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.full(257, 32, dtype="<u4")
+    out[seen] = seen
+    rest = [b for b in range(256) if b not in seen]
+    out[rest] = 256 + np.arange(len(rest))
+    return out
+
+
 def pieces(data: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """Starts of the pieces of texts data[edge[i]:edge[i + 1]], text starts included."""
     n = len(data)
@@ -68,47 +84,123 @@ def pieces(data: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def _letter_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which spans are a space or none, letters of ASCII or U+00C0 to U+023F, and then nothing or an ASCII character that
+    is no letter; and where the letters end."""
+    wide = (data >= 0xC3) & (data <= 0xC8)
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    letter[1:] |= wide[:-1] & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    letter[:-1] |= wide[:-1] & letter[1:] & (data[1:] >= 0x80)
+    other = np.append(np.flatnonzero(~letter), len(data))
+    begin = np.minimum(start + (data[start] == 32), end)
+    stop = np.minimum(other[np.searchsorted(other, begin)], end)
+    return (stop > begin) & ((stop == end) | (data[np.minimum(stop, len(data) - 1)] < 0x80)), stop
+
+
+class Memory:
+    """Ids of pieces by two 64-bit hashes: a hash table with linear probing that doubles up to 2**MEMORY_BITS slots."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n, self.used = bits, 0, 0
+        self.keys, self.checks = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.begin, self.length = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.flat = np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where there is none. Keys are not 0."""
+        out, open_ = np.full(len(keys), -1), np.arange(len(keys))
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(open_):
+            found = self.keys[at]
+            hit = found == keys[open_]
+            out[open_[hit]] = at[hit]
+            more = ~hit & (found != 0)
+            open_, at = open_[more], (at[more] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _place(self, keys: np.ndarray, checks: np.ndarray, begin: np.ndarray, length: np.ndarray) -> None:
+        at, left = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]  # of keys that meet in a slot one stays
+            won = self.keys[at] == keys[left]
+            slot, who = at[won], left[won]
+            self.checks[slot], self.begin[slot], self.length[slot] = checks[who], begin[who], length[who]
+            left, at = left[~won], (at[~won] + 1) & (len(self.keys) - 1)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        """Put in distinct keys that are not there yet."""
+        while 2 * (self.n + len(keys)) > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            rows = [x[old] for x in (self.keys, self.checks, self.begin, self.length)]
+            self.bits += 1
+            self.keys, self.checks = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+            self.begin, self.length = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
+            self._place(*rows)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self._place(keys, checks, self.used + np.cumsum(length) - length, length)
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.n, self.used = self.n + len(keys), self.used + len(flat)
+
+
 class Encoder:
-    """Encodes texts piece by piece and remembers up to CACHE distinct pieces of the task."""
+    """Encodes texts piece by piece and remembers distinct pieces for as long as the worker lives."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.tokenizer = _tokenizer(path)
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():  # the byte alphabet has one character for each byte
             self.width[i] = len(token)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.begin, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.concatenate([np.array(x, np.int32) for x in lists]) if lists else np.zeros(0, np.int32), length
-
-    def _new(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of pieces: those that begin with a space follow each other as in a text, many to a string;
-        their tokens are told apart by the bytes that each token stands for."""
+        if any(t.content[:1].isalpha() or " " in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token begins with a letter or holds a space")
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.words.model._resize_cache(0)  # the memory below is larger
+        self.alphabet = _alphabet()
+        self.memory, self.tails = Memory(), {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of spans that are each one word of the pre-tokenizer: many to a string of the model's alphabet,
+        which has no white space; their tokens are told apart by the bytes that each token stands for."""
         size = end - start
-        spaced = np.array([raw[a] == 32 for a in start.tolist()], dtype=bool)
-        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
-        parts = [raw[a:b] for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True)]
-        n = int(spaced.sum())
-        ids, _ = self._ids([b"".join(parts[i : min(i + JOINED, n)]).decode() for i in range(0, n, JOINED)])
-        other, counts = self._ids([x.decode() for x in parts[n:]])
-        ends, at = np.cumsum(self.width[ids]), np.cumsum(size[order[:n]])
-        upto = np.searchsorted(ends, at, "right")
-        if n and ((upto == 0) | (ends[upto - 1] != at)).any():  # a token lies across pieces: take each by itself
-            ids, own = self._ids([x.decode() for x in parts[:n]])
-        else:
-            own = np.diff(upto, prepend=0)
-        length = np.concatenate([own, counts])
-        flat, begin = np.concatenate([ids, other]), np.cumsum(length) - length
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = np.arange(len(order))
-        return gather(flat, begin[back], length[back]), length[back]
+        mark = np.cumsum(size + 1) - 1
+        row = np.full(len(start) + int(size.sum()), 256, dtype=np.int64)
+        row[spread(mark - size, size)] = gather(data, start, size)
+        text = self.alphabet[row].tobytes().decode("utf-32-le")
+        edge = [0, *(mark[JOINED - 1 :: JOINED] + 1).tolist(), len(text)]
+        coded = self.words.encode_batch_fast([text[a:b] for a, b in zip(edge, edge[1:], strict=False)], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(x.ids for x in coded), np.int32)
+        return ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size), "right"), prepend=0)
+
+    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of pieces: of their runs of letters, and of what follows the runs, equal tails once."""
+        raw, (plain, stop) = data.tobytes(), _letter_runs(data, start, end)
+        stop = np.where(plain, stop, start)
+        if len(self.tails) > TAILS:
+            self.tails.clear()
+        tailed = np.flatnonzero(stop < end)
+        tails = [raw[a:b] for a, b in zip(stop[tailed].tolist(), end[tailed].tolist(), strict=True)]
+        unseen = list({t for t in tails if t not in self.tails})
+        self.tails.update(zip(unseen, self._ids([t.decode() for t in unseen]), strict=True))
+        found = [self.tails[t] for t in tails]
+        words_at = np.flatnonzero(plain)
+        head, n = self._words(data, start[words_at], stop[words_at])
+        before, after = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        before[words_at], after[tailed] = n, np.fromiter(map(len, found), np.int64, len(found))
+        length = before + after
+        at = np.cumsum(length) - length
+        flat = np.empty(int(length.sum()), np.int32)
+        flat[spread(at, before)] = head
+        flat[spread(at + before, after)] = np.fromiter(chain.from_iterable(found), np.int32, int(after.sum()))
+        return flat, length
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and the number of ids of each text."""
@@ -116,38 +208,38 @@ class Encoder:
         for t in words.texts(column):
             start = pieces(t.data, t.edge)
             end = np.append(start[1:], len(t.data))[: len(start)]
-            value, raw = words.BYTE_VALUES[t.data], t.data.tobytes()
-            keys, first, which = np.unique(words.spans_hash(value, start, end, words.WORD_BASE), return_index=True, return_inverse=True)
-            every = words.spans_hash(value, start, end, words.WINDOW_BASE)
-            checks = every[first]
-            if len(self.keys) + len(keys) > CACHE:
-                self.clear()
-            at = np.searchsorted(self.keys, keys)
-            known = np.zeros(len(keys), dtype=bool)
-            inside = at < len(self.keys)
-            known[inside] = self.keys[at[inside]] == keys[inside]
-            if (every != checks[which]).any() or (self.checks[at[known]] != checks[known]).any():  # two pieces under one hash
-                flat, length = self._new(raw, start, end)
+            value = words.BYTE_VALUES[t.data]
+            keys = words.spans_hash(value, start, end, words.WORD_BASE) | np.uint64(1)
+            checks = words.spans_hash(value, start, end, words.WINDOW_BASE)
+            if self.memory.n > 1 << (MEMORY_BITS - 1):
+                self.memory = Memory()
+            slot = self.memory.find(keys)
+            unknown, known = np.flatnonzero(slot < 0), slot >= 0
+            fresh, first, which = np.unique(keys[unknown], return_index=True, return_inverse=True)
+            first = unknown[first]
+            if (checks[unknown] != checks[first][which]).any() or (self.memory.checks[slot[known]] != checks[known]).any():  # two pieces under one hash
+                flat, length = self._new(t.data, start, end)
                 out.append(flat)
             else:
-                fresh = np.flatnonzero(~known)
-                flat, length = self._new(raw, start[first[fresh]], end[first[fresh]])
-                begin = np.cumsum(length) - length + len(self.flat)
-                where = at[fresh]
-                self.keys, self.checks = np.insert(self.keys, where, keys[fresh]), np.insert(self.checks, where, checks[fresh])
-                self.begin, self.length = np.insert(self.begin, where, begin), np.insert(self.length, where, length)
-                self.flat = np.concatenate([self.flat, flat])
-                slot = np.searchsorted(self.keys, keys)[which]
-                length = self.length[slot]
-                out.append(gather(self.flat, self.begin[slot], length))
+                self.memory.add(fresh, checks[first], *self._new(t.data, start[first], end[first]))
+                slot = self.memory.find(keys) if len(fresh) else slot
+                length = self.memory.length[slot].astype(np.int64)
+                out.append(gather(self.memory.flat, self.memory.begin[slot].astype(np.int64), length))
             total = np.concatenate([[0], np.cumsum(length)])
             counts.append(np.diff(total[np.searchsorted(start, t.edge)]))
         return np.concatenate(out), np.concatenate(counts)
 
 
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder: later tasks find the pieces of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _encode(path: str, end_id: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for whole in batches:
             size = pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False)
             block = np.cumsum(size, dtype=np.int64) // (4 * words.CHUNK_BYTES)
