@@ -5,38 +5,50 @@ number of copies by inverting the Poisson distribution of that mean at a number
 copies, no coordination, the same draw on every run. Copies are exploded and sorted by a hash of id and copy, which
 shuffles the mix globally and evenly, whatever the sizes of the sources.
 
+The distribution function of a source is an array over the counts around its rate that a hashed number can reach, about
+24 * sqrt(rate) of them, made by windows over rows (source, count). The arrays are broadcast if they hold
+BROADCAST_VALUES numbers at most in all, else joined over salted keys. Keys are hashes, so their first digits deal them
+evenly to the partitions in order, without a sample of the keys.
+
 Defined results: a null source is a source of its own; sources without text or without a target have rate 0 and go; a null
 text has 0 bytes and follows its source; rows equal in id draw equal numbers and keep their copies apart by `copy`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferryline.llm.shared import cut, fresh_names
 from ferryline.llm.shards import uniform
 
-#: Up to so many sources the rates are broadcast; beyond that they are joined over salted keys.
-BROADCAST_SOURCES = 10_000
+#: Up to so many numbers the distributions are broadcast (16 MB); beyond that they are joined over salted keys.
+BROADCAST_VALUES = 1 << 21
 SALTS = 64
+#: Copies listed at once.
+COPIES = 4096
 
 
-def poisson_table(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... as an array, until the rest is below what a hashed number can reach."""
-    top = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("table"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log_p = acc["log_p"] + F.log(rate / k)
-        total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.array_append(acc["table"], total).alias("table"))
-
-    return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["table"])
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """rates (source, ..., rate) with `least` and `table`: P(X <= k) for k = least, least + 1, ... while a hashed number can
+    lie between them. P(X < least) is below what a hashed number can reach."""
+    spread = 12 * F.sqrt("rate") + 40
+    least = F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("long")
+    counts = rates.select("source", "rate", least.alias("least"), F.explode(F.sequence(least, F.ceil(F.col("rate") + spread).cast("long"))).alias("k"))
+    first = Window.partitionBy("source").orderBy("k")
+    step = F.when(F.col("k") > F.col("least"), F.log(F.col("rate") / F.col("k"))).when(F.col("least") == 0, -F.col("rate")).otherwise(0.0)
+    log_p = counts.withColumn("log_p", F.sum(step).over(first))
+    # From 0 the logarithms are the distribution's; else they are known up to a sum that is 1.
+    top = F.when(F.col("least") == 0, F.lit(0.0)).otherwise(F.max("log_p").over(Window.partitionBy("source")))
+    summed = log_p.withColumn("w", F.exp(F.col("log_p") - top)).withColumn("p", F.sum("w").over(first)).withColumn("whole", F.sum("w").over(Window.partitionBy("source")))
+    share = F.when(F.col("least") == 0, F.col("p")).otherwise(F.col("p") / F.col("whole"))
+    tables = summed.groupBy("source").agg(F.max("least").alias("least"), F.array_sort(F.collect_list(F.struct("k", share.alias("p")))).alias("t"))
+    tables = tables.select(F.col("source").alias("s"), "least", F.transform("t", lambda x: x["p"]).alias("table"))
+    return rates.join(tables, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
 
 def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per source: source, n_docs, n_bytes, rate, table. Without targets a source weighs n_bytes ** alpha."""
+    """One row per source: source, n_docs, n_bytes, rate, least, table. Without targets a source weighs n_bytes ** alpha."""
     size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long")
     found = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("n_bytes"))
     if targets is None:
@@ -48,7 +60,7 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, alpha
     share = F.col("weight") / F.lit(whole["w"] or 1.0)
     rate = F.when(F.col("n_bytes") > 0, share * float(epochs) * F.lit(float(whole["b"] or 0)) / F.col("n_bytes")).otherwise(0.0)
     rated = sized.select("source", "n_docs", "n_bytes", rate.alias("rate")).where("rate > 0")
-    return cut(rated.withColumn("table", poisson_table(F.col("rate"))), "rates")
+    return cut(poisson_tables(cut(rated, "shares")), "rates")
 
 
 def mix(
@@ -58,9 +70,10 @@ def mix(
     """The columns of docs with `mix_rate`, `mix_copy` (from 0) and `mix_key`, sorted by the key; these three replace
     columns of the same names."""
     docs = docs.drop("mix_rate", "mix_copy", "mix_key")
-    src, table, salt, own, n = fresh_names(docs, "source", "table", "salt", "own", "n")
-    rates = source_rates(docs, targets, alpha, epochs, source_col, text_col).select(F.col("source").alias(src), F.col("rate").alias("mix_rate"), F.col("table").alias(table))
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    src, least, table, salt, own, n, run = fresh_names(docs, "source", "least", "table", "salt", "own", "n", "run")
+    found = source_rates(docs, targets, alpha, epochs, source_col, text_col)
+    rates = found.select(F.col("source").alias(src), F.col("rate").alias("mix_rate"), F.col("least").alias(least), F.col("table").alias(table))
+    few = (found.agg(F.sum(F.size("table"))).first()[0] or 0) <= BROADCAST_VALUES
     same = F.col(source_col).cast("string").eqNullSafe(F.col(src))
     if few:
         joined = docs.join(F.broadcast(rates), same)
@@ -68,7 +81,11 @@ def mix(
         salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = docs.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, same & (F.col(own) == F.col(salt)))
     draw = uniform(F.col(id_col), str(seed), "copies")
-    copies = F.size(F.filter(table, lambda p: p <= draw))
-    drawn = joined.withColumn(n, copies).where(F.col(n) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    keys = drawn.withColumn("mix_key", F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mix_copy", F.lit(str(seed)))))
-    return keys.select(*docs.columns, "mix_rate", "mix_copy", "mix_key").orderBy("mix_key")
+    drawn = joined.withColumn(n, (F.col(least) + F.size(F.filter(table, lambda p: p <= draw))).cast("int")).where(F.col(n) > 0)
+    runs = drawn.withColumn(run, F.explode(F.sequence(F.lit(0), F.col(n) - 1, F.lit(COPIES))))
+    copies = runs.withColumn("mix_copy", F.explode(F.sequence(F.col(run), F.least(F.col(run) + (COPIES - 1), F.col(n) - 1))))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "mix_copy", F.lit(str(seed))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * parts / float(1 << 32)).cast("int")
+    mixed = copies.withColumn("mix_key", key).select(*docs.columns, "mix_rate", "mix_copy", "mix_key")
+    return mixed.repartitionById(parts, place).sortWithinPartitions("mix_key")
