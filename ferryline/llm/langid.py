@@ -4,10 +4,10 @@ Each language has a codeword of +1 and -1; each position is a binary linear clas
 of the lower-cased text (log odds of the smoothed n-gram distributions of the languages on either side). A text's margin
 per position is the mean log odds of its n-grams; decoding takes the codeword of least exponential loss, each position
 weighted by the least margin that it reaches on a training language. Up to seven languages have the exhaustive code,
-more have random columns from a hash.
+more have random columns from a hash, drawn again until any two codewords differ in a quarter of them.
 
-Training counts n-grams of every labelled row; what comes to the driver is languages x DIMENSIONS counts at most, and
-the model is as large, so it can be broadcast.
+Training counts n-grams of every labelled row; what comes to the driver is languages x DIMENSIONS counts, and the model
+is as large, so it can be broadcast. More than MAX_LANGUAGES labels are an error: nothing is dropped.
 
 Defined results: a null text or one without a letter is `und` with score 0; with no labelled rows everything is `und`;
 with one language every text with a letter is that language, score 1; null labels teach nothing.
@@ -77,8 +77,12 @@ def codewords(k: int) -> np.ndarray:
     if k <= 7:
         cols = [[1, *(1 if (c >> i) & 1 else -1 for i in range(k - 1))] for c in range(2 ** (k - 1) - 1)]
     else:
-        bits = words.mix(np.arange(1, 1 + k * int(np.ceil(10 * np.log2(k))), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(1)
-        cols = [c for c in (bits.reshape(-1, k).astype(int) * 2 - 1).tolist() if abs(sum(c)) < k]
+        n, least, seed = int(np.ceil(10 * np.log2(k))), 0, 0
+        while 4 * least < n:  # of random codewords any two differ in nearly half of the columns
+            bits = words.mix(np.arange(1, 1 + k * n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) & np.uint64(1)
+            cols, seed = [c for c in (bits.reshape(-1, k).astype(int) * 2 - 1).tolist() if abs(sum(c)) < k], seed + 1
+            rows = np.array(cols, dtype=np.int64).T
+            least = int((len(cols) - rows @ rows.T)[~np.eye(k, dtype=bool)].min()) // 2
     return np.array(cols, dtype=np.int8).T.reshape(k, -1)
 
 
@@ -99,11 +103,13 @@ def train(docs: DataFrame, labelled: Column, lang_col: str = "lang", text_col: s
     bounded_batches(docs.sparkSession)
     rows = docs.where(labelled & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col).cast("string")).alias("text"))
     counts = rows.mapInArrow(_count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    found = counts.limit(MAX_LANGUAGES * DIMENSIONS).toArrow()
-    names = sorted(set(found["lang"].to_pylist()))
+    found = counts.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("counts")).limit(MAX_LANGUAGES + 1).toArrow().sort_by("lang")
+    if found.num_rows > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = found["lang"].to_pylist()
     share = np.full((len(names), DIMENSIONS), SMOOTHING)
-    place = {x: i for i, x in enumerate(names)}
-    np.add.at(share, (np.array([place[x] for x in found["lang"].to_pylist()], dtype=np.int64), found["feature"].to_numpy().astype(np.int64)), found["n"].to_numpy())
+    for row, x in zip(share, found["counts"], strict=True):
+        row[x.values.field("feature").to_numpy()] += x.values.field("n").to_numpy()
     share /= share.sum(axis=1, keepdims=True)
     code = codewords(len(names)) if names else np.zeros((0, 0), np.int8)
     weights = np.zeros((DIMENSIONS, code.shape[1]), dtype=np.float32)
