@@ -1,6 +1,7 @@
 """Operators against brute force, on the driver's small tables and on odd ones."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -236,11 +237,31 @@ def test_mixing_of_odd_tables(odd, make, monkeypatch):
     few = mixing.mix(odd)
     assert set(few.columns) == {*odd.columns, "mix_rate", "mix_copy", "mix_key"}
     want = sorted(map(str, few.select("doc_id", "mix_copy").collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_VALUES", 0)
     assert sorted(map(str, mixing.mix(odd).select("doc_id", "mix_copy").collect())) == want
     assert mixing.mix(make([])).count() == 0
-    table = odd.limit(1).select(mixing.poisson_table(F.lit(900.0)).alias("t")).first()["t"]
-    assert 0.45 < table[900] < 0.55 and abs(table[-1] - 1) < 1e-9
+
+
+def test_poisson_tables(spark):
+    """Against the distribution's terms by log gamma; a table is as long as the root of its rate."""
+    from math import exp, lgamma, log
+
+    rates = [0.01, 1.0, 30.0, 900.0, 1e6]
+    rows = mixing.poisson_tables(spark.createDataFrame([(str(r), r) for r in rates], "source string, rate double")).collect()
+    assert len(rows) == len(rates)
+    for row in rows:
+        r, least, table = row["rate"], row["least"], row["table"]
+        p, want = [exp(k * log(r) - r - lgamma(k + 1)) for k in range(least, least + len(table))], 0.0
+        for x, got in zip(p, table, strict=True):
+            want += x
+            assert abs(want - got) < 1e-7
+        assert len(table) < 25 * r**0.5 + 85 and table[0] < 1e-9 or least == 0
+
+
+def test_many_copies(make):
+    df = make([(1, "x", "en", "rare"), *((i, "y" * 40_000, "en", "big") for i in range(2, 4))])
+    n = {r["doc_id"]: r["n"] for r in mixing.mix(df, targets={"rare": 1.0, "big": 1.0}, seed=1).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mix_copy").alias("d")).where("n = d").collect()}
+    assert abs(n[1] - 40_000) < 5 * 200
 
 
 # --- 7 shards
@@ -316,23 +337,74 @@ def test_languages_of_odd_tables(odd, make):
     assert langid.predict(make([]), model).count() == 0
 
 
+def brute_ngrams(text):
+    """Counts of hashed 2- and 3-grams, byte by byte."""
+    fold = [c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").lower().encode()]
+    out = Counter()
+    for n, salt in ((2, 0x2545F491), (3, 0x9E3779B1)):
+        for i in range(len(fold) - n + 1):
+            code = 0
+            for c in fold[i : i + n]:
+                code = (code * 257 + c) % 2**32
+            out[(code * salt % 2**32) >> 18] += 1
+    return out
+
+
+def test_languages_by_brute_force(docs):
+    """Training, margins and decoding in plain Python: the same labels, and scores up to rounding of the weights."""
+    from math import exp, log
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    train, size = [r for r in rows if r[0] % 3], langid.DIMENSIONS
+    names = sorted({lang for _, _, lang in train if lang is not None})
+    share = []
+    for name in names:
+        n = Counter()
+        for _, text, lang in train:
+            if lang == name:
+                n.update(brute_ngrams(text))
+        total = sum(n.values()) + langid.SMOOTHING * size
+        share.append([(n[i] + langid.SMOOTHING) / total for i in range(size)])
+    code = langid.codewords(len(names)).tolist()
+    mean = lambda b, sign, i: sum(s[i] for s, c in zip(share, code, strict=True) if c[b] == sign) / sum(c[b] == sign for c in code)
+    weights = [[log(mean(b, 1, i)) - log(mean(b, -1, i)) for i in range(size)] for b in range(len(code[0]))]
+    trust = [min(abs(sum(p * w for p, w in zip(s, ws, strict=True))) for s in share) for ws in weights]
+    got = {r["doc_id"]: r for r in langid.predict(docs, langid.train(docs, F.col("doc_id") % 3 != 0)).collect()}
+    for i, text, _ in rows[::4]:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        n = brute_ngrams(text)
+        margins = [sum(k * w[f] for f, k in n.items()) / max(sum(n.values()), 1) for w in weights]
+        loss = [sum(t * exp(max(-30, min(30, -m * c))) for t, m, c in zip(trust, margins, cs, strict=True)) / sum(trust) for cs in code]
+        sure = [exp(-x) / sum(exp(-y) for y in loss) for x in loss]
+        assert got[i]["lang_pred"] == names[sure.index(max(sure))] and abs(got[i]["score"] - max(sure)) < 1e-5
+
+
+def test_too_many_languages(make, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(make([(i, "abc", x) for i, x in enumerate("pqr")]), F.lit(True))
+
+
 def test_codewords_differ():
     for k in (2, 3, 4, 7, 12, 40):
         code = langid.codewords(k)
         assert len({tuple(r) for r in code.tolist()}) == k and (np.abs(code.sum(axis=0)) < k).all()
+        apart = [(a != b).sum() for i, a in enumerate(code) for b in code[:i]]
+        assert min(apart) >= code.shape[1] / 4
 
 
 # --- 6 top k
 
 
 def brute_top(vectors, k=20, every=20):
-    rows = {i: np.floor(64 * np.array(v, dtype=np.float64)).astype(np.int64) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    wide = max((len(v) for v in rows.values()), default=0)
-    rows = {i: np.pad(v, (0, wide - len(v))) for i, v in rows.items()}
+    rows = [(i, [math.floor(max(-(2.0**53), min(2.0**53, 64 * float(x)))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in (i for i in rows if i % every == 0):
-        best = sorted(((-int(rows[q] @ v), i) for i, v in rows.items() if i != q))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for q, x in rows:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, v, strict=False)), i) for i, v in rows if i != q)[:k]
+            out += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -357,6 +429,25 @@ def test_top_k_of_odd_tables(spark):
     assert got_top(df.limit(0)) == []
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    small = [(i % 150, [float(x) for x in r.normal(0, 1, 4)]) for i in range(200)]
+    for large in ([1e5, 2e5], [1e8, 2.5e8, 1e7], [3e9, -5e9, 1e300, -1e300]):
+        rows = [*small, *((200 + i, [x, 1.0, -x / 3, 0.5]) for i, x in enumerate(large)), *((220 + 20 * i, [-x / 7, x, 2.0, 3.0]) for i, x in enumerate(large))]
+        assert got_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == brute_top(rows)
+
+
+def test_top_k_visits_few_rows_of_clusters(spark):
+    r = np.random.default_rng(3)
+    center = r.normal(0, 4, (20, 16))
+    rows = [(i, [float(x) for x in center[i % 20] + r.normal(0, 0.2, 16)]) for i in range(6000)]
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 300 == 0, visited=seen).collect()
+    assert sorted(tuple(x) for x in got) == brute_top(rows, every=300)
+    assert 0 < seen.value < 0.3 * 20 * 6000
+
+
 # --- 3 pieces
 
 
