@@ -31,7 +31,7 @@ from ferryline.llm.shared import bounded_batches, new_path
 END_ID = 0
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 #: Slots of a worker's memory of pieces (half of them are filled), tails remembered, and words encoded in one string.
-MEMORY_BITS, TAILS, JOINED = 22, 1 << 16, 64
+MEMORY_BITS, TAILS, JOINED = 21, 1 << 16, 64
 #: Lead bytes of the multi-byte characters that are white space.
 _WIDE = np.zeros(256, dtype=bool)
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
