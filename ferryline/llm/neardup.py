@@ -11,15 +11,19 @@ octave that w only partly covers counts if its level is below w. Two signatures
 equal to the weighted Jaccard similarity.
 
 252 of 256 components make 42 bands of 6: a pair at 0.8 shares no band with probability 3e-6, one at 0.4 shares one with
-probability 0.16. Within a band bucket no pairs are
-listed: every text is checked against the most central text of its buckets, the one with the largest buckets in all (star). What the stars leave open is settled exactly. Each text of a cluster is compared with the
-cluster's pivot: x lacks `gone` of its elements and has `fresh` others. A link between x and y of
-different components needs a fresh element of both within their prefixes, or else counts that allow it,
+probability 0.16. Within a band bucket no pairs are listed: every text is checked against the most central text of its
+buckets, the one with the largest buckets in all (star). What the stars leave open is settled exactly. Each text of a
+cluster is compared with the cluster's pivot: x lacks `gone` of its elements and has `fresh` others. A link between x and
+y of different components needs a fresh element of both within their prefixes, or else counts that allow it,
 (1 + t) min(gone) >= gone + gone' + t (fresh + fresh') - (1 - t) |pivot|. Texts for which neither holds are done; the few
 others are compared in blocks of bounded size.
 
-Defined results: null ids, null texts and texts without words are classes of their own (class_id = doc_id); class_id is
-the smallest id of the class; of several texts under one id the one with the smallest MD5 stands for it.
+Every distinct text is a node: the least id of its rows is its number, or, where ids repeat and that id has several
+texts, a hashed number that no other node has.
+
+Defined results: rows without an id are classes of their own (class_id null); null texts and texts without words too
+(class_id = doc_id); class_id is the smallest id of the class. Texts under one id are one document, so their classes are
+one.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm import words
-from ferryline.llm.shared import cut, fresh_names, keyed
+from ferryline.llm.shared import cut, drop, fresh_names, keyed
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -118,7 +122,7 @@ def _elements(k: int):
                 e, of = words.mix(np.repeat(h, weight) + nth.astype(np.uint64) * np.uint64(_STEP)), np.repeat(who, weight)
                 edge = np.searchsorted(of, np.arange(len(t.first)))
                 out += [np.sort(words.signed(e[edge[i] : edge[i + 1]])) for i in range(len(t.first) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.list_(pa.int64()))], names=["node", "elements"])
 
     return scan
 
@@ -229,8 +233,9 @@ def roots(parents: DataFrame) -> DataFrame:
     """(node, label): the end of each node's chain of parents (one a for each b, no cycles), by pointer jumps."""
     labels = parents.select(F.col("b").alias("node"), F.col("a").alias("label"))
     while True:
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        old, jump = labels, labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         labels = cut(labels.select("node", "label").join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "roots")
+        drop(old)
         if labels.where("moved").isEmpty():
             return labels.select("node", "label")
 
@@ -242,9 +247,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        old, jump = labels, labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         labels = cut(step.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), "labels")
+        drop(old)
         if labels.where("label <> old").isEmpty():
+            drop(both)
             return labels.select("node", "label")
 
 
@@ -308,25 +315,50 @@ def _rest(star: DataFrame, comp: DataFrame, elements: DataFrame, threshold: floa
     able = classes.join(other, (classes["cluster"] == other["cluster"]) & (F.least("x", "x2") < F.greatest("y", "y2")) & may, "left_semi").select("cluster", "gone", "fresh")
     counted = shaped.where("bounded").join(cut(able, "able"), ["cluster", "gone", "fresh"]).select("cluster", "node", "comp")
     live = cut(sharing.unionByName(counted).distinct(), "live")
+    drop(shaped, mixed, classes)
     sized = cut(live.join(elements, "node").join(split, "cluster"), "sized")
+    drop(live)
     count = cut(sized.groupBy("cluster").agg(F.ceil(F.sum(F.size("elements")) / BLOCK_ELEMENTS).cast("int").alias("blocks")), "blocks")
     dealt = sized.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     item = F.struct("node", "comp", "elements")
     right = cut(dealt.groupBy("cluster", "block").agg(F.collect_list(item).alias("right")), "right")
     outer = dealt.where("comp <> main").groupBy("cluster", "blocks", "block").agg(F.collect_list(item).alias("left"))
     left = cut(outer.select("cluster", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "left")
-    return cut(left.join(right, ["cluster", "block"]).select("left", "right").mapInArrow(_compare(threshold), "a long, b long"), "more-links")
+    links = cut(left.join(right, ["cluster", "block"]).select("left", "right").mapInArrow(_compare(threshold), "a long, b long"), "more-links")
+    drop(sized, count, right, left)
+    return links
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts (text_md5, first) with `node`: `first` for the least text of that id, else a hashed number of its own."""
+    owners = cut(texts.groupBy("first").agg(F.min("text_md5").alias("text_md5"), F.count(F.lit(1)).alias("n")), "owners")
+    if owners.where("n > 1").isEmpty():
+        drop(owners)
+        return texts.withColumn("node", F.col("first"))
+    others, salt = texts.join(owners, ["first", "text_md5"], "left_anti"), 0
+    taken = owners.select(F.col("first").alias("node"))
+    while True:
+        made = cut(others.withColumn("node", F.xxhash64("text_md5", F.lit(salt))), "numbers")
+        if made.unionByName(taken, allowMissingColumns=True).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return made.unionByName(owners.select("text_md5", "first", F.col("first").alias("node")))
+        drop(made)
+        salt += 1
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, text_md5, class_id, n_shingles."""
-    rows = keyed(docs, id_col, text_col)
-    signed = cut(rows.mapInArrow(_sign(shingle), "doc_id long, text_md5 binary, n long, bands array<bigint>"), "signatures")
-    usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    equal = cut(usable.groupBy("text_md5").agg(F.min("doc_id").alias("node")), "equal-texts")
-    nodes = cut(equal.groupBy(F.col("node").alias("doc_id")).agg(F.min("text_md5").alias("text_md5")), "nodes")
-    firsts = usable.join(nodes, ["doc_id", "text_md5"]).dropDuplicates(["doc_id"])
-    banded = firsts.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
+def _ties(usable: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(a, b): nodes of one id."""
+    several = cut(usable.groupBy("doc_id").agg(F.min("text_md5").alias("x"), F.max("text_md5").alias("y")).where("x < y").select("doc_id"), "several")
+    if several.isEmpty():
+        return None
+    each = cut(usable.select("doc_id", "text_md5").join(several, "doc_id").join(nodes, "text_md5").select("doc_id", "node").distinct(), "tied")
+    least = each.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return each.join(least, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+
+
+def _links_of(rows: DataFrame, usable: DataFrame, nodes: DataFrame, threshold: float, shingle: int) -> DataFrame | None:
+    """(node, label) of the nodes that are linked; nothing if none share a band."""
+    firsts = usable.join(nodes.withColumnRenamed("first", "doc_id"), ["doc_id", "text_md5"]).dropDuplicates(["node"])
+    banded = firsts.select(F.col("node").alias("b"), F.explode("bands").alias("band"))
     buckets = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     inside = cut(banded.join(buckets, "band"), "inside")
     central = cut(inside.groupBy("b").agg(F.sum("n").alias("s")), "central")
@@ -334,23 +366,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = cut(ranked.groupBy("band").agg(F.max("rank").alias("top")), "pivots")
     best = F.max("top")
     star = cut(inside.select("b", "band").join(pivots, "band").groupBy("b").agg(best.alias("top"), F.collect_set(-F.col("top.z")).alias("pivots")).select("b", (-F.col("top.z")).alias("a"), "pivots").where("a <> b"), "star")
-    found = None
-    if not star.isEmpty():
-        members = central.select(F.col("b").alias("doc_id")).join(nodes, "doc_id")
-        texts = rows.join(members, ["doc_id", "text_md5"]).dropDuplicates(["doc_id"]).select("doc_id", "text")
-        elements = cut(texts.mapInArrow(_elements(shingle), "node long, elements array<bigint>"), "elements")
-        found = roots(cut(_links(star.select("a", "b"), elements, threshold), "links"))
-        more = _rest(star, found, elements, threshold)
-        if more is not None and not more.isEmpty():
-            found = _joined(found, more)
-    out = signed.select("doc_id", "text_md5", "n").join(equal, "text_md5", "left")
+    drop(buckets, inside, pivots)
+    if star.isEmpty():
+        return None
+    members = central.select(F.col("b").alias("node")).join(nodes, "node").withColumnRenamed("first", "doc_id")
+    texts = rows.join(members, ["doc_id", "text_md5"]).dropDuplicates(["node"]).select("node", "text")
+    elements = cut(texts.mapInArrow(_elements(shingle), "node long, elements array<bigint>"), "elements")
+    drop(central)
+    found = roots(cut(_links(star.select("a", "b"), elements, threshold), "links"))
+    more = _rest(star, found, elements, threshold)
+    if more is not None and not more.isEmpty():
+        found = _joined(found, more)
+    drop(star, elements)
+    return found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """One row per row of docs: doc_id, text_md5, class_id, n_shingles."""
+    rows = keyed(docs, id_col, text_col)
+    signed = cut(rows.mapInArrow(_sign(shingle), "doc_id long, text_md5 binary, n long, bands array<bigint>"), "signatures")
+    usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    nodes = cut(_numbered(cut(usable.groupBy("text_md5").agg(F.min("doc_id").alias("first")), "equal-texts")), "nodes")
+    found, ties = _links_of(rows, usable, nodes, threshold, shingle), _ties(usable, nodes)
+    if ties is not None:
+        found = _joined(ties.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0) if found is None else found, ties)
+    classes = nodes.select("text_md5", F.col("first").alias("class"))
     if found is not None:
-        least = found.groupBy("label").agg(F.least(F.min("node"), F.col("label")).alias("first"))
-        own = found.select("node", "label").unionByName(found.select(F.col("label").alias("node"), "label")).distinct()
-        out = out.join(own.join(least, "label").select("node", F.col("first").alias("label")), "node", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
-    return out.select("doc_id", "text_md5", F.when(F.col("n") > 0, F.coalesce("label", "node", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
+        own = found.select("node", "label").unionByName(found.select(F.col("label").alias("node"), "label")).distinct().join(nodes, "node")
+        least = own.groupBy("label").agg(F.min("first").alias("class"))
+        named = own.join(least, "label").select("text_md5", "class")
+        classes = nodes.join(named, "text_md5", "left").select("text_md5", F.coalesce("class", "first").alias("class"))
+    classes, ids = cut(classes, "classes"), cut(signed.select("doc_id", "text_md5", "n"), "ids")
+    drop(signed, nodes)
+    in_class = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    out = ids.join(classes, "text_md5", "left")
+    return out.select("doc_id", "text_md5", F.when(in_class, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), F.col("n").alias("n_shingles"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
