@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"), "n_shingles")
+    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_shingles")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,19 +159,30 @@ def _regex(glob: str) -> str:
     return "".join({"*": "[\\s\\S]*", "?": "[\\s\\S]"}.get(c) or (c if c.isalnum() else "\\" + c) for c in glob)
 
 
+def _decoded(sql: str) -> str:
+    """SQL for the text with escapes of unreserved characters decoded and other escapes in capitals."""
+    char = "chr(coalesce(try_cast('0x' || x[1:2] as integer), 32))"
+    return rf"""array_to_string(list_transform(string_split({sql}, '%'), lambda x, i: case when i = 1 then x when not regexp_matches(x, '^[0-9A-Fa-f]{{2}}') then '%' || x
+      when regexp_matches({char}, '^[A-Za-z0-9._~-]$') then {char} || x[3:] else '%' || upper(x[1:2]) || x[3:] end), '')"""
+
+
 _URL_RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
-_URL_BLOCK = " or ".join(f"(regexp_full_match(host, '{_regex(h)}') and regexp_full_match(query, '{_regex(p)}'))" for h, p in urls.BLOCK_GLOBS)
+_URL_BLOCK = " or ".join(f"(regexp_full_match(chost, '{_regex(h)}') and regexp_full_match(cquery, '{_regex(p)}'))" for h, p in urls.BLOCK_GLOBS)
 OP8_SQL = rf"""
 with r(verdict, h, p) as (values {_URL_RULES}),
 u as (select page_id, case when contains(url, '://') then url[position('://' in url) + 3:] else '' end as rest from pages),
 s as (select page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
-        regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as query from u),
+        regexp_extract(rest, '^[^/?#]*[^?#]*(\?[^#]*)', 1) as query from u),
+c as (select *, regexp_replace(lower({_decoded(r"regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '')")}), '[.]+$', '') as chost,
+        array_to_string(list_reduce(list_transform(string_split(regexp_replace({_decoded("path")}, '/([.]{{1,2}})$', '/\1/'), '/'), lambda x: [x]),
+          lambda acc, x: case x[1] when '.' then acc when '..' then acc[:greatest(len(acc) - 1, 1)] else acc || x end), '/') || {_decoded("query")} as cquery from s),
 f as (select page_id, arg_max(h || p, len(h || p)) as rule, arg_max(verdict, len(h || p)) as verdict
       from s join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
-select page_id, host, path, rule, coalesce(verdict, case when host = '' or {_URL_BLOCK} then 'block' else 'allow' end) as verdict
-from s left join f using (page_id)
+select page_id, host, path, rule, coalesce(verdict, case when chost = '' or {_URL_BLOCK} then 'block' else 'allow' end) as verdict
+from c left join f using (page_id)
 """
 
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
