@@ -6,8 +6,12 @@ whitespace marker of the pieces stands for a space, so a marker character in the
 A character that no piece covers falls back to its bytes, at a score below every piece. Decoding joins the pieces' bytes
 and takes the first space away: it gives every text back exactly.
 
-Scores are whole millionths, so sums are exact and ties do not hang on rounding. A piece has spaces at its front only, so the best path of a text is the best paths of its segments (spaces and what
-follows them). Equal segments of a batch are encoded once, all of them together, one position at a time.
+Scores are whole millionths, so sums are exact and ties do not hang on rounding. A piece has spaces at its front only, so
+the best path of a text is the best paths of its segments (spaces and what follows them). Equal segments of a batch are
+encoded once, all of them together, one position at a time. A long segment is cut wherever no piece found in it crosses;
+what stays long is taken in blocks side by side, each with a run-up before it. A block holds if the scores of its run-up
+differ from those of the block before by the same number at every position that a piece can reach back to: then all its
+choices are those of the whole segment. Where one does not hold, the segment is walked byte by byte.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids; of equal scores the path whose
 last piece starts first wins, at every position.
@@ -26,12 +30,13 @@ from pyspark.sql import functions as F
 
 from ferryline.llm import words
 from ferryline.llm.shared import bounded_batches
-from ferryline.llm.tokenfiles import gather
+from ferryline.llm.tokenfiles import gather, spread
 
 MARK = "▁"
 MILLION, NEVER = 1_000_000, -(1 << 60)
-#: Segments of up to so many bytes are encoded side by side, longer ones one by one; segments to a matrix.
+#: Segments of up to so many bytes are encoded side by side, longer ones in blocks with run-ups; rows of a matrix for each.
 SHORT, MATRIX_ROWS = 48, 1 << 15
+BLOCK, RUN_UP, BLOCK_ROWS = 192, 64, 1 << 13
 _HEAD = np.ones(256, dtype=np.int64)
 _HEAD[0xC0:0xE0], _HEAD[0xE0:0xF0], _HEAD[0xF0:] = 2, 3, 4
 
@@ -111,7 +116,11 @@ def load(model_file: str) -> Pieces:
     """The pieces of a model file with byte pieces."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return of_model(sentencepiece.SentencePieceProcessor(model_file=model_file))
+
+
+def of_model(model) -> Pieces:
+    """The pieces of a sentencepiece processor with byte pieces."""
     n = model.get_piece_size()
     plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     names = {i: model.id_to_piece(i).replace(MARK, " ").encode() for i in plain}
@@ -143,8 +152,8 @@ def _step(p: Pieces, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, n
     return t, ok & (p.check[t] == state)
 
 
-def _viterbi(p: Pieces, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of the segments in a byte matrix, longest first."""
+def _forward(p: Pieces, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best score up to each position of the segments in a byte matrix, and length and id of the last piece there."""
     n, wide = rows.shape
     best = np.full((n, wide + 1), NEVER, np.int64)
     best[:, 0] = 0
@@ -177,6 +186,13 @@ def _viterbi(p: Pieces, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
             best[who, i + depth], token[who, i + depth], back[who, i + depth] = value[better], piece, depth
             more = size[alive] > i + depth
             state, alive = state[more], alive[more]
+    return best, back, token
+
+
+def _viterbi(p: Pieces, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of the segments in a byte matrix."""
+    n, wide = rows.shape
+    _, back, token = _forward(p, rows, size)
     out, at, count = np.zeros((n, wide), np.int32), size.copy(), np.zeros(n, np.int64)
     live = np.flatnonzero(at > 0)
     while len(live):
@@ -189,6 +205,75 @@ def _viterbi(p: Pieces, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray,
     return gather(flat, start + wide - count, count), count
 
 
+def _uncrossed(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Positions in the segments data[start:end] that no piece found there and no character crosses, starts included."""
+    size = end - start
+    every, limit, change = spread(start, size), np.repeat(end, size), np.zeros(len(data) + 1, np.int32)
+    for a in range(0, len(every), 1 << 20):
+        at, most = every[a : a + (1 << 20)], limit[a : a + (1 << 20)]
+        head = (data[at] & 0xC0) != 0x80
+        at, most = at[head], most[head]
+        change[at + 1] += 1
+        change[np.minimum(at + _HEAD[data[at]], most)] -= 1
+        state, depth = np.zeros(len(at), np.int64), 0
+        while len(at):
+            state, ok = _step(p, state, data[at + depth].astype(np.int64))
+            state, at, most = state[ok], at[ok], most[ok]
+            depth += 1
+            hit = at[p.value[state] >= 0]
+            change[hit + 1] += 1
+            change[hit + depth] -= 1
+            more = at + depth < most
+            state, at, most = state[more], at[more], most[more]
+    return every[np.cumsum(change)[every] == 0]
+
+
+def _heads(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The positions moved back to the first bytes of their characters."""
+    for _ in range(3):
+        at = at - ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
+    return at
+
+
+def _viterbi_blocks(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+    """Ids of long segments data[start:end], in blocks with run-ups."""
+    reach = int(p.text_length.max())
+    n = -(-(end - start) // BLOCK)
+    of = np.repeat(np.arange(len(start)), n)
+    mid = np.maximum(_heads(data, start[of] + BLOCK * spread(np.zeros_like(n), n)), start[of])
+    low = np.maximum(_heads(data, np.maximum(mid - max(RUN_UP, 2 * reach), start[of])), start[of])
+    high = np.append(mid[1:], 0)
+    high[np.cumsum(n) - 1] = end
+    back, token = np.zeros(len(data) + 1, np.int16), np.zeros(len(data) + 1, np.int32)
+    edges: list[list[np.ndarray]] = [[], []]
+    for a in range(0, len(of), BLOCK_ROWS):
+        lo, mi, hi, first = (x[a : a + BLOCK_ROWS] for x in (low, mid, high, start[of]))
+        size = hi - lo
+        at = lo[:, None] + np.arange(int(size.max()))[None, :]
+        best, b, t = _forward(p, data[np.minimum(at, len(data) - 1)], size)
+        row, place = np.repeat(np.arange(len(lo)), hi - mi), spread(mi + 1, hi - mi)
+        back[place], token[place] = b[row, place - lo[row]], t[row, place - lo[row]]
+        for kept, edge in zip(edges, (mi, hi), strict=True):  # scores before the block and at its end, less the last one
+            seen = edge[:, None] - np.arange(reach + 1)[None, :]
+            score = np.take_along_axis(best, np.maximum(seen - lo[:, None], 0), axis=1)
+            kept.append(np.where(seen < first[:, None], 0, np.where(score > NEVER, score - score[:, :1], NEVER)))
+    before, after = np.concatenate(edges[0]), np.concatenate(edges[1])
+    holds = np.ones(len(of), dtype=bool)
+    holds[1:] = (of[1:] != of[:-1]) | (before[1:] == after[:-1]).all(axis=1)
+    whole = np.bincount(of, weights=~holds, minlength=len(start)) == 0
+    out = []
+    for a, b, ok in zip(start.tolist(), end.tolist(), whole.tolist(), strict=True):
+        if not ok or reach + 4 > BLOCK:
+            out.append(_viterbi_long(p, data[a:b].tobytes()))
+            continue
+        step, ids, at, path = back[a : b + 1].tolist(), token[a : b + 1].tolist(), b - a, []
+        while at:
+            path.append(ids[at])
+            at -= step[at]
+        out.append(path[::-1])
+    return out
+
+
 def _viterbi_long(p: Pieces, segment: bytes) -> list[int]:
     """The same for one long segment."""
     n = len(segment)
@@ -242,6 +327,9 @@ def encode(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut[edge[edge < len(data)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))[: len(start)]
+        if (long := end - start > SHORT).any():
+            start = np.sort(np.concatenate([start[~long], _uncrossed(p, data, start[long], end[long])]))
+            end = np.append(start[1:], len(data))[: len(start)]
         value = words.BYTE_VALUES[data]
         keys = np.stack([words.spans_hash(value, start, end, b) for b in (words.WORD_BASE, words.WINDOW_BASE)], axis=1)
         _, first, which = np.unique(keys[:, 0], return_index=True, return_inverse=True)
@@ -250,7 +338,8 @@ def encode(p: Pieces, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         size = (end - start)[first]
         order = np.argsort(-size, kind="stable")
         long = int((size > SHORT).sum())
-        ids, n = [np.array(_viterbi_long(p, data[start[first[k]] : end[first[k]]].tobytes()), np.int32) for k in order[:long]], []
+        far = first[order[:long]]
+        ids = [np.array(x, np.int32) for x in _viterbi_blocks(p, data, start[far], end[far])] if long else []
         n = [np.array([len(x) for x in ids], np.int64)]
         for a in range(long, len(order), MATRIX_ROWS):
             part = order[a : a + MATRIX_ROWS]
