@@ -23,12 +23,7 @@ def in_chunk(condition: str | None, chunk: Column) -> Column:
 def range_chunks(df: DataFrame, key: str, n: int, by: list[str] | None = None) -> DataFrame:
     """Contiguous key ranges of near equal row counts: by, chunk_id (from 1), lower, upper, n_rows; in each group of `by`."""
     by = by or []
-    rows = numbered(df.select(*by, key), key, by=by)
-    if by:
-        total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-        rows = rows.join(total, by)
-    else:
-        rows = rows.withColumn("_total", F.lit(df.count()))
+    rows = numbered(df.select(*by, key), key, by=by, total="_total")
     tiled = rows.withColumn("chunk_id", tile(F.col("row_no"), F.col("_total"), n))
     return tiled.groupBy(*by, "chunk_id").agg(F.min(key).alias("lower"), F.max(key).alias("upper"), F.count(F.lit(1)).alias("n_rows"))
 
@@ -63,5 +58,5 @@ def assign_chunks(df: DataFrame, key: str, n: int, strategy: str = "auto", page_
     if strategy == "page":
         return pages(df, key, page_size).withColumnRenamed("page_no", "chunk_id").drop("row_no")
     if strategy == "range":
-        return numbered(df, key).withColumn("chunk_id", tile(F.col("row_no"), F.lit(df.count()), n)).drop("row_no")
+        return numbered(df, key, total="_total").withColumn("chunk_id", tile(F.col("row_no"), F.col("_total"), n)).drop("row_no", "_total")
     raise ValueError(f"no strategy {strategy}")

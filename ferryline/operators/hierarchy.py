@@ -7,14 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.sources.sink import scratch
-
-
-def _cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ferryline.sources.sink import cut
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -25,7 +18,7 @@ def _chains(one: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ends of chains of single parents, from (node, top): (node, top, dist) with a top that has none or several, and
     (node) of those that run into a ring. Chains double in each round."""
     inside = one.select(F.col("node").alias("top"), F.lit(True).alias("inner"))
-    step = _cut(one.join(inside, "top", "left").select("node", "top", F.lit(1).cast("long").alias("dist"), F.coalesce("inner", F.lit(False)).alias("inner")), "chains")
+    step = cut(one.join(inside, "top", "left").select("node", "top", F.lit(1).cast("long").alias("dist"), F.coalesce("inner", F.lit(False)).alias("inner")), "chains")
     done, last = [step.where("not inner")], None
     while True:
         above = step.where("inner")
@@ -35,7 +28,7 @@ def _chains(one: DataFrame) -> tuple[DataFrame, DataFrame]:
             return _union(done).drop("inner"), above.select("node")
         last = n
         far = _union([*done, above]).select(F.col("node").alias("top"), F.col("top").alias("up"), F.col("dist").alias("more"), F.col("inner").alias("on"))
-        step = _cut(above.join(far, "top").select("node", F.col("up").alias("top"), (F.col("dist") + F.col("more")).alias("dist"), F.col("on").alias("inner")), "chains")
+        step = cut(above.join(far, "top").select("node", F.col("up").alias("top"), (F.col("dist") + F.col("more")).alias("dist"), F.col("on").alias("inner")), "chains")
         done.append(step.where("not inner"))
 
 
@@ -44,13 +37,13 @@ def _branches(links: DataFrame) -> DataFrame:
     their links are, until none is left or the rest refers to a ring."""
     found = []
     while True:
-        new = _cut(links.groupBy("node").agg(F.max("level").alias("level"), F.every(F.col("level").isNotNull()).alias("settled")).where("settled").select("node", "level"), "settled")
+        new = cut(links.groupBy("node").agg(F.max("level").alias("level"), F.every(F.col("level").isNotNull()).alias("settled")).where("settled").select("node", "level"), "settled")
         found.append(new)
         if new.isEmpty():
             return _union(found)
         tops = new.select(F.col("node").alias("top"), F.col("level").alias("l"))
         left = links.join(new.select("node"), "node", "left_anti").join(tops, "top", "left")
-        links = _cut(left.select("node", "top", "dist", F.coalesce("level", F.col("dist") + F.col("l")).alias("level")), "links")
+        links = cut(left.select("node", "top", "dist", F.coalesce("level", F.col("dist") + F.col("l")).alias("level")), "links")
 
 
 def dependency_levels(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -61,10 +54,10 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame, max_depth: int | None
     has no longest chain: its level is null. With max_depth, levels above it and those of rings become max_depth."""
     known = nodes.select("node").distinct()
     edges = edges.where("node <> parent").join(known.select(F.col("node").alias("parent")), "parent", "left_semi").join(known, "node", "left_semi")
-    edges = _cut(edges.select("node", "parent").distinct(), "edges")
+    edges = cut(edges.select("node", "parent").distinct(), "edges")
     degree = edges.groupBy("node").agg(F.min("parent").alias("top"), F.count(F.lit(1)).alias("n"))
-    chains, ring = _chains(_cut(degree.where("n = 1").select("node", "top"), "one"))
-    many = _cut(degree.where("n > 1").select("node"), "many")
+    chains, ring = _chains(cut(degree.where("n = 1").select("node", "top"), "one"))
+    many = cut(degree.where("n > 1").select("node"), "many")
     ringed = ring.select("node", F.lit(None).cast("long").alias("level"))
     if many.isEmpty():
         levels = chains.select("node", F.col("dist").alias("level")).unionByName(ringed)
@@ -75,7 +68,7 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame, max_depth: int | None
         branching = many.select(F.col("node").alias("top"), F.lit(True).alias("open"))
         waiting = F.col("ring") | F.col("open").isNotNull()
         links = links.join(branching, "top", "left").select("node", "top", "dist", F.when(~waiting, F.col("dist")).alias("level"))
-        settled = _cut(many.join(_branches(_cut(links, "links")), "node", "left"), "branches")
+        settled = cut(many.join(_branches(cut(links, "links")), "node", "left"), "branches")
         tops = settled.select(F.col("node").alias("top"), F.col("level").alias("l"), F.lit(True).alias("open"))
         below = chains.join(tops, "top", "left").select("node", F.when(F.col("open"), F.col("dist") + F.col("l")).otherwise(F.col("dist")).alias("level"))
         levels = below.unionByName(settled).unionByName(ringed)
@@ -89,7 +82,7 @@ def descend(edges: DataFrame, node: str, parent: str, sep: str = "/") -> DataFra
     Walks double in each round: those of 2^k rows that end at no root yet are put behind the walks that end at their top,
     so the rounds are about log2(depth) and neither depth nor rows have a limit."""
     rows = edges.select(F.col(node).alias("node"), F.col(parent).alias("top"), F.array(F.col(node).cast("string")).alias("path"))
-    walks = _cut(rows.where("top is null or node <> top"), "walks")
+    walks = cut(rows.where("top is null or node <> top"), "walks")
     done = [walks.where("top is null")]
     while True:
         above = walks.where("top is not null")
@@ -97,7 +90,7 @@ def descend(edges: DataFrame, node: str, parent: str, sep: str = "/") -> DataFra
             break
         far = _union([*done, above]).select(F.col("node").alias("top"), F.col("top").alias("up"), F.col("path").alias("head"))
         longer = above.join(far, "top").where(~F.arrays_overlap("head", "path"))
-        walks = _cut(longer.select("node", F.col("up").alias("top"), F.concat("head", "path").alias("path")), "walks")
+        walks = cut(longer.select("node", F.col("up").alias("top"), F.concat("head", "path").alias("path")), "walks")
         done.append(walks.where("top is null"))
     walked = _union(done).select("node", F.size("path").alias("level"), F.when(F.col("node").isNotNull(), F.array_join("path", sep)).alias("path"))
     parents = edges.where(F.col(parent).isNotNull()).select(F.col(parent).alias("node")).distinct().withColumn("_p", F.lit(True))

@@ -1,38 +1,38 @@
 """Row numbers, pages and tiles over a whole table without a window over all rows.
 
-The key range is cut in buckets; counts per bucket give the offsets and a window numbers the rows inside each bucket, so
-no task sees more than a bucket and only counts are shared.
+The rows are dealt to the tasks by ranges of their order, sorted there and written with their place to the shared folder;
+counts of the places (one row for each task and group) give the offsets. Ranges come from quantiles of the whole order,
+ties and input places included, so neither outliers nor a hot key makes one task larger than the others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from ferryline.sources.sink import cut
 
 
-def numbered(df: DataFrame, key: str, ties: list[str] | None = None, by: list[str] | None = None, buckets: int = BUCKETS, into: str = "row_no") -> DataFrame:
-    """df with `into`, the row's number from 0 in order of a whole-number key (null first), in each group of `by`.
+def numbered(df: DataFrame, key: str, ties: list[str] | None = None, by: list[str] | None = None, into: str = "row_no", total: str | None = None) -> DataFrame:
+    """df with `into`, the row's number from 0 in order of `key` (null first), in each group of `by`, and the group's rows as
+    `total` if a name is given.
 
-    Runs one aggregate for the key's range. Equal keys follow `ties`."""
+    Equal keys follow `ties`, and then their places in the input."""
     by = by or []
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    low, high = (low or 0), (high or 0)
-    width = max(1, -(-(int(high) - int(low) + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col(key).cast("long") - F.lit(int(low)).cast("long")) / width).cast("int"), F.lit(-1))
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    spec = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = spec.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in ties or []])
-    placed = rows.withColumn("_place", F.row_number().over(inside))
-    same = [placed[c].eqNullSafe(offsets[c]) for c in [*by, "_bucket"]]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    return placed.join(offsets, on, "left").select(*[placed[c] for c in df.columns], (F.col("_offset") + F.col("_place") - 1).cast("long").alias(into))
+    order = [F.col(c).asc_nulls_first() for c in [*by, key, *(ties or []), "_input"]]
+    dealt = df.withColumn("_input", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(dealt.drop("_input").withColumns({"_task": F.spark_partition_id(), "_place": place}), "numbered")
+    counts = placed.groupBy("_task", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("_n").over(group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    keys = ["_task", *by]
+    offsets = counts.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_offset"), F.sum("_n").over(group).alias("_total"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
+    more = [F.col("_total").alias(total)] if total else []
+    return placed.join(offsets, same).select(*df.columns, (F.col("_place") + F.col("_offset")).cast("long").alias(into), *more)
 
 
 def tile(row_no: Column, total: Column, n: int) -> Column:

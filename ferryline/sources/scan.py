@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +35,17 @@ def count_rows(df: DataFrame, where: str | None = None, by: list[str] | None = N
     return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def estimate_rows(df: DataFrame, fraction: float = 0.1, seed: int = 7) -> DataFrame:
-    """n_rows estimated from a sample of whole rows; counted where the sample is empty."""
-    sampled = df.sample(fraction=fraction, seed=seed).agg(F.round(F.count(F.lit(1)) / fraction).cast("long").alias("n"))
-    guess = sampled.first()["n"]
-    if guess > 0:
-        return df.sparkSession.range(1).select(F.lit(guess).alias("n_rows"), F.lit(True).alias("estimated"))
+def table_statistics(spark: SparkSession, name: str) -> int | None:
+    """Rows of a catalog table as of its last ANALYZE TABLE; nothing if it has had none."""
+    for r in spark.sql(f"describe table extended {name}").where("col_name = 'Statistics'").collect():
+        found = re.search(r"(\d+) rows", r["data_type"])
+        if found:
+            return int(found[1])
+    return None
+
+
+def estimate_rows(df: DataFrame, statistics: int | None = None) -> DataFrame:
+    """n_rows, estimated: the rows that statistics tell, counted where they tell none (null, 0 or less)."""
+    if statistics is not None and statistics > 0:
+        return df.sparkSession.range(1).select(F.lit(statistics).cast("long").alias("n_rows"), F.lit(True).alias("estimated"))
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("estimated", F.lit(False))

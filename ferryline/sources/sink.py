@@ -13,9 +13,18 @@ MODES = ("recreate", "truncate", "append", "truncate_partition", "skip")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/ferryline/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares; a local one where none is set and Spark runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or f'{tempfile.gettempdir()}/checkpoints').rstrip('/')}/ferryline/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: later jobs restart from the files."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def resolve_mode(mode: str | None) -> str:
@@ -53,6 +62,21 @@ def load(df: DataFrame, path: str, mode: str | None = None, partition_by: list[s
     return "COMPLETED"
 
 
+def load_jdbc(df: DataFrame, url: str, table: str, mode: str | None = None, batch_size: int = 50_000, isolation: str = "READ_COMMITTED", **options: str) -> str:
+    """Write df to a database table by mode and return the state of the load: COMPLETED or SKIPPED.
+
+    Each task writes its rows in batches of batch_size and commits them as one transaction. recreate replaces table and
+    columns; truncate keeps the table's definition; append adds; skip writes nothing."""
+    mode = resolve_mode(mode)
+    if mode == "skip":
+        return "SKIPPED"
+    if mode == "truncate_partition":
+        raise ValueError("a database table is loaded whole or appended to")
+    how = {"batchsize": str(batch_size), "isolationLevel": isolation, "truncate": str(mode == "truncate").lower()} | options
+    df.write.mode("append" if mode == "append" else "overwrite").format("jdbc").options(url=url, dbtable=table, **how).save()
+    return "COMPLETED"
+
+
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     """The rows for which the condition is not true; unknown keeps the row."""
     return df.where(~F.coalesce(condition, F.lit(False)))
