@@ -18,11 +18,24 @@ def _all(columns: list[str], test) -> Column:
     return reduce(lambda a, b: a & b, [test(F.col(c)) for c in columns])
 
 
+def _counted(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
+    """pass, rule, name, violations of rules (rule, name, broken) that look at one row each; one pass for all of them."""
+    sums = df.agg(*[F.count_if(broken).alias(f"c{i}") for i, (_, _, broken) in enumerate(rules)])
+    rows = [F.struct(F.lit(2).alias("pass"), F.lit(rule).alias("rule"), F.lit(name).alias("name"), F.col(f"c{i}").cast("long").alias("violations")) for i, (rule, name, _) in enumerate(rules)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def _nulls(columns: list[str]) -> list[tuple[str, str, Column]]:
+    return [("not_null", c, F.col(c).isNull()) for c in columns]
+
+
+def _checks(conditions: list[str]) -> list[tuple[str, str, Column]]:
+    return [("check", c, F.expr(f"({c}) = false")) for c in conditions]
+
+
 def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: rule, name, violations; one pass for all columns."""
-    sums = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    rows = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("violations")) for c in columns])))
-    return rows.select(F.lit(2).alias("pass"), F.lit("not_null").alias("rule"), "name", F.col("violations").cast("long").alias("violations"))
+    """One row per column: rule, name, violations."""
+    return _counted(df, _nulls(columns))
 
 
 def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,16 +68,16 @@ def foreign_key(child: DataFrame, parent: DataFrame, columns: list[str], parent_
 
 def check(df: DataFrame, condition: str) -> DataFrame:
     """Rows for which the condition is false; unknown passes."""
-    return _result(df.agg(F.count_if(F.expr(f"({condition}) = false")).alias("violations")), "check", condition, 2)
+    return _counted(df, _checks([condition]))
 
 
 def check_all(df: DataFrame, spec: TableSpec, parents: dict[str, DataFrame]) -> DataFrame:
     """All rules of a table: pass (1 for the primary key, 2 for the others), rule, name, violations."""
     found = [primary_key(df, list(spec.primary_key))] if spec.primary_key else []
-    found += [not_null(df, list(spec.not_null))] if spec.not_null else []
+    by_row = _nulls(list(spec.not_null)) + _checks(list(spec.checks))
+    found += [_counted(df, by_row)] if by_row else []
     found += [unique(df, list(u)) for u in spec.unique]
     found += [foreign_key(df, parents[f.parent], list(f.columns), list(f.parent_columns), f"{','.join(f.columns)}->{f.parent}") for f in spec.foreign_keys]
-    found += [check(df, c) for c in spec.checks]
     return reduce(DataFrame.unionByName, found)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.operators import partitions, profile
+from ferryline.operators import contain, partitions, profile
 from ferryline.operators.ledger import expected_rows as expect
 from ferryline.queries.registry import query, table
 
@@ -45,25 +45,13 @@ def join_overlap(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("part")).agg(F.date_trunc("month", F.min("o_orderdate")).cast("timestamp_ntz").alias("lower"))
     parts = parts.withColumn("upper", F.add_months("lower", 1).cast("timestamp_ntz"))
     asked = table(spark, d, "events").groupBy("event_type").agg((F.min("ts") - F.expr("interval 9490 days")).alias("a"), (F.max("ts") - F.expr("interval 9400 days")).alias("b"))
-    return asked.join(F.broadcast(parts), partitions.overlaps(F.col("lower"), F.col("upper"), F.col("a"), F.col("b"))).select("event_type", "part")
+    return partitions.join_overlaps(asked, parts, ("a", "b"), ("lower", "upper")).select("event_type", "part")
 
 
 @query("join_contains", "select doc_id, item_id from documents join benchmark on contains(documents.text, benchmark.text)")
 def join_contains(spark: SparkSession, d: str) -> DataFrame:
-    """Texts that contain a passage. A passage's longest word is a key that its holders must have, so rows meet by word."""
-    item = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    inner = F.filter(F.split("passage", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    inside = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))
-    # words at the ends may go on in the text, so only whole inner words are keys; passages of two words or less are tested one by one
-    keyed = item.withColumn("word", F.array_max(F.transform(inside, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"])
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    words = F.array_distinct(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    long, short = keyed.where("word is not null"), keyed.where("word is null")
-    wanted = long.select("word").distinct()
-    held = docs.select("doc_id", F.explode(words).alias("word")).join(wanted, "word", "left_semi")
-    met = held.join(long, "word").select("doc_id", "item_id", "passage").join(docs, "doc_id").where(F.contains("text", F.col("passage")))
-    rest = docs.join(short, F.contains("text", F.col("passage")))
-    return met.select("doc_id", "item_id").unionByName(rest.select("doc_id", "item_id"))
+    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return contain.containing(docs, "doc_id", "text", items, "item_id", "passage")
 
 
 @query("join_self_fk", """
