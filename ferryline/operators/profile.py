@@ -32,6 +32,11 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, type string, nullable boolean")
 
 
+def described(df: DataFrame) -> DataFrame:
+    """schema_rows() with the figures of profile_columns()."""
+    return schema_rows(df).join(profile_columns(df).drop("type"), "column_name").select("position", "column_name", "type", "nullable", "n_null", "n_empty")
+
+
 def join_stats(names: DataFrame, key: str, *stats: DataFrame) -> DataFrame:
     """names with the figures of each statistics table; 0 where one has none."""
     for s in stats:

@@ -46,6 +46,6 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def column_checksums(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, checksum: an order-free checksum of each column, to compare two copies of a table."""
-    sums = df.agg(*[F.bit_xor(F.xxhash64(c)).alias(c) for c in columns])
+    """column_name, checksum: the sum of the hashes of each column's values, to compare two copies of a table in any order."""
+    sums = df.agg(*[F.coalesce(F.sum(F.xxhash64(c).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias(c) for c in columns])
     return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("checksum")) for c in columns])))

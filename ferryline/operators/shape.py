@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryline.operators.order import numbered
+from ferryline.operators.walk import walked
 
 
 def rename_columns(df: DataFrame, table: str, case: str = "lower", overrides: dict[str, str] | None = None) -> DataFrame:
@@ -94,18 +96,18 @@ def batches_by_bytes(df: DataFrame, chunk: str, key: str, size: int, max_bytes:
     The rule is greedy, so each chunk is walked in key order; only key and size of the rows travel."""
     rows = df.select(chunk, key, row_bytes(df).alias("n_bytes"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "n_bytes"], kind="stable")
-        out, batch, n, total = [], 0, 0, 0
-        for b in pdf["n_bytes"].tolist():
+    def walk(state, part: pd.DataFrame):
+        batch, n, total = state or (0, 0, 0)
+        out = []
+        for b in part["n_bytes"].tolist():
             out.append(batch)
             n, total = n + 1, total + b
             if n >= size or total >= max_bytes:
                 batch, n, total = batch + 1, 0, 0
-        return pdf.assign(batch_no=out)[[chunk, key, "batch_no"]]
+        return (batch, n, total), part.assign(batch_no=out)[[chunk, key, "batch_no"]]
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy(chunk).applyInPandas(walk, f"{chunk} {kinds[chunk]}, {key} {kinds[key]}, batch_no long")
+    return walked(rows, [chunk], [key, "n_bytes"], walk, f"{chunk} {kinds[chunk]}, {key} {kinds[key]}, batch_no long")
 
 
 def transform_rows(df: DataFrame, hook) -> DataFrame:

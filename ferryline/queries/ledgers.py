@@ -157,7 +157,7 @@ def ledger_keys(spark: SparkSession, d: str) -> DataFrame:
     return ledger(spark, d).select("job_id", L.unit_key(F.col("table_name"), part, chunk).alias("unit"))
 
 
-@query("ledger_fingerprint")
+@query("ledger_fingerprint", f"""{_L} select job_id, sha256('{{"run_id":"' || run_id || '","table_name":"' || table_name || '","partition_key":"' || partition_key || '","phase":"' || phase || '"}}') as fingerprint from l""")
 def ledger_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return ledger(spark, d).select("job_id", L.fingerprint(["run_id", "table_name", "partition_key", "phase"]).alias("fingerprint"))
 

@@ -78,9 +78,10 @@ def count_exact(spark: SparkSession, d: str) -> DataFrame:
     return scan.count_rows(table(spark, d, "orders").withColumn("part", F.date_format("o_orderdate", "yyyy-MM")), "o_totalprice > 5000", ["part"])
 
 
-@query("count_estimated")
+@query("count_estimated", "select count(*) as n_rows, false as estimated from lineitem")
 def count_estimated(spark: SparkSession, d: str) -> DataFrame:
-    return scan.estimate_rows(table(spark, d, "lineitem"), 0.1)
+    """Files without statistics of a catalog are counted, from their footers."""
+    return scan.estimate_rows(table(spark, d, "lineitem"))
 
 
 @query("filter_and_chunk", "select l_orderkey, l_linenumber, l_quantity from lineitem where (l_quantity > 45 or l_discount > 0.09) and l_orderkey % 8 = 3")
@@ -182,17 +183,32 @@ def batches_by_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderkey").alias("lower"))
 
 
-@query("batches_by_bytes")
+@query("batches_by_bytes", """
+with recursive r as (select doc_id, cast(c // 200 as bigint) as chunk_id, c % 200 as i,
+    coalesce(strlen(text), 4) + coalesce(strlen(lang), 4) + coalesce(strlen(source), 4) + case when n_chars is null then 4 else 16 end + 32 as b
+  from (select *, row_number() over (order by doc_id) - 1 as c from documents)),
+w as (select chunk_id, i, doc_id, cast(0 as bigint) as batch_no, case when b >= 64000 then 0 else 1 end as n, case when b >= 64000 then 0 else b end as total, b >= 64000 as closed from r where i = 0
+  union all select r.chunk_id, r.i, r.doc_id, w.batch_no + case when w.closed then 1 else 0 end, case when w.n + 1 >= 50 or w.total + r.b >= 64000 then 0 else w.n + 1 end,
+    case when w.n + 1 >= 50 or w.total + r.b >= 64000 then 0 else w.total + r.b end, w.n + 1 >= 50 or w.total + r.b >= 64000
+  from w join r on r.chunk_id = w.chunk_id and r.i = w.i + 1)
+select chunk_id, doc_id, batch_no from w""")
 def batches_by_bytes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("chunk_id", chunks.hash_chunk(F.col("doc_id"), 32, arithmetic=True))
+    """Chunks of 200 documents, so that there are more of them as the table grows."""
+    docs = numbered(table(spark, d, "documents"), "doc_id").withColumn("chunk_id", F.floor(F.col("row_no") / 200).cast("long")).drop("row_no")
     return shape.batches_by_bytes(docs, "chunk_id", "doc_id", 50, 64_000)
 
 
-@query("profile_json")
+_FIGURES = ", ".join(f"count(*) - count({c}) as n{i}" for i, c in enumerate(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
+_COLUMNS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+
+
+@query("profile_json", f"with f as (select {_FIGURES}, count(*) filter (o_orderstatus = '') as e2, count(*) filter (o_orderpriority = '') as e5 from orders) " + " union all ".join(
+    f"select cast({i} as integer) as position, '{c}' as column_name, '{t}' as type, true as nullable, n{i}::bigint as n_null, {f'e{i}' if t == 'string' else 0}::bigint as n_empty from f" for i, (c, t) in enumerate(_COLUMNS)))
 def profile_json(spark: SparkSession, d: str) -> DataFrame:
-    path = sink.scratch(spark, "schema")
-    profile.schema_rows(table(spark, d, "orders")).write.json(path)
-    return spark.read.schema("position int, column_name string, type string, nullable boolean").json(path)
+    """Schema and figures of a table as JSON lines, read back."""
+    path, kinds = sink.scratch(spark, "schema"), "position int, column_name string, type string, nullable boolean, n_null long, n_empty long"
+    profile.described(table(spark, d, "orders")).write.json(path)
+    return spark.read.schema(kinds).json(path)
 
 
 @query("assign_chunks_auto", "select cast(chunk_id as integer) as chunk_id, count(*) as n_rows from (select ntile(7) over (order by o_orderkey) as chunk_id from orders) group by 1")

@@ -22,14 +22,6 @@ class SourceColumn:
     nullable: bool = True
 
 
-@dataclass(frozen=True)
-class PartitionSpec:
-    """Kind range, list or hash; keys are the partition columns."""
-
-    kind: str
-    keys: tuple[str, ...]
-
-
 @dataclass(frozen=True)
 class ForeignKey:
     columns: tuple[str, ...]
@@ -45,7 +37,6 @@ class TableSpec:
     unique: tuple[tuple[str, ...], ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
     checks: tuple[str, ...] = ()
-    partition: PartitionSpec | None = None
     overrides: dict[str, str] = field(default_factory=dict)
 
 
