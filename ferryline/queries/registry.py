@@ -54,7 +54,10 @@ from ({LEDGER_SQL})"""
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run ledger that the event table stands for."""
-    e = table(spark, sf_dir, "events")
+    return as_ledger(table(spark, sf_dir, "events"))
+
+
+def as_ledger(e: DataFrame) -> DataFrame:
     state = (
         F.when(F.col("event_type") == "signup", "PENDING").when(F.col("event_type") == "view", "RUNNING").when(F.col("event_type") == "click", "COMPLETED")
         .when(F.col("event_type") == "purchase", "SKIPPED").when(F.col("event_id") % 7 == 0, "RETRYING").otherwise("FAILED")
@@ -74,10 +77,14 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress events on the ledger."""
+    return as_progress(table(spark, sf_dir, "events"))
+
+
+def as_progress(events: DataFrame) -> DataFrame:
     d = F.lit(1000).cast("long") + F.col("job_id") % 500
     read = F.floor(d * (F.col("job_id") % 10) / 10).cast("long")
     percent = F.least(F.col("rows_copied") * 100.0 / F.greatest("rows_expected", F.lit(1)), F.lit(100)).cast("double")
-    return ledger(spark, sf_dir).select(
+    return as_ledger(events).select(
         F.col("job_id").alias("event_id"), "table_name", "partition_key", F.col("started_at").alias("ts"), "state", F.col("rows_copied").alias("rows"),
         (F.col("rows_copied") % 1000).alias("speed"), percent.alias("percent"), d.alias("duration_ms"), read.alias("read_time_ms"), (d - read).alias("write_time_ms"),
         (1 + F.col("job_id") % 5).alias("batches"), (F.col("job_id") % 200).alias("acquire_wait_ms"),

@@ -5,7 +5,7 @@ twin over a finished log; both give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ferryline.operators.ledger import strip_chunk
+from ferryline.operators.walk import walked
 
 #: Events that always pass the throttle.
 TERMINAL = ("FAILED", "STATS", "COMPLETED")
@@ -43,19 +44,18 @@ def _passes(state: str, ts: pd.Timestamp, last: float | None, seconds: float) ->
 def throttled(events: DataFrame, seconds: float = 1.0) -> DataFrame:
     """At most one event per unit and interval, counted from the last one that passed; terminal events always pass.
 
-    The rule is greedy, so the events of one unit are walked in order of time; a unit's log is small."""
+    The rule is greedy, so the events of a unit are walked in order of time."""
     rows = events.select("table_name", "partition_key", F.col("ts").cast("timestamp").alias("ts"), "state", "rows", "event_id")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        keep, last = [], None
-        for state, ts in zip(pdf["state"], pdf["ts"], strict=True):
+    def walk(last, part: pd.DataFrame):
+        keep = []
+        for state, ts in zip(part["state"], part["ts"], strict=True):
             ok = _passes(state, ts, last, seconds)
             last = ts.timestamp() if ok else last
             keep.append(ok)
-        return pdf[keep]
+        return last, part[keep]
 
-    return rows.groupBy("table_name", "partition_key").applyInPandas(walk, EVENT)
+    return walked(rows, ["table_name", "partition_key"], ["ts", "event_id"], walk, EVENT)
 
 
 class Throttle(StatefulProcessor):
@@ -127,15 +127,19 @@ def stall_stream(events: DataFrame, minutes: int = 30, watermark: str = "1 minut
     return rows.groupBy("table_name", "partition_key").transformWithStateInPandas(Stall(minutes), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
-def chunk_progress(events: DataFrame, planned: DataFrame | None = None) -> DataFrame:
-    """Latest rows of each chunk summed per table and partition, with latest speed, counts by state, and state.
+def latest_units(events: DataFrame) -> DataFrame:
+    """The newest figures of each unit, and when they came. Works on streams; its state is a row for each unit."""
+    newest = F.struct("ts", "event_id")
+    figures = [c for c in ("rows", "speed", "percent", "state") if c in events.columns]
+    return events.groupBy("table_name", "partition_key").agg(*[F.max_by(c, newest).alias(c) for c in figures], F.max(newest).alias("at"))
+
+
+def progress_of(units: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """latest_units() summed per table and partition, with latest speed, counts by state, and state.
 
     planned (table_name, part, n_chunks) says how many chunks there will be; without it the chunks seen are all."""
-    unit = ["table_name", "partition_key"]
-    newest = F.struct("ts", "event_id")
-    chunks = events.groupBy(*unit).agg(F.max_by("rows", newest).alias("rows"), F.max_by("speed", newest).alias("speed"), F.max_by("state", newest).alias("state"), F.max(newest).alias("at"))
     of = lambda s: F.count_if(F.col("state") == s)
-    sums = chunks.groupBy("table_name", strip_chunk(F.col("partition_key")).alias("part")).agg(
+    sums = units.groupBy("table_name", strip_chunk(F.col("partition_key")).alias("part")).agg(
         F.sum("rows").alias("rows"), F.max_by("speed", "at").alias("speed"), F.count(F.lit(1)).alias("n_chunks"),
         of("RUNNING").alias("n_running"), of("COMPLETED").alias("n_done"), of("FAILED").alias("n_failed"),
     )
@@ -147,6 +151,26 @@ def chunk_progress(events: DataFrame, planned: DataFrame | None = None) -> DataF
     return sums.withColumn("state", state).select("table_name", "part", "rows", "speed", "n_chunks", "n_running", "n_done", "n_failed", "state")
 
 
+def chunk_progress(events: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """progress_of() over a finished log."""
+    return progress_of(latest_units(events), planned)
+
+
+def rollup_of(units: DataFrame) -> DataFrame:
+    """latest_units() per table: rows, speed, mean percent of the running ones."""
+    running = F.when(F.col("state") == "RUNNING", F.col("percent"))
+    return units.groupBy("table_name").agg(F.sum("rows").alias("rows"), F.sum("speed").alias("speed"), F.round(F.avg(running), 4).alias("percent"))
+
+
+def kept_table(units: DataFrame, shape: Callable[[DataFrame], DataFrame], path: str) -> StreamingQuery:
+    """Keep shape(rows) of a complete streaming aggregate as the table `path`/table; after each batch it is as of then."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        shape(batch).write.mode("overwrite").parquet(f"{path}/table")
+
+    return units.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+
 def stats_totals(events: DataFrame, by: list[str], rounding: str = "truncate") -> DataFrame:
     """Rows, duration, read and write time, batches; shares of the duration, rows per second, rows per batch. Works on streams."""
     whole = (lambda c: F.floor(c)) if rounding == "truncate" else (lambda c: F.round(c))
@@ -165,11 +189,8 @@ def bottleneck(stats: DataFrame) -> DataFrame:
 
 
 def live_rollup(events: DataFrame) -> DataFrame:
-    """Per table over the latest event of each unit: rows, speed, mean percent of the running ones."""
-    newest = F.struct("ts", "event_id")
-    units = events.groupBy("table_name", "partition_key").agg(*[F.max_by(c, newest).alias(c) for c in ("rows", "speed", "percent", "state")])
-    running = F.when(F.col("state") == "RUNNING", F.col("percent"))
-    return units.groupBy("table_name").agg(F.sum("rows").alias("rows"), F.sum("speed").alias("speed"), F.round(F.avg(running), 4).alias("percent"))
+    """rollup_of() over a finished log."""
+    return rollup_of(latest_units(events))
 
 
 def windowed(events: DataFrame, window: str, keys: list[str], watermark: str | None = None) -> DataFrame:
