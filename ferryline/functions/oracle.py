@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -199,3 +200,32 @@ def listagg(value: Column, order: list[Column | str], sep: str = ",") -> Column:
 def wm_concat(value: Column) -> Column:
     """Values joined by commas, sorted so that the result is one."""
     return listagg(value, [value])
+
+
+_DAYS = re.compile(r"SYSDATE\s*([+-])\s*(\d+(?:\.\d+)?)(?:\s*/\s*(\d+))?")
+_DATE_TEXT = re.compile(r"TO_DATE\s*\(\s*'([^']*)'\s*,\s*'([^']*)'\s*(?:,\s*'[^']*'\s*)?\)", re.IGNORECASE)
+
+
+def default_value(text: str, as_of: Column | None = None) -> Column:
+    """Column of a column's default as the source writes it: NULL, a clock with or without days added, an id, the user, a
+    date's text, a string, a number. as_of fixes the clock."""
+    text = text.strip()
+    upper = text.upper()
+    simple = {
+        "NULL": lambda: F.lit(None), "SYSDATE": lambda: sysdate(as_of), "TRUNC(SYSDATE)": lambda: trunc(sysdate(as_of)), "SYSTIMESTAMP": lambda: systimestamp(as_of),
+        "SYS_GUID()": sys_guid, "USER": lambda: session("USER"),
+    }
+    if upper in simple:
+        return simple[upper]()
+    if m := _DAYS.fullmatch(upper):
+        seconds = round(float(m[2]) * 86_400 / int(m[3] or 1)) * (1 if m[1] == "+" else -1)
+        return sysdate(as_of) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+    if m := _DATE_TEXT.fullmatch(text):
+        return to_date(F.lit(m[1].strip()), m[2])
+    if m := re.fullmatch(r"N?'((?:[^']|'')*)'", text):
+        return F.lit(m[1].replace("''", "'"))
+    if re.fullmatch(r"[+-]?\d+", text):
+        return F.lit(int(text))
+    if re.fullmatch(r"[+-]?(\d+\.\d*|\.\d+)", text):
+        return F.lit(Decimal(text))
+    raise ValueError(f"no default value {text}")

@@ -5,20 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Constructs that need work by hand, and how they are found (case-blind).
-FLAGS = {
-    "CONNECT BY": r"\bCONNECT\s+BY\b", "outer join (+)": r"\(\s*\+\s*\)", "MERGE INTO": r"\bMERGE\s+INTO\b", "PACKAGE": r"\bPACKAGE\b",
-    "COMMIT": r"\bCOMMIT\s*;", "%TYPE": r"%(ROW)?TYPE\b", "BULK COLLECT": r"\bBULK\s+COLLECT\b", "FORALL": r"\bFORALL\b", "SYS_REFCURSOR": r"\bSYS_REFCURSOR\b",
-    "TYPE IS": r"\bTYPE\s+\w+\s+IS\s+(TABLE|RECORD)\b", "cursor use": r"\b(OPEN|FETCH|CLOSE)\s+\w+", "SAVEPOINT": r"\bSAVEPOINT\b", "PIPELINED": r"\bPIPELINED\b",
-    "UTL_FILE": r"\bUTL_FILE\b", "DBMS_SQL": r"\bDBMS_SQL\b", "DBMS_JOB": r"\bDBMS_(JOB|SCHEDULER)\b", "DBMS_CRYPTO": r"\bDBMS_CRYPTO\b", "ROWID": r"\bROWID\b",
-    "AUTONOMOUS_TRANSACTION": r"\bAUTONOMOUS_TRANSACTION\b", "RESULT_CACHE": r"\bRESULT_CACHE\b", "SQL%ROWCOUNT": r"\bSQL%ROWCOUNT\b", "ROWNUM": r"\bROWNUM\b",
-    "INSTR with position": r"\bINSTR\s*\([^(),]*,[^(),]*,",
+# Constructs of the source dialect that need work by hand, each with the phrases that show it. In a phrase
+# words are keywords, @ is any name, and other characters stand for themselves.
+CONSTRUCTS = {
+    "CONNECT BY": ["CONNECT BY"], "outer join (+)": ["( + )"], "MERGE INTO": ["MERGE INTO"], "PACKAGE": ["PACKAGE"], "COMMIT": ["COMMIT ;", "COMMIT WORK"],
+    "%TYPE": ["% TYPE", "% ROWTYPE"], "BULK COLLECT": ["BULK COLLECT"], "FORALL": ["FORALL"], "SYS_REFCURSOR": ["SYS_REFCURSOR"],
+    "TYPE IS": ["TYPE @ IS TABLE", "TYPE @ IS RECORD", "TYPE @ IS VARRAY"], "cursor use": ["OPEN @ FOR", "OPEN @ ;", "FETCH @ INTO", "FETCH @ BULK", "CLOSE @ ;"],
+    "SAVEPOINT": ["SAVEPOINT"], "PIPELINED": ["PIPELINED"], "UTL_FILE": ["UTL_FILE"], "DBMS_SQL": ["DBMS_SQL"], "DBMS_JOB": ["DBMS_JOB"], "DBMS_SCHEDULER": ["DBMS_SCHEDULER"],
+    "DBMS_CRYPTO": ["DBMS_CRYPTO"], "ROWID": ["ROWID"], "AUTONOMOUS_TRANSACTION": ["AUTONOMOUS_TRANSACTION"], "RESULT_CACHE": ["RESULT_CACHE"], "SQL%ROWCOUNT": ["SQL % ROWCOUNT"], "ROWNUM": ["ROWNUM"],
 }
-# Rewrites that need no context, in order.
+# Names that have another name in the target.
+NAMES = {
+    "SYSTIMESTAMP": "CURRENT_TIMESTAMP", "SYSDATE": "CURRENT_DATE", "MINUS": "EXCEPT",
+    "VARCHAR2": "VARCHAR", "NVARCHAR2": "VARCHAR", "NUMBER": "NUMERIC", "PLS_INTEGER": "INTEGER", "BINARY_INTEGER": "INTEGER", "CLOB": "TEXT", "NCLOB": "TEXT", "BLOB": "BYTEA",
+    "DUP_VAL_ON_INDEX": "unique_violation", "ZERO_DIVIDE": "division_by_zero", "TOO_MANY_ROWS": "too_many_rows", "VALUE_ERROR": "data_exception", "INVALID_NUMBER": "invalid_text_representation",
+    "LOGIN_DENIED": "insufficient_privilege", "CURSOR_ALREADY_OPEN": "duplicate_cursor", "INVALID_CURSOR": "invalid_cursor_state",
+}
+# Pragmas that only instruct the source's compiler.
+PRAGMAS = ["EXCEPTION_INIT", "INLINE", "RESTRICT_REFERENCES", "SERIALLY_REUSABLE", "UDF"]
+
+
+def phrase(text: str) -> str:
+    """Regular expression of a phrase: white space between words, and perhaps around other characters."""
+    out, last = "", ""
+    for x in text.split():
+        word = x == "@" or x[0].isalnum()
+        out += ("" if not out else r"\s+" if word and last else r"\s*") + (r"\w+" if x == "@" else rf"\b{x}\b" if word else "[" + x + "]")
+        last = word
+    return out
+
+
+#: What finds each construct, blind to case.
+FLAGS = {name: "|".join(map(phrase, phrases)) for name, phrases in CONSTRUCTS.items()} | {"INSTR with position": r"\bINSTR\s*\([^(),]*,[^(),]*,"}
+#: Rewrites that need no context, in order; \1 is the first group.
 REWRITES = [
-    (r"(?i)\bSYSTIMESTAMP\b", "CURRENT_TIMESTAMP"), (r"(?i)\bSYSDATE\b", "CURRENT_DATE"), (r"(?i)\s+FROM\s+DUAL\b", ""), (r"(?i)\bMINUS\b", "EXCEPT"),
-    (r"(?i)\bPRAGMA\s+\w+(\s*\([^)]*\))?\s*;", ""), (r"(?i)\bNOCOPY\s+", ""), (r"(?i)\bN?VARCHAR2\b", "VARCHAR"), (r"(?i)\bNUMBER\b", "NUMERIC"),
-    (r"(?i)\bPLS_INTEGER\b", "INTEGER"), (r"(?i)\bCLOB\b", "TEXT"), (r"(?i)\bDUP_VAL_ON_INDEX\b", "UNIQUE_VIOLATION"), (r"(?i)\bZERO_DIVIDE\b", "DIVISION_BY_ZERO"),
+    (r"\s+FROM\s+DUAL\b", ""), (rf"\bPRAGMA\s+({'|'.join(PRAGMAS)})\b[^;]*;", ""), (r"\bNOCOPY\s+", ""), (r"\b\w+%NOTFOUND\b", "NOT FOUND"), (r"\b\w+%FOUND\b", "FOUND"),
+    (r"\bDATE(\s*(;|,|\)|:=|NOT\b|DEFAULT\b))", r"TIMESTAMP\1"), *((rf"\b{old}\b", new) for old, new in NAMES.items()),
 ]
 
 
@@ -34,8 +56,9 @@ def warnings(text: Column, flags: dict[str, str] | None = None) -> Column:
 
 
 def normalise(text: Column, rewrites: list[tuple[str, str]] | None = None) -> Column:
+    """The text after all rewrites, blind to case, in their order."""
     for pattern, by in rewrites or REWRITES:
-        text = F.regexp_replace(text, pattern, by)
+        text = F.regexp_replace(text, f"(?i){pattern}", by.replace("\\1", "$1"))
     return text
 
 

@@ -49,6 +49,8 @@ _orders(
 )
 _orders("sysdate", lambda: O.sysdate(), None)
 _orders("systimestamp", lambda: O.systimestamp(), None)
+_orders("sysdate_as_of", lambda: O.sysdate(_noon() + F.expr("interval 1500 milliseconds")), f"{_NOON} + interval 1 second")
+_orders("systimestamp_as_of", lambda: O.systimestamp(_noon()), _NOON)
 _orders("trunc_day", lambda: O.trunc(_noon()), f"cast(date_trunc('day', {_NOON}) as timestamp)")
 _orders("trunc_unit", lambda: F.when(c("o_orderkey") % 2 == 0, O.trunc(_noon(), "MM")).otherwise(O.trunc(_noon(), "YYYY")), f"cast(case when o_orderkey % 2 = 0 then date_trunc('month', {_NOON}) else date_trunc('year', {_NOON}) end as timestamp)")
 _orders("add_months", lambda: O.add_months(c(_D), (c("o_orderkey") % 14).cast("int"), month_ends=True), f"cast(case when cast({_D} as date) = last_day({_D}) then last_day({_D} + to_months(cast(o_orderkey % 14 as integer))) else {_D} + to_months(cast(o_orderkey % 14 as integer)) end as date)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferryline.functions.oracle import default_value
 from ferryline.operators import partitions, shape
 from ferryline.queries.registry import query, table
 
@@ -50,7 +51,7 @@ select o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'X') as o_orderstatus, c
 def fill_defaults(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")).alias("o_orderdate"))
     as_of = F.lit("2000-01-31 00:00:00").cast("timestamp_ntz")
-    return shape.fill_defaults(rows, {"o_orderstatus": F.lit("X"), "o_orderdate": as_of - F.expr("interval 7 days")})
+    return shape.fill_defaults(rows, {"o_orderstatus": default_value("'X'"), "o_orderdate": default_value("SYSDATE - 7", as_of)})
 
 
 @query("filter_like_in", "select p_partkey, p_type from part where p_type like '%_A%' and p_brand not in ('Brand#1', 'Brand#2') and p_size in (1, 5, 9, 13)")

@@ -10,19 +10,34 @@ from ferryline.queries.registry import query, table
 
 # The corpus holds prose, so these flags and rewrites stand for constructs: words and marks that it has.
 _FLAGS = {"shout": r"[A-Z]{4,}!!", "rights": r"\bAll rights reserved\b", "mail": r"[\w.]+@[\w.]+\.\w+", "percent": r"%%%", "the of": r"\bthe\s+of\b"}
-_REWRITES = [(r"(?i)\ball rights reserved\b\.?", ""), (r"(?i)\bthe\s+of\b", "of"), (r"[%&$#*]{3}", ""), (r"[ \t]+", " ")]
+_REWRITES = [(r"\ball rights reserved\b\.?", ""), (r"\bthe\s+of\b", "of"), (r"[%&$#*]{3}", ""), (r"[ \t]+", " ")]
 
 
 def _flag(p: str) -> str:
     return f"regexp_matches(text, '(?i){p}')"
 
 
-def _rewritten(sql: str) -> str:
-    for p, by in _REWRITES:
-        sql = f"regexp_replace({sql}, '{p}', '{by}', 'g')"
+def _rewritten(sql: str, rewrites: list[tuple[str, str]]) -> str:
+    for p, by in rewrites:
+        sql = f"regexp_replace({sql}, '(?i){p}', '{by}', 'g')"
     return sql
 
 
+# Lines of database code, one for each text: the tables hold none.
+_CODE = [
+    "BEGIN OPEN c FOR SELECT x FROM DUAL; FETCH c INTO v; CLOSE c; END;", "v NUMBER(10) := NVL(a, 0); d DATE; PRAGMA EXCEPTION_INIT(e, -1); n PLS_INTEGER;", "SELECT SYSDATE FROM DUAL MINUS SELECT b FROM t WHERE ROWNUM < 5",
+    "EXCEPTION WHEN DUP_VAL_ON_INDEX THEN NULL; WHEN ZERO_DIVIDE THEN RAISE; COMMIT;", "open door; fetch the ball; TYPE t IS TABLE OF emp%ROWTYPE; PRAGMA AUTONOMOUS_TRANSACTION;",
+    "PROCEDURE p(a IN OUT NOCOPY CLOB, b VARCHAR2(9)) IS BEGIN EXIT WHEN c%NOTFOUND; END;", "SELECT a.x FROM a, b WHERE a.id = b.id (+) AND INSTR(s, ';', 2) > 0 CONNECT  BY PRIOR id = up", "x := dbms_sql.open_cursor; MERGE\nINTO t; n := SQL%ROWCOUNT;",
+]
+_CODE_SQL = "case page_id % 8 " + " ".join(f"when {i} then '" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(_CODE)) + " end || ' ' || coalesce(html, '')"
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's source behind a line of code."""
+    line = F.element_at(F.array(*map(F.lit, _CODE)), (F.col("page_id") % 8 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", F.concat(line, F.lit(" "), F.coalesce("html", F.lit(""))).alias("text"))
+
+
 _FOUND = ", ".join(f"case when {_flag(p)} then '{n}' end" for n, p in _FLAGS.items())
 
 
@@ -36,13 +51,21 @@ def text_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", textjobs.warnings(F.col("text"), _FLAGS).alias("warnings"))
 
 
-@query("text_flags_source")
+_SOURCE_FLAGS = ", ".join("case when regexp_matches(text, '(?i)" + p + f"') then '{n}' end" for n, p in textjobs.FLAGS.items())
+
+
+@query("text_flags_source", f"select page_id, list_filter([{_SOURCE_FLAGS}], lambda x: x is not null) as warnings from (select page_id, {_CODE_SQL} as text from pages)")
 def text_flags_source(spark: SparkSession, d: str) -> DataFrame:
-    """The constructs of database code, looked for in page sources."""
-    return table(spark, d, "pages").select("page_id", textjobs.warnings(F.col("html")).alias("warnings"))
+    """The constructs of database code."""
+    return _code(spark, d).select("page_id", textjobs.warnings(F.col("text")).alias("warnings"))
+
+
+@query("text_normalise_source", f"select page_id, {_rewritten('text', textjobs.REWRITES)} as text from (select page_id, {_CODE_SQL} as text from pages)")
+def text_normalise_source(spark: SparkSession, d: str) -> DataFrame:
+    return _code(spark, d).select("page_id", textjobs.normalise(F.col("text")).alias("text"))
 
 
-@query("text_normalise", f"select doc_id, {_rewritten('text')} as text from documents")
+@query("text_normalise", f"select doc_id, {_rewritten('text', _REWRITES)} as text from documents")
 def text_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", textjobs.normalise(F.col("text"), _REWRITES).alias("text"))
 
@@ -70,9 +93,9 @@ def dependency_levels(spark: SparkSession, d: str) -> DataFrame:
 @query("dependency_levels_replies", """
 with t as (select distinct conv_id, turn from conversations),
 g as (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) as run from t)
-select conv_id || ':' || turn as node, cast(least(row_number() over (partition by conv_id, run order by turn) - 1, 64) as integer) as level from g""")
+select conv_id || ':' || turn as node, cast(row_number() over (partition by conv_id, run order by turn) - 1 as integer) as level from g""")
 def dependency_levels_replies(spark: SparkSession, d: str) -> DataFrame:
-    """Levels over reply chains: each turn refers to the one before, if it is there. The SQL stops at level 64, the query does not."""
+    """Levels over reply chains: each turn refers to the one before, if it is there."""
     turns = table(spark, d, "conversations").select("conv_id", "turn").distinct()
     node = lambda turn: F.concat_ws(":", "conv_id", turn)
     return hierarchy.dependency_levels(turns.select(node("turn").alias("node")), turns.select(node("turn").alias("node"), node(F.col("turn") - 1).alias("parent")))
