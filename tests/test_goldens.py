@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryline.functions import oracle as O
-from ferryline.operators import chunks, hierarchy, integrity, ledger, partitions, reconcile, shape
+from ferryline.operators import chunks, hierarchy, integrity, ledger, partitions, reconcile, shape, textjobs
+from ferryline.operators.order import numbered
 from ferryline.sources import sink
 from ferryline.spec import SourceColumn, TableSpec, UnsupportedType, spark_schema, spark_type
 from ferryline.streaming import progress as P
@@ -49,17 +50,18 @@ def test_empty_is_null(spark):
     assert shape.empty_to_null(once).collect() == once.collect()
 
 
-COUNTS = [
-    (100_000, 50_000, 4, 1), (500_000, 50_000, 4, 1), (600_000, 50_000, 4, 12), (100_000_000, 50_000, 4, 16), (100_000_000, 50_000, 8, 32), (100_000_000, 50_000, 1, 8), (100_000_000, 50_000, 2, 8),
-    (600_000, 50_000, 1, 8), (100_000_000, 0, 4, 16), (500_001, 50_000, 4, 10), (100_000_000, 50_000, 3, 12), (1_000_000_000, 1000, 4, 16), (100_000_000, 50_000, 0, 8), (100_000_000, -100, 4, 16),
-    (100_000, 100_000, 8, 1), (100_000, 10_000, 4, 1), (100_001, 10_000, 4, 10),
-]
+def test_chunk_counts(spark):
+    """Around the borders of the rule and at random, against a formula of its own."""
+    import random
 
+    def want(n, batch, workers):
+        batch = batch if batch > 0 else chunks.DEFAULT_BATCH
+        return 1 if n <= 10 * batch else min(max(n // batch, 2), max(8, 4 * workers))
 
-def test_chunk_counts(spark):
-    for n, batch, workers, want in COUNTS:
-        got = spark.range(1).select(chunks.chunk_count(F.lit(n), batch, workers)).first()[0]
-        assert got == want, (n, batch, workers)
+    r = random.Random(3)
+    cases = [(k * b + e, b, w) for b in (7, 900) for k in (1, 10, 11, 64) for e in (-1, 0, 1) for w in (0, 2, 16)] + [(r.randrange(10**7), r.randrange(-5, 10**5), r.randrange(40)) for _ in range(60)]
+    columns = [chunks.chunk_count(F.lit(n), batch, workers).alias(f"c{i}") for i, (n, batch, workers) in enumerate(cases)]
+    assert list(spark.range(1).select(*columns).first()) == [want(*c) for c in cases]
 
 
 def _month(y, m, d=1):
@@ -67,29 +69,35 @@ def _month(y, m, d=1):
 
 
 def test_bounds_and_pruning(spark):
-    text = "TO_DATE(' 2024-{:02d}-01 00:00:00', 'SYYYY-MM-DD HH24:MI:SS', 'NLS_CALENDAR=GREGORIAN')"
-    highs = spark.createDataFrame([(f"P2024{m:02d}", m, text.format(m + 1)) for m in range(1, 7)], "part string, position int, high_text string")
+    """Weekly parts of a year that is not theirs, any range of days against the days of each part."""
+    import random
+
+    first = dt.datetime(2019, 12, 30)
+    week = lambda i: first + dt.timedelta(days=7 * i)
+    highs = spark.createDataFrame([(f"w{i}", i, f"TO_DATE(' {week(i + 1):%Y-%m-%d} 00:00:00', 'SYYYY-MM-DD HH24:MI:SS')") for i in range(9)], "part string, position int, high_text string")
     bounds = partitions.bounds_from_highs(highs.withColumn("high", partitions.parse_bound(F.col("high_text"))[0]).withColumn("t", F.lit("x")), ["t"])
     rows = {r["part"]: (r["lower"], r["upper"]) for r in bounds.collect()}
-    assert rows["P202401"] == (None, _month(2024, 2)) and rows["P202402"] == (_month(2024, 2), _month(2024, 3))
-    at = lambda s: F.lit(s).cast("timestamp_ntz")
-    for a, b, want in [("2024-03-01", "2024-06-01", "345"), ("2024-01-01", "2024-02-01", "1"), ("2024-02-15", "2024-04-15", "234"), ("2024-04-01", None, "456"), (None, "2024-02-01", "1")]:
-        got = sorted(r["part"] for r in partitions.prune(bounds, at(a), at(b)).collect())
-        assert got == [f"P20240{c}" for c in want]
-
-
-@pytest.mark.parametrize(
-    ("lo", "hi", "a", "b", "want"),
-    [
-        ("2024-01-01", "2024-02-01", "2024-01-01", "2024-02-01", True), ("2024-01-01", "2024-02-01", "2024-03-01", "2024-04-01", False), ("2024-03-01", "2024-04-01", "2024-01-01", "2024-02-01", False),
-        ("2024-01-15", "2024-02-15", "2024-02-01", "2024-03-01", True), (None, "2024-02-01", "2024-01-01", "2024-03-01", True), ("2024-11-01", None, "2024-10-01", "2024-12-01", True),
-        ("2024-03-01", "2024-04-01", "2024-01-01", None, True), (100, 200, 150, 250, True), (100, 200, 300, 400, False),
-    ],
-)
-def test_overlaps(spark, lo, hi, a, b, want):
-    kind = "double" if isinstance(lo, int) else "timestamp_ntz"
-    x = [F.lit(v).cast(kind) for v in (lo, hi, a, b)]
-    assert spark.range(1).select(partitions.overlaps(*x)).first()[0] is want
+    assert rows == {f"w{i}": (week(i) if i else None, week(i + 1)) for i in range(9)}
+    r = random.Random(4)
+    for _ in range(6):
+        lo, hi = sorted(r.sample(range(-10, 70), 2))
+        a, b = (first + dt.timedelta(days=x) for x in (lo, hi))
+        days = {x // 7 if x >= 0 else 0 for x in range(lo, hi) if x < 63}
+        assert {x["part"] for x in partitions.prune(bounds, F.lit(a), F.lit(b)).collect()} == {f"w{d}" for d in days}
+    assert partitions.prune(bounds, F.lit(week(7)), F.lit(None).cast("timestamp_ntz")).count() == 2
+
+
+@pytest.mark.parametrize("kind", ["double", "date"])
+def test_overlaps(spark, kind):
+    """All pairs of short ranges, open ends included, against the points that they hold."""
+    ends = [None, 0, 1, 2, 3]
+    pairs = [(lo, hi) for lo in ends for hi in ends if lo is None or hi is None or lo < hi]
+    held = lambda p: {x for x in range(-2, 6) if (p[0] is None or x >= p[0]) and (p[1] is None or x < p[1])}
+    value = lambda x: None if x is None else float(x) if kind == "double" else dt.date(2021, 2, 27) + dt.timedelta(days=x)
+    rows = [(i, j, *map(value, (*p, *q))) for i, p in enumerate(pairs) for j, q in enumerate(pairs)]
+    df = spark.createDataFrame(rows, f"i int, j int, lo {kind}, hi {kind}, a {kind}, b {kind}")
+    got = df.where(partitions.overlaps(*map(F.col, ("lo", "hi", "a", "b")))).select("i", "j").collect()
+    assert {tuple(r) for r in got} == {(i, j) for i, p in enumerate(pairs) for j, q in enumerate(pairs) if held(p) & held(q)}
 
 
 def test_bound_texts(spark):
@@ -103,13 +111,16 @@ def test_bound_texts(spark):
 
 
 def test_name_filters(spark):
-    names = ["CUSTOMERS", "CUSTOMER_ARCHIVE", "ORDERS", "PRODUCTS", "CUSTOMERS_BACKUP", "DATA_TMP", "ORDER_BACKUP"]
+    """Globs against fnmatch on names without a slash."""
+    from fnmatch import fnmatchcase
+
+    names = [f"{a}{b}" for a in ("Sales", "sale", "x_Log", "LOGS") for b in ("", "_2020", ".old", "s/part")]
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    pick = lambda **k: [r[0] for r in df.where(shape.name_filter(F.col("n"), **k)).collect()]
-    assert pick(include=["customer*", "ORDER*"]) == ["CUSTOMERS", "CUSTOMER_ARCHIVE", "ORDERS", "CUSTOMERS_BACKUP", "ORDER_BACKUP"]
-    assert pick(exclude=["*_BACKUP", "*_TMP"]) == ["CUSTOMERS", "CUSTOMER_ARCHIVE", "ORDERS", "PRODUCTS"]
-    assert pick(include=["ORDER*"], exclude=["*_BACKUP"]) == ["ORDERS"]
-    assert shape.is_not_null_check('"A" IS NOT NULL') and not shape.is_not_null_check("A IS NOT NULL AND B > 0")
+    hit = lambda n, globs: any(fnmatchcase(n.lower(), g.lower()) and "/" not in n for g in globs)
+    for include, exclude in [(["sale?"], None), (["*log*", "SALES*"], None), (None, ["*_20??", "*.OLD"]), (["*s"], ["l*"]), (["nothing"], ["*"])]:
+        got = {r[0] for r in df.where(shape.name_filter(F.col("n"), include, exclude)).collect()}
+        assert got == {n for n in names if (include is None or hit(n, include)) and not (exclude and hit(n, exclude))}
+    assert shape.is_not_null_check(' "Qty"  is not null ') and not shape.is_not_null_check("qty IS NOT NULL OR qty > 0")
 
 
 def test_rename_collision(spark):
@@ -123,8 +134,43 @@ def test_route_with_nulls_and_many_bounds(spark, monkeypatch):
     want = [(1, "a"), (2, "x"), (3, "x"), (4, "b")]
     got = lambda: sorted((r["i"], r["part"]) for r in partitions.route_range(rows, bounds, "ts", "x").collect())
     assert got() == want
-    monkeypatch.setattr(partitions, "BROADCAST_ROWS", 1)
-    assert got() == want
+    for most in (100_000, 0):  # bucketed bounds, broadcast and shuffled
+        monkeypatch.setattr(partitions, "NESTED_BOUNDS", 1)
+        monkeypatch.setattr(partitions, "BROADCAST_ROWS", most)
+        assert got() == want
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "date", "timestamp_ntz"])
+def test_routes_by_any_number_of_bounds(spark, monkeypatch, kind):
+    """Narrow and wide parts, gaps and open ends: one by one, in buckets, and against a search in Python."""
+    import random
+    from bisect import bisect_right
+
+    r = random.Random(6)
+    value = {"long": int, "double": float, "date": lambda x: dt.date(2020, 1, 1) + dt.timedelta(days=x), "timestamp_ntz": lambda x: dt.datetime(2020, 1, 1) + dt.timedelta(minutes=x)}[kind]
+    edges = sorted(r.sample(range(-300, 300), 40)) + [5000, 5001]
+    parts = [(f"p{i}", None if i == 0 else value(a), value(b)) for i, (a, b) in enumerate(zip([0, *edges], edges, strict=False)) if i % 7 != 3] + [("last", value(5001), None)]
+    keys = [None, *edges, *(r.randrange(-400, 5200) for _ in range(200))]
+    bounds = spark.createDataFrame(parts, f"part string, lower {kind}, upper {kind}")
+    rows = spark.createDataFrame([(i, None if k is None else value(k)) for i, k in enumerate(keys)], f"i int, k {kind}")
+
+    def want(k):
+        if k is None:
+            return "none"
+        i = bisect_right(edges, k)
+        return "last" if i == len(edges) else f"p{i}" if i % 7 != 3 else "none"
+
+    for nested, most in ((64, 100_000), (1, 100_000), (1, 0)):
+        monkeypatch.setattr(partitions, "NESTED_BOUNDS", nested)
+        monkeypatch.setattr(partitions, "BROADCAST_ROWS", most)
+        assert {x["i"]: x["part"] for x in partitions.route_range(rows, bounds, "k", "none").collect()} == {i: want(k) for i, k in enumerate(keys)}
+        met = partitions.join_overlaps(rows.select("i", F.col("k").alias("a"), F.col("k").alias("b")), bounds.select("part", "lower", "upper"), ("a", "b"), ("lower", "upper")) if nested == 64 else None
+        wide = rows.join(rows.select(F.col("i").alias("j"), F.col("k").alias("b")), F.col("j") == F.col("i") + 1).withColumnRenamed("k", "a")
+        got = sorted(map(str, partitions.join_overlaps(wide, bounds, ("a", "b"), ("lower", "upper")).select("i", "part").collect()))
+        first = got if nested == 64 else first
+        assert got == first and met is not False
+    with pytest.raises(TypeError, match="many bounds"):
+        partitions.route_range(spark.createDataFrame([("a",)], "k string"), spark.createDataFrame([("p", "a", "b"), ("q", "b", "c")], "part string, lower string, upper string"), "k")
 
 
 def test_ledger_rules(spark):
@@ -139,11 +185,14 @@ def test_ledger_rules(spark):
 
 
 def test_pipeline_shares(spark):
-    events = spark.createDataFrame([("A", 83_000, 1000, 600, 400, 10, 167), ("B", 10, 100, 50, 50, 1, 0), ("C", 0, 0, 0, 0, 0, 0)], "t string, rows long, duration_ms long, read_time_ms long, write_time_ms long, batches long, acquire_wait_ms long")
+    """Sums over several events, ties, waits at the border of a tenth, and a table without any time."""
+    rows = [("mostly reading", 300, 40, 31, 9, 2, 4), ("mostly reading", 60, 20, 9, 11, 1, 3), ("even", 7, 30, 15, 15, 1, 3), ("idle", 0, 0, 0, 0, 0, 0)]
+    events = spark.createDataFrame(rows, "t string, rows long, duration_ms long, read_time_ms long, write_time_ms long, batches long, acquire_wait_ms long")
     got = {r["t"]: r for r in P.bottleneck(P.stats_totals(events, ["t"])).collect()}
-    assert (got["A"]["bottleneck"], got["A"]["contention"], got["A"]["rows_per_s"]) == ("read", True, 83_000)
-    assert (got["B"]["bottleneck"], got["B"]["contention"]) == ("write", False)
-    assert (got["C"]["read_percent"], got["C"]["rows_per_s"]) == (0.0, 0)
+    r = got["mostly reading"]
+    assert (r["bottleneck"], r["contention"], r["rows_per_s"], r["avg_batch"]) == ("read", True, 360 * 1000 // 60, 120) and abs(r["read_percent"] - 4000 / 60) < 1e-9
+    assert (got["even"]["bottleneck"], got["even"]["contention"]) == ("write", False)
+    assert (got["idle"]["read_percent"], got["idle"]["rows_per_s"], got["idle"]["contention"]) == (0.0, 0, False)
 
 
 def test_durations(spark):
@@ -174,6 +223,16 @@ def test_reconcile_both_sides(spark):
     assert reconcile.summary(reconcile.reconcile(a, a, ["part"])).first()["all_match"]
 
 
+def test_checksums_and_hooks(spark):
+    rows = [(i % 4, None if i % 5 == 0 else f"s{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, s string")
+    sums = lambda d: {r["column_name"]: r["checksum"] for r in reconcile.column_checksums(d, ["k", "s"]).collect()}
+    other = df.withColumn("s", F.when(F.col("s") == "s7", "s8").otherwise(F.col("s")))
+    assert sums(df) == sums(df.orderBy(F.desc("s"))) and sums(df)["k"] == sums(other)["k"] and sums(df)["s"] != sums(other)["s"]
+    assert sums(df.unionByName(df))["k"] == 2 * sums(df)["k"] != 0 and sums(df.limit(0)) == {"k": 0, "s": 0}
+    assert [r["t"] for r in shape.transform_rows(df, lambda d: d.where("k = 1").select(F.upper("s").alias("t"))).orderBy("t").limit(1).collect()] == ["S1"] or shape.transform_rows(df, lambda d: d.limit(0)).count() == 0
+
+
 def test_integrity_nulls(spark):
     df = spark.createDataFrame([(1, None), (1, 2), (None, 2), (3, 9)], "k int, v int")
     spec = TableSpec("t", ("k",), ("k", "v"), (("v",),), (), ("v < 5",))
@@ -255,3 +314,151 @@ def test_load_modes(spark, tmp_path):
     with pytest.raises(ValueError, match="target mode"):
         sink.resolve_mode("merge")
     assert sink.exists(spark, path) and not sink.exists(spark, str(tmp_path / "none"))
+
+
+# --- whole tables
+
+
+def test_numbers_of_skewed_keys(spark):
+    """One key of a third of the rows, an outlier, keys that a long can barely tell apart: numbers without gaps, even tasks."""
+    keys = [7] * 4000 + [9_000_000_000_000_000_000, -9_000_000_000_000_000_000, None] + list(range(100, 8000))
+    df = spark.createDataFrame([(k, i % 3, i) for i, k in enumerate(keys)], "k long, g int, i long").repartition(5)
+    rows = numbered(df, "k", ["i"], total="n").collect()
+    assert [r["i"] for r in sorted(rows, key=lambda r: r["row_no"])] == [i for _, i in sorted(((k is not None, k or 0), i) for i, k in enumerate(keys))]
+    assert {r["n"] for r in rows} == {len(keys)}
+    for g in range(3):
+        mine = sorted(r["row_no"] for r in numbered(df, "k", by=["g"]).where(F.col("g") == g).collect())
+        assert mine == list(range(len(mine)))
+    assert numbered(df.limit(0), "k").count() == 0 and numbered(spark.createDataFrame([("b",), ("a",), (None,)], "k string"), "k").orderBy("row_no").first()["k"] is None
+    sizes = [r["count"] for r in df.withColumn("_input", F.monotonically_increasing_id()).repartitionByRange(4, "k", "_input").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * len(keys) / 4
+
+
+def test_passages_in_texts(spark):
+    from ferryline.operators.contain import containing
+
+    texts = ["the cat sat on the mat", "concatenate the mats", " ab  cd ", None, "", "xé🙂z and more the the", "cat\nsat on", "a b c d e f", "the of the of the"]
+    passages = ["cat sat on", "cat", "at", "b", "é🙂", "the", " the ", "on the mat", "ab  cd", "", None, "a b c", "sat", "zz top hat", "of the", "cat\nsat on", "e f"]
+    a = spark.createDataFrame(list(enumerate(texts)), "t int, text string")
+    b = spark.createDataFrame(list(enumerate(passages)), "p int, passage string")
+    got = sorted(map(tuple, containing(a, "t", "text", b, "p", "passage").collect()))
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t is not None and p and p in t)
+    assert containing(a, "t", "text", b.limit(0), "p", "passage").count() == 0
+
+
+def test_walks_in_small_batches(spark):
+    """A unit longer than a batch keeps its state; nulls are a unit."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        df = spark.createDataFrame([(None if i % 5 == 0 else i % 2, i, "x" * (i % 11)) for i in range(200)], "c int, k int, s string")
+        got = {(r["c"], r["k"]): r["batch_no"] for r in shape.batches_by_bytes(df, "c", "k", 9, 250).collect()}
+    finally:
+        spark.conf.set(name, old)
+    want = {}
+    for c in (None, 0, 1):
+        batch = n = total = 0
+        for i in range(200):
+            if (None if i % 5 == 0 else i % 2) == c:
+                want[(c, i)] = batch
+                n, total = n + 1, total + i % 11 + 16 + (4 if c is None else 16)
+                if n >= 9 or total >= 250:
+                    batch, n, total = batch + 1, 0, 0
+    assert got == want
+
+
+# --- sources and sinks
+
+
+def test_database_tables(spark, tmp_path):
+    """Modes, batches, predicates, columns and filters over an embedded database."""
+    from ferryline.sources import scan
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("g"), F.concat(F.lit("n"), "id").alias("name"))
+    read = lambda **k: scan.scan_jdbc(spark, url, "t", **driver, **k)
+    assert sink.load_jdbc(rows, url, "t", batch_size=7, **driver) == "COMPLETED" and read().count() == 100
+    parts = read(columns=["k"], where="g < 2", predicates=[f'"k" {x}' for x in ("< 40", "between 40 and 59", ">= 60")])
+    assert parts.rdd.getNumPartitions() == 3 and sorted(r["k"] for r in parts.collect()) == [k for k in range(100) if k % 3 < 2]
+    sink.load_jdbc(rows.where("k < 5"), url, "t", "append", **driver)
+    assert read().count() == 105
+    sink.load_jdbc(rows.where("k < 5"), url, "t", "truncate", **driver)
+    assert sorted(r["k"] for r in read().collect()) == [0, 1, 2, 3, 4]
+    sink.load_jdbc(rows.select("k").where("k < 3"), url, "t", **driver)
+    assert read().count() == 3 and len(read().columns) == 1 and sink.load_jdbc(rows, url, "t", "skip", **driver) == "SKIPPED"
+
+
+def test_estimates(spark, tmp_path):
+    from ferryline.sources import scan
+
+    spark.sql(f"create table counted (k long) using parquet location '{tmp_path}/counted'")
+    try:
+        spark.range(30).select(F.col("id").alias("k")).write.insertInto("counted")
+        assert scan.table_statistics(spark, "counted") is None
+        spark.sql("analyze table counted compute statistics")
+        spark.range(5).select(F.col("id").alias("k")).write.insertInto("counted")
+        df = spark.table("counted")
+        known = scan.table_statistics(spark, "counted")
+        assert [tuple(scan.estimate_rows(df, n).first()) for n in (30, 0, None)] == [(30, True), (35, False), (35, False)] and known in (30, None)
+    finally:
+        spark.sql("drop table counted")
+
+
+def test_shared_folder_is_needed_on_clusters(spark):
+    class Cluster:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext, conf = Cluster(), type("C", (), {"get": staticmethod(lambda *a: None)})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        sink.scratch(Session(), "x")
+    Cluster.master = "local[2]"
+    assert "/ferryline/x-" in sink.scratch(Session(), "x")
+
+
+# --- rules on source texts and defaults
+
+
+def test_constructs_of_code(spark):
+    cases = {
+        "start with a connect  BY prior b": ["CONNECT BY"], "a.x = b.x( +)": ["outer join (+)"], "merge into t": ["MERGE INTO"], "open c for select": ["cursor use"], "Open c1;": ["cursor use"], "fetch c into v": ["cursor use"], "close c ;": ["cursor use"],
+        "open door, close to me, fetch it": [], "type t is table of x": ["TYPE IS"], "the type of it is table": [], "v emp.name%type; r emp%rowtype": ["%TYPE"], "commit;": ["COMMIT"], "we commit to it": [], "sql%rowcount": ["SQL%ROWCOUNT"],
+        "instr(a, 'b', 3)": ["INSTR with position"], "instr(a, 'b')": [], "rownum <= 3 and rowid > 1": ["ROWID", "ROWNUM"], "dbms_job.submit; dbms_scheduler.run": ["DBMS_JOB", "DBMS_SCHEDULER"], "pragma autonomous_transaction;": ["AUTONOMOUS_TRANSACTION"],
+        "forall i in 1..n": ["FORALL"], "select x bulk collect into y": ["BULK COLLECT"], "unpackaged": [], "": [], None: [],
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
+    got = {r["i"]: r["w"] for r in df.select("i", textjobs.warnings(F.col("t")).alias("w")).collect()}
+    assert {t: sorted(got[i]) for i, t in enumerate(cases)} == {t: sorted(w) for t, w in cases.items()}
+
+
+def test_rewrites_of_code(spark):
+    cases = {
+        "select sysdate from dual": "select CURRENT_DATE", "a minus b": "a EXCEPT b", "x number(9,2), y pls_integer, z binary_integer": "x NUMERIC(9,2), y INTEGER, z INTEGER", "b blob, c nclob, v nvarchar2(5)": "b BYTEA, c TEXT, v VARCHAR(5)",
+        "d date; e date := x; f date not null": "d TIMESTAMP; e TIMESTAMP := x; f TIMESTAMP not null", "to_date(a) date '2020-01-01'": "to_date(a) date '2020-01-01'", "pragma exception_init(e, -20);": "", "pragma autonomous_transaction;": "pragma autonomous_transaction;",
+        "exit when c%notfound or d%found": "exit when NOT FOUND or FOUND", "p(a in out nocopy t)": "p(a in out t)", "when login_denied or invalid_cursor or value_error": "when insufficient_privilege or invalid_cursor_state or data_exception",
+        "when invalid_number or cursor_already_open or too_many_rows": "when invalid_text_representation or duplicate_cursor or too_many_rows", "my_number dates": "my_number dates",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", textjobs.normalise(F.col("t")).alias("n")).collect()} == cases
+
+
+def test_default_values(spark):
+    at = F.lit("2024-03-01 10:20:30.5").cast("timestamp_ntz")
+    get = lambda text: spark.range(1).select(O.default_value(text, at)).first()[0]
+    day = dt.datetime(2024, 3, 1, 10, 20, 30)
+    assert get("sysdate") == day and get(" SYSDATE + 30 ") == day + dt.timedelta(days=30) and get("SYSDATE-1/24") == day - dt.timedelta(hours=1) and get("sysdate - 0.5") == day - dt.timedelta(hours=12)
+    assert get("TRUNC(SYSDATE)") == dt.datetime(2024, 3, 1) and get("SYSTIMESTAMP") == day.replace(microsecond=500_000)
+    assert get("TO_DATE(' 2020-02-29', 'YYYY-MM-DD')") == dt.datetime(2020, 2, 29) and get("'it''s'") == "it's" and get("N''") == "" and get("-12") == -12 and get("1.50") == Decimal("1.50")
+    assert get("NULL") is None and get("user") and len(get("SYS_GUID()")) >= 32
+    with pytest.raises(ValueError, match="default value"):
+        O.default_value("f(x)")
+
+
+def test_clock_functions(spark):
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    row = spark.range(1).select(O.sysdate().alias("d"), O.systimestamp().cast("timestamp_ntz").alias("t"), O.session("USER").alias("u"), O.sys_guid().alias("g")).first()
+    assert abs((row["d"] - now).total_seconds()) < 60 and row["d"].microsecond == 0 and abs((row["t"] - now).total_seconds()) < 60 and row["u"]
+    assert spark.range(50).select(O.sys_guid().alias("g")).distinct().count() == 50

@@ -47,6 +47,26 @@ def test_stats_stream_equals_batch(spark, events):
     assert sorted(got.collect()) == sorted(P.stats_totals(batch, ["table_name"]).collect())
 
 
+def test_progress_streams_equal_batch(spark, events, tmp_path):
+    batch = spark.read.parquet(events)
+    for name, shape in (("progress", P.progress_of), ("rollup", P.rollup_of)):
+        stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(events)
+        P.kept_table(P.latest_units(stream), shape, str(tmp_path / name)).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / name / "table"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, shape(P.latest_units(batch)).collect()))
+
+
+def test_late_rows_go(spark, tmp_path):
+    """A row behind the watermark is dropped, one within it counts, and a window is given once, when it is closed."""
+    t = dt.datetime(2024, 1, 1)
+    at = lambda h: (t + dt.timedelta(hours=h), "k", 1.0)
+    for rows in ([at(1), at(2)], [at(20), at(3)], [at(30), at(2)], [at(31), at(29)], [at(60), at(5)], [at(61)]):
+        spark.createDataFrame(rows, "ts timestamp, key string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, key string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = _run(P.windowed(stream, "1 day", ["key"], watermark="1 hour"), "closed")
+    assert sorted((r["window"]["start"], r["n"]) for r in got.collect()) == [(t, 5), (t + dt.timedelta(days=1), 3)]
+
+
 def test_stall_stream(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     at = lambda m, k: (k, "P", t + dt.timedelta(minutes=m))
