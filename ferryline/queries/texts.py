@@ -75,6 +75,16 @@ def text_census(spark: SparkSession, d: str) -> DataFrame:
     return textjobs.census(table(spark, d, "documents"), "lang", "text", _FLAGS)
 
 
+_SOURCE_ANY = " or ".join(f"regexp_matches(text, '(?i){p}')" for p in textjobs.FLAGS.values())
+_SOURCE_EACH = ", ".join(f"count(*) filter (regexp_matches(text, '(?i){p}')) as \"{n}\"" for n, p in textjobs.FLAGS.items())
+
+
+@query("text_census_source", f"select cast(page_id % 4 as varchar) as kind, count(*) as n_texts, count(*) filter ({_SOURCE_ANY}) as n_flagged, {_SOURCE_EACH} from (select page_id, {_CODE_SQL} as text from pages) group by 1")
+def text_census_source(spark: SparkSession, d: str) -> DataFrame:
+    """The constructs of database code per kind of object."""
+    return textjobs.census(_code(spark, d).withColumn("kind", (F.col("page_id") % 4).cast("string")), "kind", "text")
+
+
 @query("dependency_levels", """
 with recursive e(node, parent) as (values ('lineitem', 'orders'), ('lineitem', 'part'), ('lineitem', 'supplier'), ('orders', 'customer'), ('customer', 'nation'), ('supplier', 'nation'), ('nation', 'region')),
 w(node, level) as (select node, 0 from (values ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem')) t(node)
