@@ -16,7 +16,8 @@ buckets, the one with the largest buckets in all (star). What the stars leave op
 cluster is compared with the cluster's pivot: x lacks `gone` of its elements and has `fresh` others. A link between x and
 y of different components needs a fresh element of both within their prefixes, or else counts that allow it,
 (1 + t) min(gone) >= gone + gone' + t (fresh + fresh') - (1 - t) |pivot|. Texts for which neither holds are done; the few
-others are compared in blocks of bounded size.
+others are compared in blocks of bounded size, by what they differ in from the pivot: x and y share
+|pivot| - gone - gone' elements, those that are gone from both and the fresh ones of both.
 
 Every distinct text is a node: the least id of its rows is its number, or, where ids repeat and that id has several
 texts, a hashed number that no other node has.
@@ -42,7 +43,8 @@ THRESHOLD = 0.8
 SHINGLE = 5
 COMPONENTS = 256
 ROWS_PER_BAND = 6
-BLOCK_ELEMENTS = 32_768
+#: Elements of a block of texts; a text counts as TEXT_ELEMENTS more than it has.
+BLOCK_ELEMENTS, TEXT_ELEMENTS = 32_768, 32
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -143,20 +145,21 @@ def _check(threshold: float):
 
 
 def _against_pivot(threshold: float):
-    """How a text differs from its cluster's pivot: elements gone and fresh, and the fresh part of its prefix.
+    """How a text differs from its cluster's pivot: elements gone and fresh, how many, and the fresh part of its prefix.
 
     A prefix is what any text of similarity threshold must share one element of, fresh elements first, then by hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("gone", "fresh", "pivot_size", "bounded", "prefix")}
+            out: dict[str, list] = {c: [] for c in ("gone", "fresh", "pivot_size", "bounded", "prefix", "differs")}
             for e, p in zip(batch.column("elements"), batch.column("pivot_elements"), strict=True):
                 e, p = e.values.to_numpy(), p.values.to_numpy()
                 new = e[~np.isin(e, p, assume_unique=True)]
                 size = len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1
-                for c, v in zip(out, (len(p) - (len(e) - len(new)), len(new), len(p), len(new) < size, new[:size]), strict=True):
+                lost = p[~np.isin(p, e, assume_unique=True)]
+                for c, v in zip(out, (len(lost), len(new), len(p), len(new) < size, new[:size], np.concatenate([lost, new])), strict=True):
                     out[c].append(v)
-            kinds = {"bounded": pa.bool_(), "prefix": pa.list_(pa.int64())}
+            kinds = {"bounded": pa.bool_(), "prefix": pa.list_(pa.int64()), "differs": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "node", "comp")), *(pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items())], names=["cluster", "node", "comp", *out])
 
     return scan
@@ -211,16 +214,18 @@ def _compare(threshold: float):
     """Links between texts of different components in two blocks, as many as connect all that are linked."""
 
     def flat(block: pa.Array) -> tuple[np.ndarray, ...]:
-        lists = block.field("elements")
+        lists = block.field("differs")
         size = np.diff(lists.offsets.to_numpy())
-        return block.field("node").to_numpy(), block.field("comp").to_numpy(), size, lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+        number = lambda c: block.field(c).to_numpy()
+        return number("node"), number("comp"), number("pivot_size"), number("gone"), number("fresh"), lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                node, comp, size, e, of = flat(batch.column("left")[i].values)
-                node2, comp2, size2, e2, of2 = flat(batch.column("right")[i].values)
-                both = overlaps(node, e, of, node2, e2, of2)
+                node, comp, pivot, gone, fresh, e, of = flat(batch.column("left")[i].values)
+                node2, comp2, _, gone2, fresh2, e2, of2 = flat(batch.column("right")[i].values)
+                both = overlaps(node, e, of, node2, e2, of2) + (pivot - gone)[:, None] - gone2[None, :]
+                size, size2 = pivot - gone + fresh, pivot[0] - gone2 + fresh2
                 a, b = np.nonzero((both >= threshold * (size[:, None] + size2[None, :] - both)) & (comp[:, None] != comp2[None, :]))
                 keep = _uniting(comp[a], comp2[b])
                 a, b = a[keep], b[keep]
@@ -303,7 +308,7 @@ def _rest(star: DataFrame, comp: DataFrame, elements: DataFrame, threshold: floa
         return None
     some = nodes.join(split, "cluster").join(elements, "node")
     pivot = elements.select(F.col("node").alias("cluster"), F.col("elements").alias("pivot_elements"))
-    shaped = cut(some.join(pivot, "cluster").mapInArrow(_against_pivot(threshold), "cluster long, node long, comp long, gone long, fresh long, pivot_size long, bounded boolean, prefix array<bigint>"), "shaped")
+    shaped = cut(some.join(pivot, "cluster").mapInArrow(_against_pivot(threshold), "cluster long, node long, comp long, gone long, fresh long, pivot_size long, bounded boolean, prefix array<bigint>, differs array<bigint>"), "shaped")
     # Texts that share a fresh element with another component,
     fresh = shaped.select("cluster", "node", "comp", F.explode("prefix").alias("element"))
     mixed = cut(fresh.groupBy("cluster", "element").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("cluster", "element"), "mixed")
@@ -315,17 +320,17 @@ def _rest(star: DataFrame, comp: DataFrame, elements: DataFrame, threshold: floa
     able = classes.join(other, (classes["cluster"] == other["cluster"]) & (F.least("x", "x2") < F.greatest("y", "y2")) & may, "left_semi").select("cluster", "gone", "fresh")
     counted = shaped.where("bounded").join(cut(able, "able"), ["cluster", "gone", "fresh"]).select("cluster", "node", "comp")
     live = cut(sharing.unionByName(counted).distinct(), "live")
-    drop(shaped, mixed, classes)
-    sized = cut(live.join(elements, "node").join(split, "cluster"), "sized")
-    drop(live)
-    count = cut(sized.groupBy("cluster").agg(F.ceil(F.sum(F.size("elements")) / BLOCK_ELEMENTS).cast("int").alias("blocks")), "blocks")
+    drop(mixed, classes)
+    sized = cut(shaped.drop("bounded", "prefix").join(live, ["cluster", "node", "comp"]).join(split, "cluster"), "sized")
+    drop(shaped, live)
+    count = cut(sized.groupBy("cluster").agg(F.ceil(F.sum(F.size("differs") + TEXT_ELEMENTS) / BLOCK_ELEMENTS).cast("int").alias("blocks")), "blocks")
     dealt = sized.join(count, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    item = F.struct("node", "comp", "elements")
-    right = cut(dealt.groupBy("cluster", "block").agg(F.collect_list(item).alias("right")), "right")
+    item = F.struct("node", "comp", "pivot_size", "gone", "fresh", "differs")
+    right = dealt.groupBy("cluster", "block").agg(F.collect_list(item).alias("right"))
     outer = dealt.where("comp <> main").groupBy("cluster", "blocks", "block").agg(F.collect_list(item).alias("left"))
-    left = cut(outer.select("cluster", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "left")
+    left = outer.select("cluster", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     links = cut(left.join(right, ["cluster", "block"]).select("left", "right").mapInArrow(_compare(threshold), "a long, b long"), "more-links")
-    drop(sized, count, right, left)
+    drop(sized, count)
     return links
 
 
