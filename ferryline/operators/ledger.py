@@ -5,12 +5,17 @@ error_message, started_at, finished_at. A partition key may carry a chunk: `P1:c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferryline.operators.names import fresh_names
+from ferryline.operators.scan import FIRST, LAST, SUM, scanned
+
 CHUNK = r":?chunk:.*$"
 #: Worst first.
 WORST = ["FAILED", "RUNNING", "RETRYING", "PENDING"]
+#: Parts in which the units of one table meet what holds for the table.
+SALTS = 16
 
 
 def strip_chunk(key: Column) -> Column:
@@ -52,11 +57,21 @@ def retry(ledger: DataFrame) -> DataFrame:
 
 
 def reset_tables(ledger: DataFrame) -> DataFrame:
-    """If one chunk of a table in a run is RETRYING, all chunks of that table are, whatever partition they are of."""
-    group = Window.partitionBy("run_id", "table_name", "phase")
-    hit = F.max(F.when((F.col("state") == "RETRYING") & is_chunk(F.col("partition_key")), 1).otherwise(0)).over(group) == 1
-    reset = hit & is_chunk(F.col("partition_key"))
-    return ledger.withColumns({"reset": reset, "state": F.when(reset, "RETRYING").otherwise(F.col("state"))})
+    """If one chunk of a table in a run is RETRYING, all chunks of that table are, whatever partition they are of.
+
+    The tables hit are one row each; they meet the units in SALTS parts, so a table of very many units is many tasks' work."""
+    hit, salt = fresh_names(ledger, "hit", "salt")
+    keys = ["run_id", "table_name", "phase"]
+    chunk = is_chunk(F.col("partition_key"))
+    other = {k: f"{hit}_{k}" for k in keys}
+    hits = ledger.where((F.col("state") == "RETRYING") & chunk).select(*[F.col(k).alias(v) for k, v in other.items()]).distinct()
+    hits = hits.withColumn(hit, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col(salt) == F.col(hit)
+    for k, v in other.items():
+        same = same & F.col(k).eqNullSafe(F.col(v))
+    joined = ledger.withColumn(salt, F.pmod(F.xxhash64(*ledger.columns), F.lit(SALTS)).cast("int")).join(hits, same, "left")
+    reset = F.col(hit).isNotNull() & chunk
+    return joined.withColumns({"reset": reset, "state": F.when(reset, "RETRYING").otherwise(F.col("state"))}).select(*ledger.columns, "reset")
 
 
 def completed_units(ledger: DataFrame, run_id: str) -> DataFrame:
@@ -157,9 +172,12 @@ def percent_done(ledger: DataFrame) -> DataFrame:
 
 
 def interleave(units: DataFrame, bucket: str, seq: str) -> DataFrame:
-    """units with round and bucket_start: the order (round, bucket_start) takes one unit of each bucket in turn."""
-    w = Window.partitionBy(bucket)
-    return units.withColumns({"round": F.row_number().over(w.orderBy(seq)), "bucket_start": F.min(seq).over(w)})
+    """units with round and bucket_start: the order (round, bucket_start) takes one unit of each bucket in turn.
+
+    Units without seq come first in their bucket and have no bucket_start."""
+    first, n = fresh_names(units, "first", "n")
+    rows = scanned(units, [bucket], [seq], {n: (SUM, F.lit(1).cast("long")), first: (FIRST, F.col(seq))})
+    return rows.select(*units.columns, (F.col(n) + 1).cast("int").alias("round"), F.coalesce(first, seq).alias("bucket_start"))
 
 
 def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -169,17 +187,19 @@ def latest(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def failure_streaks(units: DataFrame, by: list[str], order: str, least: int = 5) -> DataFrame:
-    """Runs of `least` or more failures in a row: by, first, last, n."""
-    w = Window.partitionBy(*by).orderBy(order)
-    failed = F.col("state") == "FAILED"
-    islands = units.withColumn("_rn", F.row_number().over(w)).where(failed).withColumn("_island", F.col("_rn") - F.row_number().over(w))
-    return islands.groupBy(*by, "_island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("_island")
+    """Runs of `least` or more failures in a row: by, first, last, n. Failures with equally many other units before them
+    are one run."""
+    (island,) = fresh_names(units, "island")
+    failed = F.coalesce(F.col("state") == "FAILED", F.lit(False))
+    rows = scanned(units.select(*by, order, "state"), by, [order], {island: (SUM, F.when(failed, 0).otherwise(1).cast("long"))})
+    runs = rows.where(failed).groupBy(*by, island).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    return runs.where(F.col("n") >= least).drop(island)
 
 
 def stalls(progress: DataFrame, by: list[str], ts: str, minutes: int = 30) -> DataFrame:
     """Events that came more than `minutes` after the one before: by, last_seen, ts."""
-    before = F.lag(ts).over(Window.partitionBy(*by).orderBy(ts))
-    return progress.select(*by, before.alias("last_seen"), ts).where(F.col(ts) > F.col("last_seen") + F.expr(f"interval {minutes} minutes"))
+    rows = scanned(progress.select(*by, ts), by, [ts], {"last_seen": (LAST, F.col(ts))})
+    return rows.select(*by, "last_seen", ts).where(F.col(ts) > F.col("last_seen") + F.expr(f"interval {minutes} minutes"))
 
 
 def assign_sequence(numbered: DataFrame, row_no: str, last: int, increment: int = 1, into: str = "seq") -> DataFrame:

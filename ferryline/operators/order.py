@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferryline.operators.names import fresh_names
 from ferryline.sources.sink import cut
 
 
@@ -21,18 +22,18 @@ def numbered(df: DataFrame, key: str, ties: list[str] | None = None, by: list[st
 
     Equal keys follow `ties`, and then their places in the input."""
     by = by or []
-    order = [F.col(c).asc_nulls_first() for c in [*by, key, *(ties or []), "_input"]]
-    dealt = df.withColumn("_input", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = cut(dealt.drop("_input").withColumns({"_task": F.spark_partition_id(), "_place": place}), "numbered")
-    counts = placed.groupBy("_task", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    start, task, place, first, n, offset, rows = fresh_names(df, "input", "task", "place", "first", "n", "offset", "rows")
+    order = [F.col(c).asc_nulls_first() for c in [*by, key, *(ties or []), start]]
+    dealt = df.withColumn(start, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(dealt.drop(start).withColumns({task: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = placed.groupBy(task, *by).agg(F.count(F.lit(1)).alias(n), F.min(place).alias(first))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = F.sum("_n").over(group.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
-    keys = ["_task", *by]
-    offsets = counts.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)], (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_offset"), F.sum("_n").over(group).alias("_total"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
-    more = [F.col("_total").alias(total)] if total else []
-    return placed.join(offsets, same).select(*df.columns, (F.col("_place") + F.col("_offset")).cast("long").alias(into), *more)
+    before = F.sum(n).over(group.orderBy(task).rowsBetween(Window.unboundedPreceding, -1))
+    keys = [task, *by]
+    offsets = counts.select(*[F.col(c).alias(f"{task}_key{i}") for i, c in enumerate(keys)], (F.coalesce(before, F.lit(0)) - F.col(first)).alias(offset), F.sum(n).over(group).alias(rows))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{task}_key{i}")) for i, c in enumerate(keys)])
+    more = [F.col(rows).alias(total)] if total else []
+    return placed.join(offsets, same).select(*df.columns, (F.col(place) + F.col(offset)).cast("long").alias(into), *more)
 
 
 def tile(row_no: Column, total: Column, n: int) -> Column:
