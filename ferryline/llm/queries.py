@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.llm import langid, mixing, neardup, passages, pieces, shards, tokenfiles, topk, urls
+from ferryline.llm import langid, lexical, mixing, neardup, passages, pieces, prefixtrie, shards, simhash, tokenfiles, topk, urls
 from ferryline.llm import quality as rules
 from ferryline.llm.shared import tokenizer_path
 
@@ -197,6 +197,58 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.written(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_bloom_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from t group by all),
+d as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+g as (select count(*) as n_docs, sum(n)::bigint as n_terms from d),
+df as (select term, count(*) as df from tf group by term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+s as (select item_id, doc_id, sum(times * cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+      from q join df using (term) join tf using (term) join d using (doc_id), g group by item_id, doc_id),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
+def op12_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_euler_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("n_nodes")
+
+
+#: CRC-32 of a decimal number, by the table of remainders.
+_CRC = """xor(list_reduce(list_prepend(cast(4294967295 as ubigint), list_transform(range(1, len(x) + 1), lambda i: cast(ord(x[i]) as ubigint))),
+  lambda c, b: xor(t[cast(xor(c, b) & 255 as bigint) + 1], c >> 8)), cast(4294967295 as ubigint))"""
+OP13_SQL = f"""
+with recursive tab as (select list_transform(range(256), lambda i: list_reduce(list_prepend(cast(i as ubigint), cast(range(8) as ubigint[])),
+         lambda c, k: case when c & 1 = 1 then xor(c >> 1, cast(3988292384 as ubigint)) else c >> 1 end)) as t),
+t0 as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) - 1 as p from conversations where conv_id is not null),
+cs as (select c, cast({_CRC} % 9 as bigint) as h, c - c % 5 as base from (select distinct c, c::varchar as x from t0), tab),
+nb as (select c as base, count(*) as nb from t0 group by c),
+sh as (select cs.c, h, cs.base, h - least(h, coalesce(nb, 0)) as short from cs left join nb using (base)),
+tr as (select sh.c, p as i, role, text from sh join t0 on t0.c = sh.base where p < h
+       union all select sh.c, p - short, role, text from sh join t0 on t0.c = sh.c where p >= h),
+st as (select c, i + 1 as d, strlen(text) as bytes, md5(string_agg(md5(md5(role) || md5(text)), '' order by i) over (partition by c order by i rows unbounded preceding)) as k from tr),
+step as (select c, d, k, bytes from st union all select c, 0, '', 0 from cs),
+pre as (select c, d, k, bytes, lag(k) over (partition by c order by d) as pk, d = max(d) over (partition by c) as last from step),
+node as (select d, k, min(c) as conv, count(*) as n, min(bytes) as bytes, min(pk) as pk, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (last), '')) as ends from pre group by d, k),
+tree as (select x.*, p.conv as parent from node x left join node p on p.d = x.d - 1 and p.k = x.pk),
+kids as (select parent as conv, d - 1 as d, count(*) as kids from tree where parent is not null group by all),
+own as (select tree.*, coalesce(kids, 0) as kids, (n - 1) * bytes as saved from tree left join kids on kids.conv = tree.conv and kids.d = tree.d),
+up as (select a.d, a.k, sum(o.saved)::bigint as saved, count(*) filter (kids = 0) as leaves from own o join pre a on a.c = o.conv and a.d <= o.d group by a.d, a.k)
+select conv as conv_id, cast(own.d as bigint) as depth, parent as parent_conv_id, n as n_convs, kids as n_children, leaves as n_leaves, up.saved as saved_tokens, ends as ends_sha256
+from own join up on up.d = own.d and up.k = own.k
+"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -208,6 +260,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op11_bloom_ranked_search": op11_bloom_ranked_search,
+    "op12_golay_simhash": op12_golay_simhash,
+    "op13_euler_prefix_trie": op13_euler_prefix_trie,
 }
 ORACLES = {
     "op2_mix_sources": OP2_SQL,
@@ -216,4 +271,6 @@ ORACLES = {
     "op8_url_filters": OP8_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op5_quality_rules": OP5_SQL,
+    "op11_bloom_ranked_search": OP11_SQL,
+    "op13_euler_prefix_trie": OP13_SQL,
 }

@@ -19,6 +19,9 @@ WINDOW_BASE = 0xD1342543DE82EF95
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Each byte with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -93,8 +96,10 @@ class Texts:
         return out[:-1].tobytes()
 
 
-def texts(column: pa.Array) -> Iterator[Texts]:
-    """The texts of a string column in chunks of about CHUNK_BYTES; a longer text is a chunk of its own. Null is empty."""
+def texts(column: pa.Array, gap: np.ndarray = _SPACE) -> Iterator[Texts]:
+    """The texts of a string column in chunks of about CHUNK_BYTES; a longer text is a chunk of its own. Null is empty.
+
+    gap says of each byte whether it stands between words."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     if not len(column):
         return
@@ -106,7 +111,7 @@ def texts(column: pa.Array) -> Iterator[Texts]:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
         data = whole[offsets[a] : offsets[b]]
         edge = offsets[a : b + 1] - offsets[a]
-        inside = ~_SPACE[data]
+        inside = ~gap[data]
         before = np.zeros(len(data), dtype=bool)
         before[1:] = inside[:-1]
         before[edge[edge < len(data)]] = False
