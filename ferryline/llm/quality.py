@@ -9,8 +9,8 @@ Everything is computed within the row, so no text is shuffled. The figures of ea
 folder; the references are one row of sums per language.
 
 Defined results: a null text has no words and fails the base rules; a null language is no reference; with no reference
-the distances are null and the method keeps what the base rules keep. quality() judges words by WORD_LIMIT, as the SQL of
-its query does; keep_good() by word_limits(), which a text without common words is beyond.
+the distances are null and the method keeps what the base rules keep. Each language has a word limit of its own
+(word_limits()), which a text without common words is beyond.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Least words for the class and the word histogram, and the largest distances kept.
 CLASS_MIN_WORDS, WORD_MIN_WORDS = 20, 50
 CLASS_LIMIT, WORD_LIMIT = 0.25, 0.4
-#: keep_good's limit for a language: this part of the distance between its reference and a text without common words.
+#: A language's word limit is, if less than WORD_LIMIT, this part of the distance between its reference and a text without common words.
 WORDLESS_PART = 0.85
 #: A language is used so only if at most this part of its texts of WORD_MIN_WORDS words should have no common word.
 WORDLESS_CHANCE = 0.01
@@ -144,20 +144,22 @@ def word_limits(refs: list[tuple[str, list[int], list[int]]]) -> list[float]:
     return out
 
 
-def judge(rows: DataFrame, refs: list[tuple[str, list[int], list[int]]], limits: list[float] | None = None) -> DataFrame:
-    """features() with class_distance, word_distance, base_failed and kept; limits has a word limit for each reference, in place of WORD_LIMIT."""
+def judge(rows: DataFrame, refs: list[tuple[str, list[int], list[int]]]) -> DataFrame:
+    """features() with class_distance, word_distance (both to the nearest language), base_failed and kept: near enough to a
+    language's classes, and within some language's word limit."""
     least = lambda xs: F.least(*xs, xs[0]) if xs else F.lit(None).cast("double")
     words = F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x)))
-    out = rows.withColumns({
+    spoken = [(w, limit) for (_, _, w), limit in zip(refs, word_limits(refs), strict=True) if sum(w)]
+    (each,) = fresh_names(rows, "each")
+    out = rows.withColumn(each, F.when(F.col("n_words") >= WORD_MIN_WORDS, F.array(*[js_distance(words, w) for w, _ in spoken])) if spoken else F.lit(None).cast("array<double>"))
+    wordless = F.array_min(F.transform(each, lambda d, i: d - F.get(F.array(*[F.lit(limit) for _, limit in spoken] or [F.lit(0.0)]), i))) > 0
+    out = out.withColumns({
         "class_distance": F.when(F.col("n_words") >= CLASS_MIN_WORDS, least([js_distance(F.col("classes"), c) for _, c, _ in refs if sum(c)])),
-        "word_distance": F.when(F.col("n_words") >= WORD_MIN_WORDS, least([js_distance(words, w) for _, _, w in refs if sum(w)])),
+        "word_distance": F.array_min(each),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     })
-    wordless = F.col("word_distance") > WORD_LIMIT
-    if limits is not None:
-        wordless = (F.col("n_words") >= WORD_MIN_WORDS) & (least([js_distance(words, w) - at for (_, _, w), at in zip(refs, limits, strict=True) if sum(w)]) > 0)
     far = F.coalesce(F.col("class_distance") > CLASS_LIMIT, F.lit(False)) | F.coalesce(wordless, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~far)
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).drop(each)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -167,9 +169,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with word limits that a text without common words is beyond. No row is shuffled: the rows are written to the shared folder beside their
+    """The rows of docs that quality() keeps. No row is shuffled: the rows are written to the shared folder beside their
     figures, and the filter reads them from there, where no optimizer can copy the figures' expressions into it."""
     (row,) = fresh_names(docs, "row")
     rows = cut(features(docs.withColumn(row, F.struct(*docs.columns)), id_col, text_col, lang_col, carry=[row]), "quality-rows")
-    refs = references(rows)
-    return judge(rows, refs, word_limits(refs)).where("kept").select(f"{row}.*")
+    return judge(rows, references(rows)).where("kept").select(f"{row}.*")

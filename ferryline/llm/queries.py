@@ -102,12 +102,15 @@ g as (select *, [letters - upper_n, upper_n, digits, chars - word_chars, n_symbo
 r as (select lang, [{", ".join(f"sum(classes[{i + 1}])" for i in range(len(rules.CLASSES)))}] as rc,
         [{", ".join(f"sum(commons[{i + 1}])" for i in range(len(rules.COMMON) + 1))}] as rw
       from g where lang is not null and n_words >= {rules.WORD_MIN_WORDS} group by lang),
-d as (select doc_id, min({_js("classes", "rc")}) as cd, min({_js("commons", "rw")}) as wd from g left join r on true group by doc_id),
-j as (select g.*, case when n_words >= {rules.CLASS_MIN_WORDS} then cd end as cd, case when n_words >= {rules.WORD_MIN_WORDS} then wd end as wd,
+u as (select *, rw[-1] / list_sum(rw) as q from r),
+l as (select lang, rc, rw, case when pow(q, {rules.WORD_MIN_WORDS}) > {rules.WORDLESS_CHANCE} then {rules.WORD_LIMIT}
+        else least({rules.WORD_LIMIT}, {rules.WORDLESS_PART} * sqrt(greatest(1 - q + log2(2 / (1 + q)) + case when q > 0 then q * log2(2 * q / (1 + q)) else 0 end, 0) / 2)) end as word_limit from u),
+d as (select doc_id, min({_js("classes", "rc")}) as cd, min({_js("commons", "rw")}) as wd, min({_js("commons", "rw")} - word_limit) as over from g left join l on true group by doc_id),
+j as (select g.*, case when n_words >= {rules.CLASS_MIN_WORDS} then cd end as cd, case when n_words >= {rules.WORD_MIN_WORDS} then wd end as wd, n_words >= {rules.WORD_MIN_WORDS} and over > 0 as wordless,
         n_words < {rules.MIN_WORDS} or 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words as base_failed from g join d using (doc_id))
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
        cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-       not base_failed and not coalesce(cd > {rules.CLASS_LIMIT} or wd > {rules.WORD_LIMIT}, false) as kept,
+       not base_failed and not coalesce(cd > {rules.CLASS_LIMIT} or wordless, false) as kept,
        round(cd, 4) as class_distance, round(wd, 4) as word_distance
 from j
 """
