@@ -8,6 +8,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ferryline.functions import formats
+
 
 def nvl(a: Column, b: Column) -> Column:
     return F.coalesce(a, b)
@@ -45,10 +47,19 @@ def trunc(d: Column, unit: str = "DD") -> Column:
     return F.date_trunc(_UNITS.get(unit.upper(), "day"), d).cast("timestamp_ntz")
 
 
+def _day(d: Column) -> Column:
+    return F.date_trunc("day", d).cast("timestamp_ntz")
+
+
+def _with_time(day: Column, d: Column) -> Column:
+    """The day at d's time of day."""
+    return day.cast("timestamp_ntz") + (d.cast("timestamp_ntz") - _day(d))
+
+
 def add_months(d: Column, n: Column | int, month_ends: bool = False) -> Column:
-    """d plus n months, day clipped; with month_ends a last day of a month goes to a last day."""
+    """d plus n months, day clipped, at the same time of day; with month_ends a last day of a month goes to a last day."""
     moved = F.add_months(d, n)
-    return F.when(d.cast("date") == F.last_day(d), F.last_day(moved)).otherwise(moved) if month_ends else moved
+    return _with_time(F.when(d.cast("date") == F.last_day(d), F.last_day(moved)).otherwise(moved) if month_ends else moved, d)
 
 
 def months_between(a: Column, b: Column, fractional: bool = False) -> Column:
@@ -58,27 +69,28 @@ def months_between(a: Column, b: Column, fractional: bool = False) -> Column:
 
 
 def last_day(d: Column) -> Column:
-    return F.last_day(d)
+    """The last day of d's month, at the same time of day."""
+    return _with_time(F.last_day(d), d)
 
 
 def date_diff(a: Column, b: Column) -> Column:
-    """Days from b to a."""
-    return F.datediff(a, b)
+    """Days from b to a, parts of days included."""
+    return F.timestamp_diff("MICROSECOND", b.cast("timestamp_ntz"), a.cast("timestamp_ntz")) / F.lit(86_400_000_000.0)
 
 
-def plus_days(d: Column, n: Column | int) -> Column:
-    return d + _ds(F.lit(n) if isinstance(n, int) else n, "day")
+def plus_days(d: Column, n: Column | float) -> Column:
+    """d plus n days, parts of days included."""
+    return d.cast("timestamp_ntz") + num_to_ds(n if isinstance(n, Column) else F.lit(n), "DAY")
 
 
-def num_to_ds(n: Column, unit: str) -> Column:
-    return _ds(n, unit.lower())
+# Seconds of the units.
+_SECONDS = {"DAY": 86_400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
 
 
-def _ds(n: Column, unit: str) -> Column:
+def num_to_ds(n: Column, unit: str) -> Column:
+    """n days, hours, minutes or seconds, to the microsecond."""
     zero = F.lit(0)
-    places = {"day": (n, zero, zero, zero), "hour": (zero, n, zero, zero), "minute": (zero, zero, n, zero), "second": (zero, zero, zero, n.cast("decimal(18,6)"))}
-    d, h, m, s = places[unit]
-    return F.make_dt_interval(d, h, m, s)
+    return F.make_dt_interval(zero, zero, zero, (n.cast("decimal(24,12)") * _SECONDS[unit.upper()]).cast("decimal(18,6)"))
 
 
 def num_to_ym(n: Column, unit: str) -> Column:
@@ -90,38 +102,18 @@ def from_tz(ts: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
 
 
-# Date format elements, longest first.
-_ELEMENTS = {
-    "HH24": "HH", "HH12": "hh", "YYYY": "yyyy", "RRRR": "yyyy", "MONTH": "MMMM", "SSSSS": "A", "MON": "MMM", "DDD": "D", "DAY": "EEEE", "FF9": "SSSSSSSSS", "FF6": "SSSSSS",
-    "FF3": "SSS", "TZR": "VV", "TZH": "xx", "YY": "yy", "RR": "yy", "MM": "MM", "DD": "dd", "DY": "EEE", "HH": "hh", "MI": "mm", "SS": "ss", "FF": "SSSSSS", "AM": "a", "PM": "a", "Q": "q",
-}
-_ELEMENT = re.compile("|".join(_ELEMENTS) + r'|"[^"]*"|[A-Z]+', re.IGNORECASE)
-
-
-def date_pattern(fmt: str) -> str:
-    """Spark's pattern of a source date format."""
-
-    def one(m: re.Match) -> str:
-        x = m.group()
-        return _ELEMENTS.get(x.upper()) or "'" + x.strip('"') + "'"
-
-    return _ELEMENT.sub(one, fmt)
-
-
-def to_date(s: Column, fmt: str) -> Column:
-    """Text to timestamp; null where it does not fit."""
-    return F.try_to_timestamp(s, F.lit(date_pattern(fmt))).cast("timestamp_ntz")
+def to_date(s: Column, fmt: str, as_of: Column | None = None) -> Column:
+    """Text to timestamp; null where it does not fit. as_of fixes the clock that missing and two-digit years go by."""
+    return formats.date_of(s, fmt, as_of)
 
 
 def to_char_date(d: Column, fmt: str) -> Column:
-    return F.date_format(d, date_pattern(fmt))
+    return formats.date_text(d, fmt)
 
 
 def to_char_number(n: Column, fmt: str) -> Column:
     """Number by picture; FM takes the padding away."""
-    picture = fmt.upper().removeprefix("FM")
-    out = F.to_char(n.cast("decimal(38,2)"), F.lit(picture))
-    return F.trim(out) if fmt.upper().startswith("FM") else out
+    return formats.number_text(n, fmt)
 
 
 def to_number(s: Column) -> Column:
@@ -133,11 +125,16 @@ def instr(s: Column, t: str) -> Column:
 
 
 def instr_from(s: Column, t: str, start: int = 1, nth: int = 1) -> Column:
-    """Place of the nth find of t at or after `start`; 0 if there is none."""
-    tail = F.substr(s, F.lit(start))
-    head = F.substring_index(tail, t, nth)
-    found = (F.char_length(tail) - F.char_length(F.replace(tail, F.lit(t), F.lit("")))) >= nth * len(t)
-    return F.when(found, F.char_length(head) + start).when(s.isNotNull(), 0).cast("int")
+    """Place of the nth find of t at or after `start`, or, with a negative start, of those that begin at that place from the
+    end or before it, from there backwards; finds may overlap. 0 if there is none."""
+    if not start or nth < 1 or not t:
+        return F.when(s.isNotNull(), 0).cast("int")
+    back = start < 0
+    text, find = (F.reverse(s), t[::-1]) if back else (s, t)
+    first = max(1, 1 - start - len(t)) if back else start
+    next_ = lambda p: F.call_function("locate", F.lit(find), text, p + 1)
+    place = F.aggregate(F.array_repeat(F.lit(0), nth), F.lit(first - 1), lambda p, _: F.when((p < 0) | (next_(p) == 0), -1).otherwise(next_(p)))
+    return F.when(place > 0, F.char_length(s) - place - len(t) + 2 if back else place).when(s.isNotNull(), 0).cast("int")
 
 
 def lengthb(s: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: List values and bucketed bounds up to so many rows are broadcast; beyond that both sides are shuffled.
+from ferryline.operators.names import fresh_names
+from ferryline.operators.ranges import few, meet_ranges, overlaps
+
+#: List values up to so many rows are broadcast; beyond that both sides are shuffled.
 BROADCAST_ROWS = 100_000
-#: Bounds up to this number are tested row by row; beyond that rows and bounds meet on a bucket of the key.
-NESTED_BOUNDS = 64
 
 
 def bounds_from_highs(highs: DataFrame, by: list[str], high: str = "high", position: str = "position") -> DataFrame:
@@ -45,78 +46,26 @@ def parse_list_values(text: Column) -> Column:
     return F.when(text.isNull() | (F.upper(F.trim(text)).isin("", "DEFAULT")), F.array().cast("array<string>")).otherwise(clean)
 
 
-def overlaps(lower: Column, upper: Column, start: Column, end: Column) -> Column:
-    """Whether [lower, upper) and [start, end) meet; null is unbounded."""
-    return (lower.isNull() | end.isNull() | (lower < end)) & (upper.isNull() | start.isNull() | (start < upper))
-
-
 def prune(bounds: DataFrame, start: Column, end: Column) -> DataFrame:
     """The partitions that a range of values can touch; either end may be null."""
     return bounds.where(overlaps(F.col("lower"), F.col("upper"), start, end))
 
 
-def within(value: Column, lower: Column, upper: Column) -> Column:
-    return value.isNotNull() & (lower.isNull() | (value >= lower)) & (upper.isNull() | (value < upper))
-
-
-def _few(small: DataFrame, most: int | None = None) -> bool:
-    most = BROADCAST_ROWS if most is None else most
-    return small.limit(most + 1).count() <= most
-
-
-def _position(value: Column, kind: str) -> Column:
-    """A number that grows with the value: of numbers themselves, of dates and timestamps their microseconds."""
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        zero = F.lit("1970-01-01 00:00:00").cast("timestamp" if kind == "timestamp" else "timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", zero, value.cast("timestamp" if kind == "timestamp" else "timestamp_ntz")).cast("double")
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return value.cast("double")
-    raise TypeError(f"no ranges over many bounds of type {kind}")
-
-
-def _buckets(spread: DataFrame, kind: str, lower: str, upper: str) -> tuple[Column, Column, int]:
-    """Least position and width of equal buckets over the bounds of `spread`, and how many: as many as there are bounds."""
-    p = lambda c: _position(F.col(c), kind)
-    n, low, high = spread.agg(F.count(F.lit(1)), F.least(F.min(p(lower)), F.min(p(upper))), F.greatest(F.max(p(lower)), F.max(p(upper)))).first()
-    low, high = low or 0.0, high or 0.0
-    return F.lit(low), F.lit(max((high - low) / max(n, 1), 1e-9)), max(n, 1)
-
-
-def meet_ranges(left: DataFrame, right: DataFrame, ends: tuple[str, str], bounds: tuple[str, str], condition: Column, kind: str, how: str = "inner") -> DataFrame:
-    """left joined with right where `condition` holds, which only ranges [ends] and [bounds] that meet can satisfy; null ends
-    are open. Few ranges on the right are broadcast and tested one by one; many are listed by the buckets of the key that
-    they cover, and so are those on the left: `condition` must hold for the first bucket only that both are in."""
-    if _few(right, NESTED_BOUNDS):
-        return left.join(F.broadcast(right), condition, how)
-    low, width, n = _buckets(right, kind, *bounds)
-    at = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n), F.floor((_position(F.col(c), kind) - low) / width)))).cast("long")
-    first, last = F.coalesce(at(bounds[0]), F.lit(0).cast("long")), F.coalesce(at(bounds[1]), F.lit(n).cast("long"))
-    listed = right.withColumns({"_from": first, "_bucket": F.explode(F.sequence(first, F.greatest(first, last)))})
-    listed = F.broadcast(listed) if _few(listed) else listed
-    if ends[0] == ends[1]:
-        rows = left.withColumn("_at", at(ends[0]))
-        return rows.join(listed, (rows["_at"] == listed["_bucket"]) & condition, how).drop("_at", "_from", "_bucket")
-    start, end = F.coalesce(at(ends[0]), F.lit(0).cast("long")), F.coalesce(at(ends[1]), F.lit(n).cast("long"))
-    rows = left.withColumns({"_start": start, "_at": F.explode(F.sequence(start, F.greatest(start, end)))})
-    once = F.col("_at") == F.greatest("_start", "_from")
-    return rows.join(listed, (rows["_at"] == listed["_bucket"]) & once & condition, how).drop("_start", "_at", "_from", "_bucket")
-
-
 def route_range(df: DataFrame, bounds: DataFrame, key: str, default: str | None = None) -> DataFrame:
     """df with the part whose [lower, upper) holds the key; `default` for null keys and keys outside."""
-    b = bounds.select(F.col("part").alias("_part"), F.col("lower").alias("_lower"), F.col("upper").alias("_upper"))
-    joined = meet_ranges(df, b, (key, key), ("_lower", "_upper"), within(F.col(key), F.col("_lower"), F.col("_upper")), dict(df.dtypes)[key], "left")
-    return joined.select(*[c for c in df.columns if c != "part"], F.coalesce("_part", F.lit(default)).alias("part"))
+    part, lower, upper = fresh_names(df, "part", "lower", "upper")
+    b = bounds.select(F.col("part").alias(part), F.col("lower").alias(lower), F.col("upper").alias(upper))
+    joined = meet_ranges(df, b, (key, key), (lower, upper), "left")
+    return joined.select(*[c for c in df.columns if c != "part"], F.coalesce(part, F.lit(default)).alias("part"))
 
 
 def join_overlaps(left: DataFrame, right: DataFrame, ends: tuple[str, str], bounds: tuple[str, str]) -> DataFrame:
     """left and right where [ends) of the left meets [bounds) of the right; null is open."""
-    met = overlaps(*[F.col(c) for c in (*bounds, *ends)])
-    return meet_ranges(left, right, ends, bounds, met, dict(right.dtypes)[bounds[0]])
+    return meet_ranges(left, right, ends, bounds)
 
 
 def route_list(df: DataFrame, lists: DataFrame, key: str, default: str = "default") -> DataFrame:
     """df with the part whose values (array column `values`) hold the key, else the default part."""
     pairs = lists.select("part", F.explode("values").alias("_value"))
-    pairs = F.broadcast(pairs) if _few(pairs) else pairs
+    pairs = F.broadcast(pairs) if few(pairs, BROADCAST_ROWS) else pairs
     return df.join(pairs, df[key] == F.col("_value"), "left").select(*[df[c] for c in df.columns], F.coalesce("part", F.lit(default)).alias("part"))

@@ -53,20 +53,33 @@ _orders("sysdate_as_of", lambda: O.sysdate(_noon() + F.expr("interval 1500 milli
 _orders("systimestamp_as_of", lambda: O.systimestamp(_noon()), _NOON)
 _orders("trunc_day", lambda: O.trunc(_noon()), f"cast(date_trunc('day', {_NOON}) as timestamp)")
 _orders("trunc_unit", lambda: F.when(c("o_orderkey") % 2 == 0, O.trunc(_noon(), "MM")).otherwise(O.trunc(_noon(), "YYYY")), f"cast(case when o_orderkey % 2 = 0 then date_trunc('month', {_NOON}) else date_trunc('year', {_NOON}) end as timestamp)")
-_orders("add_months", lambda: O.add_months(c(_D), (c("o_orderkey") % 14).cast("int"), month_ends=True), f"cast(case when cast({_D} as date) = last_day({_D}) then last_day({_D} + to_months(cast(o_orderkey % 14 as integer))) else {_D} + to_months(cast(o_orderkey % 14 as integer)) end as date)")
+_MONTHS = "to_months(cast(o_orderkey % 14 as integer))"
+_orders("add_months", lambda: O.add_months(_noon(), (c("o_orderkey") % 14).cast("int"), month_ends=True), f"cast(case when cast({_D} as date) = last_day({_D}) then last_day({_D} + {_MONTHS}) + interval 13 hour else {_NOON} + {_MONTHS} end as timestamp)")
 _orders("months_between", lambda: O.months_between(F.lit("2002-03-15").cast("timestamp_ntz"), c(_D)), f"cast(datesub('month', cast({_D} as timestamp), timestamp '2002-03-15') as integer)")
-_orders("last_day", lambda: O.last_day(c(_D)), f"last_day({_D})")
-_orders("date_diff", lambda: O.date_diff(F.lit("2002-03-15").cast("timestamp_ntz"), c(_D)), f"cast(datediff('day', {_D}, timestamp '2002-03-15') as integer)")
+_orders("last_day", lambda: O.last_day(_noon()), f"cast(last_day({_D}) + interval 13 hour as timestamp)")
+_orders("date_diff", lambda: O.date_diff(F.lit("2002-03-15 06:00:00").cast("timestamp_ntz"), _noon()), f"(epoch(timestamp '2002-03-15 06:00:00') - epoch({_NOON})) / 86400.0::double")
+_orders("plus_days", lambda: O.plus_days(c(_D), (c("o_orderkey") % 9) / 4), f"{_D} + to_microseconds(o_orderkey % 9 * 21600000000)")
 _orders("dsinterval", lambda: c(_D) + O.num_to_ds((c("o_orderkey") % 50).cast("int"), "HOUR"), f"{_D} + to_hours(o_orderkey % 50)")
+_orders("dsinterval_parts", lambda: c(_D) + O.num_to_ds((c("o_orderkey") % 50) / 8, "HOUR"), f"{_D} + to_microseconds(o_orderkey % 50 * 450000000)")
 _orders("yminterval", lambda: c(_D) + O.num_to_ym((c("o_orderkey") % 5).cast("int"), "YEAR"), f"{_D} + to_years(cast(o_orderkey % 5 as integer))")
 _orders("from_tz", lambda: O.from_tz(_noon(), "+03:00"), f"{_NOON} - interval 3 hour")
 _orders("to_date", lambda: O.to_date(F.when(c("o_orderkey") % 9 == 0, "no date").otherwise(F.date_format(_D, "dd.MM.yyyy 07:mm")), "DD.MM.RRRR HH24:MI"), f"case when o_orderkey % 9 <> 0 then cast(date_trunc('day', {_D}) as timestamp) + interval 7 hour end")
 _orders("to_char_date", lambda: O.to_char_date(_noon(), "YYYY-MM-DD HH24:MI:SS"), f"strftime({_NOON}, '%Y-%m-%d %H:%M:%S')")
 _orders("format_map", lambda: O.to_char_date(_noon(), 'DD "of" MON RR HH12:MI:SS.FF3'), f"strftime({_NOON}, '%d of %b %y %I:%M:%S.000')")
+#: Two-digit years on both sides of the pivot, as seen from the year 2024.
+_SEEN = "2024-06-30 00:00:00"
+_orders("to_date_rr", lambda: O.to_date(F.concat(F.date_format(_D, "dd.MM."), F.lpad((c("o_orderkey") % 100).cast("string"), 2, "0")), "DD.MM.RR", F.lit(_SEEN).cast("timestamp_ntz")),
+        f"try_strptime(case when o_orderkey % 100 >= 50 then '19' else '20' end || lpad(cast(o_orderkey % 100 as varchar), 2, '0') || strftime({_D}, '-%m-%d'), '%Y-%m-%d')")
+_orders("to_date_sssss", lambda: O.to_date(F.concat(F.date_format(_D, "MMM-d-yyyy"), F.lit(" "), (c("o_orderkey") % 90_000).cast("string")), "MON-DD-YYYY SSSSS"), f"case when o_orderkey % 90000 < 86400 then cast({_D} as timestamp) + to_seconds(o_orderkey % 90000) end")
+_orders("to_char_sssss", lambda: O.to_char_date(c(_D) + O.num_to_ds(c("o_orderkey") % 86_400, "SECOND"), 'SSSSS "s of" DDD'), f"lpad(cast(o_orderkey % 86400 as varchar), 5, '0') || ' s of ' || strftime({_D}, '%j')")
 _orders("to_number", lambda: O.to_number(F.substring("o_orderpriority", 1, 1)), "try_cast(substr(o_orderpriority, 1, 1) as decimal(38, 10))")
 _orders("to_char_number", lambda: O.to_char_number(F.round("o_totalprice", 2), "FM999,999,990.00"), "format('{:,.2f}', round(o_totalprice, 2))")
+_part("to_char_scale", lambda: O.to_char_number(c("p_partkey") / 10_000, "FM0.0000"), "printf('%.4f', p_partkey / 10000)")
+_part("to_char_padded", lambda: O.to_char_number(c("p_partkey") - 100, "9,990MI"), "lpad(format('{:,}', abs(p_partkey - 100)), 5, ' ') || case when p_partkey < 100 then '-' else ' ' end")
 _orders("instr", lambda: O.instr(c("o_orderpriority"), "-"), "cast(position('-' in o_orderpriority) as integer)")
 _pages("instr_from", lambda: O.instr_from(c("url"), "/", 3, 2), "cast(case when len(string_split(substr(url, 3), '/')) > 2 then len(array_to_string(string_split(substr(url, 3), '/')[:2], '/')) + 3 else 0 end as integer)")
+_pages("instr_back", lambda: O.instr_from(c("url"), "/", -1), "cast(case when contains(url, '/') then length(url) - position('/' in reverse(url)) + 1 else 0 end as integer)")
+_pages("instr_overlap", lambda: O.instr_from(F.concat(F.lit("aa"), F.repeat(F.lit("a"), (c("page_id") % 5).cast("int"))), "aa", 1, 3), "cast(case when page_id % 5 >= 2 then 3 else 0 end as integer)")
 _pages("lengthb", lambda: O.lengthb(c("html")), "cast(strlen(html) as integer)")
 _pages("lob_length", lambda: O.lob_length(c("html")), "cast(length(html) as integer)")
 _pages("lob_substr", lambda: O.lob_substr(c("html"), 25, 4), "substr(html, 4, 25)")

@@ -3,12 +3,13 @@
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferryline.functions import oracle as O
-from ferryline.operators import chunks, hierarchy, integrity, ledger, partitions, reconcile, shape, textjobs
+from ferryline.operators import chunks, hierarchy, integrity, ledger, partitions, ranges, reconcile, shape, textjobs
 from ferryline.operators.order import numbered
 from ferryline.sources import sink
 from ferryline.spec import SourceColumn, TableSpec, UnsupportedType, spark_schema, spark_type
@@ -134,15 +135,13 @@ def test_route_with_nulls_and_many_bounds(spark, monkeypatch):
     want = [(1, "a"), (2, "x"), (3, "x"), (4, "b")]
     got = lambda: sorted((r["i"], r["part"]) for r in partitions.route_range(rows, bounds, "ts", "x").collect())
     assert got() == want
-    for most in (100_000, 0):  # bucketed bounds, broadcast and shuffled
-        monkeypatch.setattr(partitions, "NESTED_BOUNDS", 1)
-        monkeypatch.setattr(partitions, "BROADCAST_ROWS", most)
-        assert got() == want
+    monkeypatch.setattr(ranges, "BROADCAST_ROWS", 0)  # shuffled
+    assert got() == want
 
 
 @pytest.mark.parametrize("kind", ["long", "double", "date", "timestamp_ntz"])
 def test_routes_by_any_number_of_bounds(spark, monkeypatch, kind):
-    """Narrow and wide parts, gaps and open ends: one by one, in buckets, and against a search in Python."""
+    """Narrow and wide parts, gaps and open ends: by the index, shuffled, and against a search in Python."""
     import random
     from bisect import bisect_right
 
@@ -160,17 +159,59 @@ def test_routes_by_any_number_of_bounds(spark, monkeypatch, kind):
         i = bisect_right(edges, k)
         return "last" if i == len(edges) else f"p{i}" if i % 7 != 3 else "none"
 
-    for nested, most in ((64, 100_000), (1, 100_000), (1, 0)):
-        monkeypatch.setattr(partitions, "NESTED_BOUNDS", nested)
-        monkeypatch.setattr(partitions, "BROADCAST_ROWS", most)
+    wide = rows.join(rows.select(F.col("i").alias("j"), F.col("k").alias("b")), F.col("j") == F.col("i") + 1).withColumnRenamed("k", "a")
+    low = {p: (a, b) for p, a, b in parts}
+    pairs = sorted((i, p) for i, (a, b) in enumerate(zip(keys, keys[1:], strict=False)) for p, (x, y) in low.items()
+                   if (x is None or b is None or x < value(b)) and (y is None or a is None or value(a) < y))
+    for most in (100_000, 0):
+        monkeypatch.setattr(ranges, "BROADCAST_ROWS", most)
         assert {x["i"]: x["part"] for x in partitions.route_range(rows, bounds, "k", "none").collect()} == {i: want(k) for i, k in enumerate(keys)}
-        met = partitions.join_overlaps(rows.select("i", F.col("k").alias("a"), F.col("k").alias("b")), bounds.select("part", "lower", "upper"), ("a", "b"), ("lower", "upper")) if nested == 64 else None
-        wide = rows.join(rows.select(F.col("i").alias("j"), F.col("k").alias("b")), F.col("j") == F.col("i") + 1).withColumnRenamed("k", "a")
-        got = sorted(map(str, partitions.join_overlaps(wide, bounds, ("a", "b"), ("lower", "upper")).select("i", "part").collect()))
-        first = got if nested == 64 else first
-        assert got == first and met is not False
-    with pytest.raises(TypeError, match="many bounds"):
-        partitions.route_range(spark.createDataFrame([("a",)], "k string"), spark.createDataFrame([("p", "a", "b"), ("q", "b", "c")], "part string, lower string, upper string"), "k")
+        assert sorted((x["i"], x["part"]) for x in partitions.join_overlaps(wide, bounds, ("a", "b"), ("lower", "upper")).collect()) == pairs
+
+
+def test_routes_by_text_and_decimals(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", Decimal("1.10")), ("é", Decimal("2.55")), (None, None), ("zz", Decimal("-3"))], "k string, x decimal(20,2)")
+    by_text = spark.createDataFrame([("p", "a", "b"), ("q", "z", None)], "part string, lower string, upper string")
+    assert sorted((r["k"] or "", r["part"]) for r in partitions.route_range(rows, by_text, "k", "none").collect()) == [("", "none"), ("a", "p"), ("zz", "q"), ("é", "q")]
+    by_number = spark.createDataFrame([("p", Decimal("1.10"), Decimal("2.55"))], "part string, lower decimal(20,2), upper decimal(20,2)")
+    assert sorted(r["part"] for r in partitions.route_range(rows, by_number, "x", "none").collect()) == ["none", "none", "none", "p"]
+    monkeypatch.setattr(ranges, "BROADCAST_ROWS", 1)
+    with pytest.raises(TypeError, match="ranges of strings"):
+        partitions.route_range(rows, by_text, "k")
+
+
+@pytest.mark.parametrize("most", [100_000, 10])
+def test_a_far_end_and_wide_ranges(spark, monkeypatch, most):
+    """One range up to 9999, hundreds over each other: as many candidate pairs as in the even case, times the tree's height."""
+    monkeypatch.setattr(ranges, "BROADCAST_ROWS", most)
+    day = lambda i: dt.datetime(2020, 1, 1) + dt.timedelta(days=i)
+    daily = [(f"d{i}", day(i), day(i + 1)) for i in range(600)] + [("far", day(600), dt.datetime(9999, 12, 31))]
+    bounds = spark.createDataFrame(daily, "part string, lower timestamp_ntz, upper timestamp_ntz")
+    rows = spark.createDataFrame([(i, day(i % 700) + dt.timedelta(hours=5)) for i in range(1400)], "i int, ts timestamp_ntz")
+    assert {r["i"]: r["part"] for r in partitions.route_range(rows, bounds, "ts").collect()} == {i: "far" if i % 700 >= 600 else f"d{i % 700}" for i in range(1400)}
+    if most == 10:
+        listed = ranges._listed(rows, bounds, "ts", ("lower", "upper"), False)
+        assert listed.count() < 20 * 1400
+    wide = spark.createDataFrame([(f"w{i}", i, 1000 + i) for i in range(500)], "part string, lower long, upper long")
+    at = spark.createDataFrame([(0,), (250,), (999,), (1200,), (1499,)], "k long")
+    assert {r["k"]: r["n"] for r in ranges.meet_ranges(at, wide, ("k", "k"), ("lower", "upper")).groupBy("k").agg(F.count("*").alias("n")).collect()} == {0: 1, 250: 251, 999: 500, 1200: 299}
+
+
+def test_index_of_random_ranges():
+    import random
+
+    r = random.Random(8)
+    number = lambda: r.choice([None, *range(20)])
+    spans = [(number(), number()) for _ in range(150)]
+    index = ranges.RangeIndex(pa.array([a for a, _ in spans], pa.int64()), pa.array([b for _, b in spans], pa.int64()))
+    at = [None, *range(-1, 22)]
+    got = index.containing(pa.array(at, pa.int64())).to_pylist()
+    assert [sorted(x) for x in got] == [[] if v is None else [i for i, (a, b) in enumerate(spans) if (a is None or a <= v) and (b is None or v < b)] for v in at]
+    asked = [(number(), number()) for _ in range(80)]
+    got = index.meeting(pa.array([a for a, _ in asked], pa.int64()), pa.array([b for _, b in asked], pa.int64())).to_pylist()
+    assert [sorted(x) for x in got] == [[i for i, (a, b) in enumerate(spans) if (a is None or e is None or a < e) and (b is None or s is None or s < b)] for s, e in asked]
+    assert ranges.RangeIndex(pa.array([], pa.int64()), pa.array([], pa.int64())).containing(pa.array([1])).to_pylist() == [[]]
+
 
 
 def test_ledger_rules(spark):
@@ -204,14 +245,13 @@ def test_durations(spark):
 def test_functions(spark):
     one = spark.createDataFrame([(_month(2024, 1, 31), "a/b/c/d", None, Decimal("1234567.5"))], "d timestamp_ntz, s string, n string, x decimal(20,2)")
     get = lambda c: one.select(c).first()[0]
-    assert get(O.add_months(F.col("d"), 1)) == dt.date(2024, 2, 29)
-    assert get(O.add_months(F.lit("2024-02-29").cast("date"), 1, month_ends=True)) == dt.date(2024, 3, 31)
+    assert get(O.add_months(F.col("d"), 1)) == dt.datetime.combine(dt.date(2024, 2, 29), get(F.col("d")).time() if isinstance(get(F.col("d")), dt.datetime) else dt.time())
+    assert get(O.add_months(F.lit("2024-02-29").cast("date"), 1, month_ends=True)) == dt.datetime(2024, 3, 31)
     assert get(O.months_between(F.lit("2024-02-29").cast("timestamp_ntz"), F.col("d"))) == 1
     assert [get(O.instr_from(F.col("s"), "/", p, k)) for p, k in [(1, 1), (1, 3), (3, 1), (1, 4)]] == [2, 6, 4, 0]
     assert get(O.decode(F.col("n"), F.lit(None), F.lit("null"), F.lit("other"))) == "other"
     assert get(O.decode(F.col("n"), F.lit(None), F.lit("null"), F.lit("other"), null_safe=True)) == "null"
     assert get(O.to_char_number(F.col("x"), "FM999,999,990.00")) == "1,234,567.50"
-    assert O.date_pattern("RRRR-MM-DD HH24:MI:SS.FF3") == "yyyy-MM-dd HH:mm:ss.SSS"
     assert get(O.to_date(F.lit("no"), "DD.MM.YYYY")) is None
     assert get(O.to_number(F.lit("x1"))) is None
 
