@@ -1,25 +1,17 @@
-"""Progress events: throttle, chunk progress, rollups, stalls, windows and incremental views.
+"""Progress events: throttle, chunk progress, rollups and windows.
 
 An event has table_name, partition_key, ts, state, rows, speed, percent and timings. Each stateful operator has a batch
 twin over a finished log; both give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.query import StreamingQuery
 
 from ferryline.operators.ledger import strip_chunk
 from ferryline.operators.walk import walked
-
-#: Events that always pass the throttle.
-TERMINAL = ("FAILED", "STATS", "COMPLETED")
-EVENT = "table_name string, partition_key string, ts timestamp, state string, rows long, event_id long"
+from ferryline.streaming.ordered import EVENT, throttle_walk
 
 
 def classify(message: Column, fields: Column) -> Column:
@@ -37,96 +29,19 @@ def duration_ms(text: Column) -> Column:
     return F.round(part("h") * 3_600_000 + part("m") * 60_000 + part("s") * 1000 + part("ms")).cast("long")
 
 
-def _passes(state: str, ts: pd.Timestamp, last: float | None, seconds: float) -> bool:
-    return state in TERMINAL or last is None or ts.timestamp() - last >= seconds
-
-
 def throttled(events: DataFrame, seconds: float = 1.0) -> DataFrame:
     """At most one event per unit and interval, counted from the last one that passed; terminal events always pass.
 
-    The rule is greedy, so the events of a unit are walked in order of time."""
-    rows = events.select("table_name", "partition_key", F.col("ts").cast("timestamp").alias("ts"), "state", "rows", "event_id")
+    The rule is greedy, so the events of a unit are walked in order of time; events without a time are left out."""
+    rows = events.select("table_name", "partition_key", F.col("ts").cast("timestamp").alias("ts"), "state", "rows", "event_id").where("ts is not null")
 
     def walk(last, part: pd.DataFrame):
-        keep = []
-        for state, ts in zip(part["state"], part["ts"], strict=True):
-            ok = _passes(state, ts, last, seconds)
-            last = ts.timestamp() if ok else last
-            keep.append(ok)
+        last, keep = throttle_walk(last, [(t.value // 1000, None, s, None) for t, s in zip(part["ts"], part["state"], strict=True)], round(seconds * 1_000_000))
         return last, part[keep]
 
     return walked(rows, ["table_name", "partition_key"], ["ts", "event_id"], walk, EVENT)
 
 
-class Throttle(StatefulProcessor):
-    """The throttle over a stream: the time of the last event that passed is the state of a unit."""
-
-    def __init__(self, seconds: float = 1.0):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "t double")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            keep = []
-            for state, ts in zip(pdf["state"], pdf["ts"], strict=True):
-                ok = _passes(state, ts, last, self.seconds)
-                last = ts.timestamp() if ok else last
-                keep.append(ok)
-            if any(keep):
-                yield pdf[keep][["table_name", "partition_key", "ts", "state", "rows", "event_id"]]
-        if last is not None:
-            self.last.update((last,))
-
-    def close(self) -> None:
-        pass
-
-
-def throttle_stream(events: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """throttled() for a streaming DataFrame; needs the RocksDB state store."""
-    rows = events.select("table_name", "partition_key", F.col("ts").cast("timestamp").alias("ts"), "state", "rows", "event_id")
-    return rows.groupBy("table_name", "partition_key").transformWithStateInPandas(Throttle(seconds), outputStructType=EVENT, outputMode="Append", timeMode="None")
-
-
-class Stall(StatefulProcessor):
-    """Reports a unit once when no event came for the time given; the next event arms it again."""
-
-    def __init__(self, minutes: int = 30):
-        self.ms = minutes * 60_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "t long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max((int(pdf["ts"].max().timestamp() * 1000) for pdf in rows), default=None)
-        if newest is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            old = self.seen.get()[0] if self.seen.exists() else 0
-            newest = max(newest, old)
-            self.seen.update((newest,))
-            self.handle.registerTimer(newest + self.ms)
-        yield from ()
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        seen = pd.to_datetime([self.seen.get()[0]], unit="ms", utc=True)
-        yield pd.DataFrame({"table_name": [key[0]], "partition_key": [key[1]], "last_seen": seen})
-
-    def close(self) -> None:
-        pass
-
-
-def stall_stream(events: DataFrame, minutes: int = 30, watermark: str = "1 minute") -> DataFrame:
-    """Units without an event for `minutes` of event time: table_name, partition_key, last_seen."""
-    rows = events.select("table_name", "partition_key", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
-    schema = "table_name string, partition_key string, last_seen timestamp"
-    return rows.groupBy("table_name", "partition_key").transformWithStateInPandas(Stall(minutes), outputStructType=schema, outputMode="Append", timeMode="EventTime")
-
-
 def latest_units(events: DataFrame) -> DataFrame:
     """The newest figures of each unit, and when they came. Works on streams; its state is a row for each unit."""
     newest = F.struct("ts", "event_id")
@@ -162,15 +77,6 @@ def rollup_of(units: DataFrame) -> DataFrame:
     return units.groupBy("table_name").agg(F.sum("rows").alias("rows"), F.sum("speed").alias("speed"), F.round(F.avg(running), 4).alias("percent"))
 
 
-def kept_table(units: DataFrame, shape: Callable[[DataFrame], DataFrame], path: str) -> StreamingQuery:
-    """Keep shape(rows) of a complete streaming aggregate as the table `path`/table; after each batch it is as of then."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(f"{path}/table")
-
-    return units.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-
-
 def stats_totals(events: DataFrame, by: list[str], rounding: str = "truncate") -> DataFrame:
     """Rows, duration, read and write time, batches; shares of the duration, rows per second, rows per batch. Works on streams."""
     whole = (lambda c: F.floor(c)) if rounding == "truncate" else (lambda c: F.round(c))
@@ -198,22 +104,3 @@ def windowed(events: DataFrame, window: str, keys: list[str], watermark: str | N
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = rows.withWatermark("ts", watermark) if watermark else rows
     return rows.groupBy(F.window("ts", window), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
-
-
-def refresh_view(stream: DataFrame, path: str, checkpoint: str, keys: list[str], sums: list[str]) -> StreamingQuery:
-    """Fold what is new of a stream into a stored grouped view: counts (n) and sums per key, once per batch.
-
-    Each batch writes its partial sums under its own number, so a batch that runs twice counts once; view() adds up."""
-
-    def fold(batch: DataFrame, number: int) -> None:
-        partial = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("decimal(18,2)")).alias(c) for c in sums])
-        partial.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def view(spark, path: str, keys: list[str], sums: list[str]) -> DataFrame:
-    """The stored view that refresh_view keeps."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
-
-
