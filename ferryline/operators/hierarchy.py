@@ -95,13 +95,3 @@ def descend(edges: DataFrame, node: str, parent: str, sep: str = "/") -> DataFra
     walked = _union(done).select("node", F.size("path").alias("level"), F.when(F.col("node").isNotNull(), F.array_join("path", sep)).alias("path"))
     parents = edges.where(F.col(parent).isNotNull()).select(F.col(parent).alias("node")).distinct().withColumn("_p", F.lit(True))
     return walked.join(parents, "node", "left").select("node", "level", "path", F.col("_p").isNull().alias("is_leaf"))
-
-
-def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """target with the rows of changes put in by key: a change replaces all columns of its row or is a new row."""
-    t, c = target.withColumn("_t", F.lit(True)), changes.withColumn("_c", F.lit(True))
-    on = [t[k] == c[k] for k in keys]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    return t.join(c, cond, "full").select(*[F.when(F.col("_c"), c[x]).otherwise(t[x]).alias(x) for x in target.columns])

@@ -10,6 +10,8 @@ from ferryline.operators.ranges import few, meet_ranges, overlaps
 
 #: List values up to so many rows are broadcast; beyond that both sides are shuffled.
 BROADCAST_ROWS = 100_000
+#: Ranges of a pushed filter.
+MOST_RANGES = 256
 
 
 def bounds_from_highs(highs: DataFrame, by: list[str], high: str = "high", position: str = "position") -> DataFrame:
@@ -51,6 +53,31 @@ def prune(bounds: DataFrame, start: Column, end: Column) -> DataFrame:
     return bounds.where(overlaps(F.col("lower"), F.col("upper"), start, end))
 
 
+def range_filter(bounds: DataFrame, key: str, kind: str) -> Column:
+    """A filter on a key of type `kind` for the ranges [lower, upper) of the partitions asked for, of values that a scan can
+    push to its files. Ranges that touch are one; more than MOST_RANGES are read as one from the first to the last."""
+    rows = bounds.select("lower", "upper").limit(MOST_RANGES + 1).collect()
+    if not rows:
+        return F.lit(False)
+    if len(rows) > MOST_RANGES:
+        ends = bounds.agg(F.min("lower"), F.max("upper"), F.count_if(F.col("lower").isNull()), F.count_if(F.col("upper").isNull())).first()
+        rows = [(None if ends[2] else ends[0], None if ends[3] else ends[1])]
+    whole: list[list] = []
+    for lower, upper in [r for r in rows if r[0] is None] + sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        if whole and (whole[-1][1] is None or lower is None or lower <= whole[-1][1]):
+            whole[-1][1] = None if upper is None or whole[-1][1] is None else max(whole[-1][1], upper)
+        else:
+            whole.append([lower, upper])
+    value = lambda v: F.lit(str(v)).cast(kind)
+    out = None
+    for lower, upper in whole:
+        one = F.col(key).isNotNull()
+        one = one if lower is None else one & (F.col(key) >= value(lower))
+        one = one if upper is None else one & (F.col(key) < value(upper))
+        out = one if out is None else out | one
+    return out
+
+
 def route_range(df: DataFrame, bounds: DataFrame, key: str, default: str | None = None) -> DataFrame:
     """df with the part whose [lower, upper) holds the key; `default` for null keys and keys outside."""
     part, lower, upper = fresh_names(df, "part", "lower", "upper")

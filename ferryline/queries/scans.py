@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.operators import chunks, partitions, profile, shape
+from ferryline.operators import chunks, partitions, profile, shape, statistics
 from ferryline.operators.order import numbered
 from ferryline.queries.registry import query, table
-from ferryline.sources import scan, sink
+from ferryline.sources import batches, scan, sink
+from ferryline.sources.sink import cut
 
 _MONTH = "strftime(o_orderdate, '%Y-%m')"
 
@@ -21,8 +26,25 @@ def scan_filtered(spark: SparkSession, d: str) -> DataFrame:
 @query("scan_partition", f"select o_orderkey, o_orderdate, {_MONTH} as part from orders where {_MONTH} = '1996-03'")
 def scan_partition(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    bounds = partitions.month_bounds(orders, "o_orderdate").where("part = '1996-03'")
-    return partitions.route_range(orders, bounds, "o_orderdate").where("part is not null")
+    bounds = cut(partitions.month_bounds(orders, "o_orderdate").where("part = '1996-03'"), "bounds")
+    asked = orders.where(partitions.range_filter(bounds, "o_orderdate", "timestamp_ntz"))
+    return partitions.route_range(asked, bounds, "o_orderdate").where("part is not null")
+
+
+@query("scan_partition_folder", "select o_orderkey, strftime(o_orderdate, '%Y') as part from orders where strftime(o_orderdate, '%Y') in ('1995', '1997')")
+def scan_partition_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Of a table in folders by year only those of two years are listed and read."""
+    orders, path = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy").alias("part")), sink.scratch(spark, "folders")
+    sink.load(orders, path, partition_by=["part"])
+    return scan.scan(spark, path, ["o_orderkey", "part"], "part in ('1995', '1997')").withColumn("part", F.col("part").cast("string"))
+
+
+@query("scan_chunks", "select o_orderkey, cast(ntile(6) over (order by o_orderkey) as integer) as chunk_id from orders")
+def scan_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Range chunks as predicates, each a scan of its own that pushes its bounds."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    parts = scan.chunk_predicates(chunks.range_chunks(orders, "o_orderkey", 6), "o_orderkey")
+    return reduce(DataFrame.unionByName, [orders.where(p).withColumn("chunk_id", F.lit(i)) for i, p in parts])
 
 
 @query("hash_chunks", "select cast(l_orderkey % 16 as integer) as chunk_id, count(*) as n_rows, min(l_orderkey) as lower, max(l_orderkey) as upper from lineitem group by 1")
@@ -84,6 +106,51 @@ def count_estimated(spark: SparkSession, d: str) -> DataFrame:
     return scan.estimate_rows(table(spark, d, "lineitem"))
 
 
+@query("count_statistics", f"select {_MONTH} as part, count(*) as n_rows, true as estimated from orders group by 1 union all select null, count(*), true from orders")
+def count_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each month and of all, from statistics kept when the rows were seen."""
+    orders = table(spark, d, "orders").withColumn("part", F.date_format("o_orderdate", "yyyy-MM"))
+    kept = cut(statistics.collected(orders, ["part"], ["o_custkey"]), "statistics")
+    whole = statistics.united(kept, [], ["o_custkey"]).select(F.lit(None).cast("string").alias("part"), "n_rows")
+    return kept.select("part", "n_rows").unionByName(whole).withColumn("estimated", F.lit(True))
+
+
+_WITHIN = "select '{0}' as column_name, count(distinct {0}) as exact, true as within from lineitem"
+
+
+@query("distinct_estimated", " union all ".join(_WITHIN.format(x) for x in ("l_orderkey", "l_partkey", "l_suppkey")))
+def distinct_estimated(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct counts from sketches of months, united, beside exact ones: within the sketches' error bound."""
+    lines, names = table(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"]
+    kept = cut(statistics.collected(lines.withColumn("part", F.date_format("l_shipdate", "yyyy-MM")), ["part"], names), "statistics")
+    found = statistics.united(kept, [], names)
+    exact = lines.agg(*[F.count_distinct(x).alias(f"exact_{x}") for x in names])
+    both = found.join(F.broadcast(exact), F.lit(True))  # a row each
+    each = [F.struct(F.lit(x).alias("column_name"), F.col(f"exact_{x}").alias("exact"), statistics.within(F.col(f"n_{x}"), F.col(f"exact_{x}")).alias("within")) for x in names]
+    return both.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+
+
+@query("load_in_batches", "select count(*) as n_rows, sum(o_orderkey)::bigint as keys, (count(*) > 0) as resumed from orders")
+def load_in_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Orders loaded in committed batches, then again under the same name: nothing is doubled."""
+    path = sink.scratch(spark, "database").removeprefix("file:")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+
+    def connect() -> sqlite3.Connection:
+        return sqlite3.connect(path, timeout=600)
+
+    db = connect()
+    db.execute("create table t (o_orderkey integer, o_orderstatus text)")
+    rows = batches.staged(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"))
+    for _ in range(2):
+        batches.load_batches(rows, connect, "t", "orders", batch_rows=5000)
+    sink.drop(rows)
+    total = db.execute("select count(*), sum(o_orderkey) from t").fetchone()
+    in_ledger = db.execute(f"select sum(n_rows) from {batches.LEDGER}").fetchone()[0]
+    db.close()
+    return spark.createDataFrame([(*total, in_ledger == total[0])], "n_rows long, keys long, resumed boolean")
+
+
 @query("filter_and_chunk", "select l_orderkey, l_linenumber, l_quantity from lineitem where (l_quantity > 45 or l_discount > 0.09) and l_orderkey % 8 = 3")
 def filter_and_chunk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where(chunks.in_chunk("l_quantity > 45 or l_discount > 0.09", chunks.hash_chunk(F.col("l_orderkey"), 8, arithmetic=True) == 3))
@@ -162,7 +229,7 @@ def target_status(spark: SparkSession, d: str) -> DataFrame:
 def write_partitioned(spark: SparkSession, d: str) -> DataFrame:
     orders, path = table(spark, d, "orders"), sink.scratch(spark, "partitioned")
     routed = partitions.route_range(orders, partitions.month_bounds(orders, "o_orderdate"), "o_orderdate", default="default")
-    sink.load(routed.repartition("part"), path, partition_by=["part"])
+    sink.load(routed.hint("rebalance", F.col("part")), path, partition_by=["part"])
     read = spark.read.option("basePath", path).parquet(path)
     return read.groupBy(F.date_format(F.to_date(F.col("part").cast("string"), "yyyy-MM"), "yyyy-MM").alias("part")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("o_orderdate").alias("first_date"))
 

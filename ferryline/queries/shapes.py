@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ferryline.functions.oracle import default_value
 from ferryline.operators import partitions, shape
 from ferryline.queries.registry import query, table
+from ferryline.sources.sink import cut
 
 
 @query("rename_columns", "select o_orderkey as \"O_ORDERKEY\", o_custkey as customer, o_orderstatus as \"O_ORDERSTATUS\" from orders")
@@ -62,8 +63,9 @@ def filter_like_in(spark: SparkSession, d: str) -> DataFrame:
 @query("partition_filter", "select strftime(o_orderdate, '%Y-%m') as part, count(*) as n_rows from orders where strftime(o_orderdate, '%Y-%m') in ('1995-02', '1997-07') group by 1")
 def partition_filter(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
-    routed = partitions.route_range(orders, partitions.month_bounds(orders, "o_orderdate"), "o_orderdate")
-    return routed.where(F.col("part").isin("1995-02", "1997-07")).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"))
+    bounds = cut(partitions.month_bounds(orders, "o_orderdate").where(F.col("part").isin("1995-02", "1997-07")), "bounds")
+    asked = orders.where(partitions.range_filter(bounds, "o_orderdate", "timestamp_ntz"))
+    return partitions.route_range(asked, bounds, "o_orderdate").groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 _BOUNDS = """
@@ -84,7 +86,9 @@ def prune_partitions(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     at = lambda s: F.lit(s).cast("timestamp_ntz")
     kept = partitions.prune(partitions.month_bounds(orders, "o_orderdate"), at("1996-02-15 12:00:00"), at("1996-05-01 00:00:00"))
-    return partitions.route_range(orders, kept, "o_orderdate").where("part is not null").select("o_orderkey", "part")
+    kept = cut(kept, "bounds")
+    asked = orders.where(partitions.range_filter(kept, "o_orderdate", "timestamp_ntz"))
+    return partitions.route_range(asked, kept, "o_orderdate").where("part is not null").select("o_orderkey", "part")
 
 
 @query("parse_bounds", """

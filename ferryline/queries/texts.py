@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryline.operators import hierarchy, textjobs
+from ferryline.operators import hierarchy, rings, textjobs
+from ferryline.operators.order import numbered
 from ferryline.queries.registry import query, table
+from ferryline.sources import merge, sink
+from ferryline.sources.sink import cut
 
 # The corpus holds prose, so these flags and rewrites stand for constructs: words and marks that it has.
 _FLAGS = {"shout": r"[A-Z]{4,}!!", "rights": r"\bAll rights reserved\b", "mail": r"[\w.]+@[\w.]+\.\w+", "percent": r"%%%", "the of": r"\bthe\s+of\b"}
@@ -111,6 +114,21 @@ def dependency_levels_replies(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.dependency_levels(turns.select(node("turn").alias("node")), turns.select(node("turn").alias("node"), node(F.col("turn") - 1).alias("parent")))
 
 
+@query("levels_through_rings", """
+with t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as i, count(*) over (partition by conv_id) as n from (select distinct conv_id, turn from conversations)),
+r as (select *, conv_id % 3 = 0 and n >= 4 and i < 4 as ring from t)
+select conv_id || ':' || i as node, case when ring then conv_id || ':0' else conv_id || ':' || i end as component,
+  cast(case when ring then 0 when conv_id % 3 = 0 and n >= 4 then i - 3 else i end as integer) as level from r""")
+def levels_through_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn refers to the one before; in every third conversation the first refers to the fourth, which makes a ring."""
+    turns = numbered(table(spark, d, "conversations").select("conv_id", "turn").distinct(), "turn", by=["conv_id"], into="i", total="n")
+    node = lambda i: F.concat_ws(":", "conv_id", i)
+    turns = cut(turns.select("conv_id", "n", "i"), "turns")
+    first = turns.where("conv_id % 3 = 0 and n >= 4 and i = 0").select(node("i").alias("node"), node(F.lit(3)).alias("parent"))
+    edges = turns.where("i > 0").select(node("i").alias("node"), node(F.col("i") - 1).alias("parent")).unionByName(first)
+    return rings.levels_through_rings(turns.select(node("i").alias("node")), edges)
+
+
 @query("hierarchy", """
 with recursive e as (select distinct conv_id || ':' || turn as node, case when turn > 0 then conv_id || ':' || (turn - 1) end as parent from conversations),
 w(node, level, path) as (select node, 1, node from e where parent is null union all select e.node, w.level + 1, w.path || '/' || e.node from e join w on e.parent = w.node)
@@ -127,4 +145,18 @@ select coalesce(k, c_custkey) as c_custkey, coalesce(n, c_name) as c_name, coale
 def upsert(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
     changes = rows.where("c_custkey % 3 = 0").select((F.col("c_custkey") + 100).alias("c_custkey"), F.concat(F.lit("new-"), "c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return hierarchy.upsert(rows, changes, ["c_custkey"])
+    return merge.upsert(rows, changes, ["c_custkey"])
+
+
+@query("merge_partitioned", """
+with o as (select o_orderkey, o_totalprice, strftime(o_orderdate, '%Y') as part from orders where o_orderkey % 2 = 0),
+c as (select o_orderkey, o_totalprice + 1 as o_totalprice, case when o_orderkey % 5 = 0 then '1994' else strftime(o_orderdate, '%Y') end as part from orders where strftime(o_orderdate, '%Y') = '1995')
+select * from c union all select * from o where o_orderkey not in (select o_orderkey from c)""")
+def merge_partitioned(spark: SparkSession, d: str) -> DataFrame:
+    """Even orders by year; all of 1995 change or come anew, and some of them move to 1994."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("part"))
+    path = sink.scratch(spark, "merge")
+    sink.load(orders.where("o_orderkey % 2 = 0"), path, partition_by=["part"])
+    changes = orders.where("part = '1995'").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.when(F.col("o_orderkey") % 5 == 0, "1994").otherwise(F.col("part")).alias("part"))
+    merge.merge_partitions(spark, path, changes, ["o_orderkey"], "part")
+    return spark.read.parquet(path).withColumn("part", F.col("part").cast("string"))

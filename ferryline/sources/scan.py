@@ -29,6 +29,14 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, columns: list[str] | No
     return df.select(*columns) if columns else df
 
 
+def chunk_predicates(chunks: DataFrame, key: str, strings: bool = False) -> list[tuple[int, str]]:
+    """Number and predicate of each range chunk (chunk_id, lower, upper), a row each: filters that a file scan pushes, and
+    the `predicates` of scan_jdbc. They meet no row twice; rows without a key are in none."""
+    quoted = lambda v: "'" + str(v).replace("'", "''") + "'" if strings or not isinstance(v, int | float) else str(v)
+    rows = sorted(chunks.select("chunk_id", "lower", "upper").collect(), key=lambda r: r["chunk_id"])
+    return [(r["chunk_id"], f"{key} >= {quoted(r['lower'])} and {key} <= {quoted(r['upper'])}") for r in rows]
+
+
 def count_rows(df: DataFrame, where: str | None = None, by: list[str] | None = None) -> DataFrame:
     """n_rows of df, or of each group of `by`."""
     df = df.where(where) if where else df

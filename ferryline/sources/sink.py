@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: later jobs restart from the files."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _cut[out] = path
+    return out
+
+
+_cut: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def is_cut(df: DataFrame) -> bool:
+    return df in _cut
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all in it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of cut tables that nothing reads any more, DataFrames not yet run included."""
+    for df in tables:
+        path = _cut.pop(df, None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def resolve_mode(mode: str | None) -> str:
