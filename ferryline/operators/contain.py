@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferryline.sources.sink import cut
+from ferryline.operators.ranges import few
+from ferryline.sources.sink import cut, drop
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Characters of the keys of passages that have no whole word inside.
 GRAM = 3
+#: Keys, and pairs to test, that are broadcast to the texts; more are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def _words(text: str) -> Column:
@@ -22,15 +25,24 @@ def _grams(text: str, n: int) -> Column:
     return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if few(df, BROADCAST_ROWS) else df
+
+
 def _by_rarest(texts: DataFrame, passages: DataFrame, of_text: Column, of_passage: Column) -> DataFrame:
     """(text_id, item_id) that share the passage's rarest key: the one in the fewest texts, so that hot keys are not met.
-    The keys are counted in a first pass over the texts; a key in none is in no row of counts, as its passage is in no text."""
+    One pass over the texts keeps what they hold of the keys asked for; a key in none has no row, as its passage is in no
+    text."""
     asked = cut(passages.select("item_id", F.explode(of_passage).alias("key")), "contain-asked")
-    held = texts.select("text_id", F.explode(of_text).alias("key"))
-    counts = held.join(asked.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    each = cut(asked.select("key").distinct(), "contain-distinct")
+    held = cut(texts.select("text_id", F.explode(of_text).alias("key")).join(_few(each), "key", "left_semi"), "contain-held")
+    counts = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     ranked = asked.join(counts, "key", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k"))
     rarest = cut(ranked.where("k.n > 0").select("item_id", F.col("k.key").alias("key")), "contain-keys")
-    return held.join(rarest, "key").select("text_id", "item_id")
+    met = cut(held.join(_few(rarest), "key").select("text_id", "item_id"), "contain-met")
+    drop(asked, each, held, rarest)
+    return met
 
 
 def containing(texts: DataFrame, id_col: str, text_col: str, passages: DataFrame, item_col: str, passage_col: str) -> DataFrame:
@@ -51,5 +63,5 @@ def containing(texts: DataFrame, id_col: str, text_col: str, passages: DataFrame
     met = found[0]
     for x in found[1:]:
         met = met.unionByName(x)
-    pairs = met.join(items, "item_id").join(rows, "text_id").where(F.contains("text", F.col("passage")))
+    pairs = rows.join(_few(met), "text_id").join(items, "item_id").where(F.contains("text", F.col("passage")))
     return pairs.select(F.col("text_id").alias(id_col), F.col("item_id").alias(item_col))
