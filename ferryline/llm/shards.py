@@ -56,5 +56,7 @@ def sharded(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", t
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float], id_col: str = "doc_id") -> None:
-    """docs as Parquet in one folder per shard, whole rows; each shard in as many files as tasks hold rows of it."""
+    """docs as Parquet in one folder per shard, whole rows; each shard in as many files as tasks hold rows of it.
+
+    A column `shard` of docs gives way to the folders' number."""
     docs.withColumn("shard", rendezvous(F.col(id_col), weights)).write.partitionBy("shard").parquet(path)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ferryline.llm import lexical, prefixtrie, simhash, words
+from ferryline.llm import lexical, prefixtrie, shards, simhash, urls, words
 
 WORD, TERM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -271,3 +271,20 @@ def test_segments_join_what_follows_in_one_task():
     assert [x for s in whole.column("begun").to_pylist() for x in s] == [{"conv": 1, "place": 0, "next_conv": None, "next_place": None, "n": 6, "leaves": 2, "saved": 3}]
     part = prefixtrie._segments(batch([1, 1], [0, 1], [None, 1], [1, None], [None, 2]))
     assert [(s["place"], s["next_conv"], s["next_place"], s["n"]) for x in part.column("begun").to_pylist() for s in x] == [(0, 2, 2, 3), (1, None, None, 1)]
+
+
+# --- ties and clashes of 7 and 8
+
+
+def test_of_rules_of_one_length_the_first_listed_holds(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.c/xy"), (2, "http://b.c/xy")], "page_id long, url string")
+    rules = [urls.Rule("block", "b.c", "/xy"), urls.Rule("allow", "a.b.c", "/"), urls.Rule("allow", "b.c", "/xy")]
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judged(pages, rules, []).collect()} == {1: ("b.c/xy", "block"), 2: ("b.c/xy", "block")}
+    assert {r["page_id"]: r["verdict"] for r in urls.judged(pages, rules[::-1], []).collect()} == {1: "allow", 2: "allow"}
+
+
+def test_shards_replace_a_column_of_their_name(spark, tmp_path):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("old").alias("shard"))
+    shards.write_shards(docs, str(tmp_path / "s"), [1.0, 1.0])
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert got.count() == 40 and {r["shard"] for r in got.select("shard").distinct().collect()} == {0, 1}
