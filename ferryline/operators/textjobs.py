@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferryline.operators import lexer
+
 # Constructs of the source dialect that need work by hand, each with the phrases that show it. In a phrase
-# words are keywords, @ is any name, and other characters stand for themselves.
+# words are keywords, @ is any name, … is any run without brackets and commas, and other characters stand for themselves.
 CONSTRUCTS = {
     "CONNECT BY": ["CONNECT BY"], "outer join (+)": ["( + )"], "MERGE INTO": ["MERGE INTO"], "PACKAGE": ["PACKAGE"], "COMMIT": ["COMMIT ;", "COMMIT WORK"],
     "%TYPE": ["% TYPE", "% ROWTYPE"], "BULK COLLECT": ["BULK COLLECT"], "FORALL": ["FORALL"], "SYS_REFCURSOR": ["SYS_REFCURSOR"],
     "TYPE IS": ["TYPE @ IS TABLE", "TYPE @ IS RECORD", "TYPE @ IS VARRAY"], "cursor use": ["OPEN @ FOR", "OPEN @ ;", "FETCH @ INTO", "FETCH @ BULK", "CLOSE @ ;"],
     "SAVEPOINT": ["SAVEPOINT"], "PIPELINED": ["PIPELINED"], "UTL_FILE": ["UTL_FILE"], "DBMS_SQL": ["DBMS_SQL"], "DBMS_JOB": ["DBMS_JOB"], "DBMS_SCHEDULER": ["DBMS_SCHEDULER"],
     "DBMS_CRYPTO": ["DBMS_CRYPTO"], "ROWID": ["ROWID"], "AUTONOMOUS_TRANSACTION": ["AUTONOMOUS_TRANSACTION"], "RESULT_CACHE": ["RESULT_CACHE"], "SQL%ROWCOUNT": ["SQL % ROWCOUNT"], "ROWNUM": ["ROWNUM"],
+    "INSTR with position": ["INSTR ( … , … ,"],
 }
 # Names that have another name in the target.
 NAMES = {
@@ -25,23 +28,15 @@ NAMES = {
 PRAGMAS = ["EXCEPTION_INIT", "INLINE", "RESTRICT_REFERENCES", "SERIALLY_REUSABLE", "UDF"]
 
 
-def phrase(text: str) -> str:
-    """Regular expression of a phrase: white space between words, and perhaps around other characters."""
-    out, last = "", ""
-    for x in text.split():
-        word = x == "@" or x[0].isalnum()
-        out += ("" if not out else r"\s+" if word and last else r"\s*") + (r"\w+" if x == "@" else rf"\b{x}\b" if word else "[" + x + "]")
-        last = word
-    return out
-
-
-#: What finds each construct, blind to case.
-FLAGS = {name: "|".join(map(phrase, phrases)) for name, phrases in CONSTRUCTS.items()} | {"INSTR with position": r"\bINSTR\s*\([^(),]*,[^(),]*,"}
 #: Rewrites that need no context, in order; \1 is the first group.
 REWRITES = [
-    (r"\s+FROM\s+DUAL\b", ""), (rf"\bPRAGMA\s+({'|'.join(PRAGMAS)})\b[^;]*;", ""), (r"\bNOCOPY\s+", ""), (r"\b\w+%NOTFOUND\b", "NOT FOUND"), (r"\b\w+%FOUND\b", "FOUND"),
+    (r"\s+FROM\s+DUAL\b", ""), (rf"\bPRAGMA\s+({'|'.join(PRAGMAS)})\b[^;]*;", ""), (r"\bNOCOPY\s+", ""), (r"\bIN\s+OUT\b", "INOUT"), (r"\s+DETERMINISTIC\b", ""), (r"\s+RESULT_CACHE\b(\s+RELIES_ON\s*\([^)]*\))?", ""),
+    (r"\bAUTHID\s+CURRENT_USER\b", "SECURITY INVOKER"), (r"\bAUTHID\s+DEFINER\b", "SECURITY DEFINER"), (r"\bCURSOR\s+(\w+)\s+IS\s+SELECT\b", r"\1 CURSOR FOR SELECT"), (r"\bSQL%ROWCOUNT\b", "_row_count"),
+    (r"\b\w+%NOTFOUND\b", "NOT FOUND"), (r"\b\w+%FOUND\b", "FOUND"),
     (r"\bDATE(\s*(;|,|\)|:=|NOT\b|DEFAULT\b))", r"TIMESTAMP\1"), *((rf"\b{old}\b", new) for old, new in NAMES.items()),
 ]
+#: A sequence's next or current value.
+SEQUENCE = r"(?i)\b(?:\w+\.)+(?:NEXTVAL|CURRVAL)\b"
 
 
 def assemble(lines: DataFrame, by: list[str], line_no: str, text: str) -> DataFrame:
@@ -51,20 +46,34 @@ def assemble(lines: DataFrame, by: list[str], line_no: str, text: str) -> DataFr
 
 
 def warnings(text: Column, flags: dict[str, str] | None = None) -> Column:
-    """Array of the constructs found in a text."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(name)) for name, p in (flags or FLAGS).items()]))
+    """Array of the constructs found in a text, outside its literals and comments; or of the flags whose expression finds."""
+    if flags is None:
+        return lexer.warnings(text, CONSTRUCTS)
+    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(name)) for name, p in flags.items()]))
 
 
-def normalise(text: Column, rewrites: list[tuple[str, str]] | None = None) -> Column:
-    """The text after all rewrites, blind to case, in their order."""
-    for pattern, by in rewrites or REWRITES:
+def _rewritten(text: Column, rewrites: list[tuple[str, str]]) -> Column:
+    for pattern, by in rewrites:
         text = F.regexp_replace(text, f"(?i){pattern}", by.replace("\\1", "$1"))
     return text
 
 
+def sequence_calls(code: Column) -> Column:
+    """References to a sequence's values as calls with its name in small letters."""
+    call = lambda ref: F.concat(F.lower(F.regexp_extract(ref, r"(\w+)$", 1)), F.lit("('"), F.lower(F.regexp_extract(ref, r"^(.*)\.", 1)), F.lit("')"))
+    return lexer.pieces(code, SEQUENCE, lambda between: between, call)
+
+
+def normalise(text: Column, rewrites: list[tuple[str, str]] | None = None) -> Column:
+    """The text after all rewrites, blind to case, in their order. The library's own, and calls of sequences, leave
+    literals, quoted names and comments alone."""
+    if rewrites is not None:
+        return _rewritten(text, rewrites)
+    return lexer.pieces(text, lexer.SKIP, lambda code: sequence_calls(_rewritten(code, REWRITES)), lambda literal: literal)
+
+
 def census(df: DataFrame, kind: str, text: str, flags: dict[str, str] | None = None) -> DataFrame:
     """kind, n_texts, n_flagged and one count per construct."""
-    flags = flags or FLAGS
     found = df.select(kind, warnings(F.col(text), flags).alias("w"))
-    each = [F.count_if(F.array_contains("w", name)).alias(name) for name in flags]
+    each = [F.count_if(F.array_contains("w", name)).alias(name) for name in flags or CONSTRUCTS]
     return found.groupBy(kind).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.size("w") > 0).alias("n_flagged"), *each)

@@ -26,19 +26,34 @@ def _rewritten(sql: str, rewrites: list[tuple[str, str]]) -> str:
     return sql
 
 
-# Lines of database code, one for each text: the tables hold none.
+# Lines of database code, as the tables hold none; @ stands for a name made of the row's id.
 _CODE = [
-    "BEGIN OPEN c FOR SELECT x FROM DUAL; FETCH c INTO v; CLOSE c; END;", "v NUMBER(10) := NVL(a, 0); d DATE; PRAGMA EXCEPTION_INIT(e, -1); n PLS_INTEGER;", "SELECT SYSDATE FROM DUAL MINUS SELECT b FROM t WHERE ROWNUM < 5",
-    "EXCEPTION WHEN DUP_VAL_ON_INDEX THEN NULL; WHEN ZERO_DIVIDE THEN RAISE; COMMIT;", "open door; fetch the ball; TYPE t IS TABLE OF emp%ROWTYPE; PRAGMA AUTONOMOUS_TRANSACTION;",
-    "PROCEDURE p(a IN OUT NOCOPY CLOB, b VARCHAR2(9)) IS BEGIN EXIT WHEN c%NOTFOUND; END;", "SELECT a.x FROM a, b WHERE a.id = b.id (+) AND INSTR(s, ';', 2) > 0 CONNECT  BY PRIOR id = up", "x := dbms_sql.open_cursor; MERGE\nINTO t; n := SQL%ROWCOUNT;",
+    "BEGIN OPEN @ FOR SELECT x FROM DUAL; FETCH @ INTO v; CLOSE @; END;", "@ NUMBER(10) := NVL(a, 0); d DATE; PRAGMA EXCEPTION_INIT(e, -1); n PLS_INTEGER;", "SELECT SYSDATE FROM DUAL MINUS SELECT @ FROM t WHERE ROWNUM < 5",
+    "EXCEPTION WHEN DUP_VAL_ON_INDEX THEN NULL; WHEN ZERO_DIVIDE THEN @ := 'COMMIT;'; COMMIT;", "open door; fetch the ball; TYPE @ IS TABLE OF emp%ROWTYPE; PRAGMA AUTONOMOUS_TRANSACTION;",
+    "PROCEDURE @(a IN OUT NOCOPY CLOB, b VARCHAR2(9)) AUTHID CURRENT_USER IS BEGIN EXIT WHEN @%NOTFOUND; END;", "SELECT a.x FROM a, b WHERE a.id = b.id (+) AND INSTR(@, ';', 2) > 0 CONNECT  BY PRIOR id = up", "x := dbms_sql.open_cursor; MERGE\nINTO @; n := SQL%ROWCOUNT;",
+    "FUNCTION @ RETURN NUMBER DETERMINISTIC RESULT_CACHE RELIES_ON (t) IS CURSOR c IS SELECT 1 FROM DUAL;", "INSERT INTO t VALUES (Seq_@.NEXTVAL, App.Seq_@.currval, 'Seq.NEXTVAL'); SELECT \"ROWID\" FROM @ -- ROWNUM\n;", "SELECT INSTR(a, f(b), 3), INSTR(a, ',', b) BULK COLLECT INTO @ FROM t; FORALL i IN 1..n NULL;",
 ]
-_CODE_SQL = "case page_id % 8 " + " ".join(f"when {i} then '" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(_CODE)) + " end || ' ' || coalesce(html, '')"
+_FIRST, _SECOND, _WAY = f"page_id % {len(_CODE)}", f"(page_id * 7 + 3) % {len(_CODE) + 2} % {len(_CODE)}", "page_id % 13 % 4"
+
+
+def _line_sql(at: str) -> str:
+    literals = ("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in _CODE)
+    return f"replace(case {at} " + " ".join(f"when {i} then {x}" for i, x in enumerate(literals)) + " end, '@', 'n' || page_id)"
+
+
+_CODE_SQL = f"""{_line_sql(_FIRST)} || case {_WAY} when 0 then ' ' || {_line_sql(_SECOND)} when 1 then ' /* ' || {_line_sql(_SECOND)} || ' */ '
+  when 2 then ' x := ''' || replace({_line_sql(_SECOND)}, '''', '''''') || '''; ' else ' -- ' || replace({_line_sql(_SECOND)}, chr(10), ' ') || chr(10) end || coalesce(html, '')"""
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    """Each page's source behind a line of code."""
-    line = F.element_at(F.array(*map(F.lit, _CODE)), (F.col("page_id") % 8 + 1).cast("int"))
-    return table(spark, d, "pages").select("page_id", F.concat(line, F.lit(" "), F.coalesce("html", F.lit(""))).alias("text"))
+    """Each page's source behind two lines of code, of which the second may stand in a comment or a literal."""
+    name = F.concat(F.lit("n"), F.col("page_id").cast("string"))
+    line = lambda at: F.replace(F.element_at(F.array(*map(F.lit, _CODE)), F.expr(f"int({at}) + 1")), F.lit("@"), name)
+    second, way = line(_SECOND), F.expr(_WAY)
+    comment, literal = F.concat(F.lit(" /* "), second, F.lit(" */ ")), F.concat(F.lit(" x := '"), F.replace(second, F.lit("'"), F.lit("''")), F.lit("'; "))
+    to_end = F.concat(F.lit(" -- "), F.replace(second, F.lit("\n"), F.lit(" ")), F.lit("\n"))
+    rest = F.when(way == 0, F.concat(F.lit(" "), second)).when(way == 1, comment).when(way == 2, literal).otherwise(to_end)
+    return table(spark, d, "pages").select("page_id", F.concat(line(_FIRST), rest, F.coalesce("html", F.lit(""))).alias("text"))
 
 
 _FOUND = ", ".join(f"case when {_flag(p)} then '{n}' end" for n, p in _FLAGS.items())
@@ -54,16 +69,41 @@ def text_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", textjobs.warnings(F.col("text"), _FLAGS).alias("warnings"))
 
 
-_SOURCE_FLAGS = ", ".join("case when regexp_matches(text, '(?i)" + p + f"') then '{n}' end" for n, p in textjobs.FLAGS.items())
+# The SQL finds literals, quoted names and comments by one expression and each construct by another, one pass each.
+_SKIP_SQL = r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)|--[^\n]*|/\*(?s:.*?)(?:\*/|\z)""".replace("'", "''")
+_SOURCE_SQL = f"(select page_id, regexp_replace(t, '{_SKIP_SQL}', ' ', 'g') as text from (select page_id, {_CODE_SQL} as t from pages))"
+
+
+def _phrase_sql(phrase: str) -> str:
+    """A phrase as an expression: words part by white space, marks stand anywhere."""
+    return r"\s*".join({"@": r"\b\w+\b", "…": "[^(),]*"}.get(x, rf"\b{x}\b" if x[0].isalnum() else f"[{x}]") for x in phrase.split())
+
+
+_SOURCE_FOUND = {n: "regexp_matches(text, '(?i)" + "|".join(map(_phrase_sql, ps)) + "')" for n, ps in textjobs.CONSTRUCTS.items()}
+_SOURCE_FLAGS = ", ".join(f"case when {x} then '{n}' end" for n, x in _SOURCE_FOUND.items())
+
+
+def _pieces_sql(sql: str, pattern: str) -> str:
+    """SQL for the list of what lies between the finds of a pattern, and the finds, as structs of x and y."""
+    return f"list_transform(list_zip(regexp_split_to_array({sql}, '{pattern}'), regexp_extract_all({sql}, '{pattern}')), lambda z: {{'x': z[1], 'y': z[2]}})"
+
+
+_CALL_SQL = r"lower(regexp_extract(y, '(\w+)$', 1)) || '(''' || lower(regexp_extract(y, '^(.*)\.', 1)) || ''')'"
 
 
-@query("text_flags_source", f"select page_id, list_filter([{_SOURCE_FLAGS}], lambda x: x is not null) as warnings from (select page_id, {_CODE_SQL} as text from pages)")
+@query("text_flags_source", f"select page_id, list_filter([{_SOURCE_FLAGS}], lambda x: x is not null) as warnings from {_SOURCE_SQL}")
 def text_flags_source(spark: SparkSession, d: str) -> DataFrame:
     """The constructs of database code."""
     return _code(spark, d).select("page_id", textjobs.warnings(F.col("text")).alias("warnings"))
 
 
-@query("text_normalise_source", f"select page_id, {_rewritten('text', textjobs.REWRITES)} as text from (select page_id, {_CODE_SQL} as text from pages)")
+@query("text_normalise_source", f"""
+with t as (select page_id, {_CODE_SQL} as text from pages),
+p as (select page_id, unnest({_pieces_sql("text", _SKIP_SQL)}) as z, generate_subscripts(regexp_split_to_array(text, '{_SKIP_SQL}'), 1) as i from t),
+r as (select page_id, i, z.y as literal, {_rewritten("z.x", textjobs.REWRITES)} as x from p),
+q as (select page_id, i, literal, unnest({_pieces_sql("x", textjobs.SEQUENCE)}) as z, generate_subscripts(regexp_split_to_array(x, '{textjobs.SEQUENCE}'), 1) as j from r),
+s as (select page_id, i, any_value(literal) as literal, string_agg(z.x || coalesce({_CALL_SQL.replace("(y,", "(z.y,")}, ''), '' order by j) as x from q group by 1, 2)
+select page_id, string_agg(x || coalesce(literal, ''), '' order by i) as text from s group by 1""")
 def text_normalise_source(spark: SparkSession, d: str) -> DataFrame:
     return _code(spark, d).select("page_id", textjobs.normalise(F.col("text")).alias("text"))
 
@@ -78,11 +118,11 @@ def text_census(spark: SparkSession, d: str) -> DataFrame:
     return textjobs.census(table(spark, d, "documents"), "lang", "text", _FLAGS)
 
 
-_SOURCE_ANY = " or ".join(f"regexp_matches(text, '(?i){p}')" for p in textjobs.FLAGS.values())
-_SOURCE_EACH = ", ".join(f"count(*) filter (regexp_matches(text, '(?i){p}')) as \"{n}\"" for n, p in textjobs.FLAGS.items())
+_SOURCE_EACH = ", ".join(f"count(*) filter ({x}) as \"{n}\"" for n, x in _SOURCE_FOUND.items())
+_SOURCE_ANY = " or ".join(_SOURCE_FOUND.values())
 
 
-@query("text_census_source", f"select cast(page_id % 4 as varchar) as kind, count(*) as n_texts, count(*) filter ({_SOURCE_ANY}) as n_flagged, {_SOURCE_EACH} from (select page_id, {_CODE_SQL} as text from pages) group by 1")
+@query("text_census_source", f"select cast(page_id % 4 as varchar) as kind, count(*) as n_texts, count(*) filter ({_SOURCE_ANY}) as n_flagged, {_SOURCE_EACH} from {_SOURCE_SQL} group by 1")
 def text_census_source(spark: SparkSession, d: str) -> DataFrame:
     """The constructs of database code per kind of object."""
     return textjobs.census(_code(spark, d).withColumn("kind", (F.col("page_id") % 4).cast("string")), "kind", "text")

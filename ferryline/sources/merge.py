@@ -47,7 +47,7 @@ def merge_partitions(spark: SparkSession, path: str, changes: DataFrame, keys: l
     own = target.where(F.col(part).isin([t for t in touched if t is not None]) | (F.col(part).isNull() if None in touched else F.lit(False)))
     merged = cut(upsert(own, asked.withColumn(part, F.col(part).cast(kind)), keys), "merged")
     left = {r[0] for r in merged.select(part).distinct().collect()}
-    merged.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    merged.hint("rebalance", F.col(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
     for r in held:
         if r[0] not in left:
             remove(spark, r[1])

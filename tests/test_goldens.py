@@ -478,7 +478,8 @@ def test_rewrites_of_code(spark):
     cases = {
         "select sysdate from dual": "select CURRENT_DATE", "a minus b": "a EXCEPT b", "x number(9,2), y pls_integer, z binary_integer": "x NUMERIC(9,2), y INTEGER, z INTEGER", "b blob, c nclob, v nvarchar2(5)": "b BYTEA, c TEXT, v VARCHAR(5)",
         "d date; e date := x; f date not null": "d TIMESTAMP; e TIMESTAMP := x; f TIMESTAMP not null", "to_date(a) date '2020-01-01'": "to_date(a) date '2020-01-01'", "pragma exception_init(e, -20);": "", "pragma autonomous_transaction;": "pragma autonomous_transaction;",
-        "exit when c%notfound or d%found": "exit when NOT FOUND or FOUND", "p(a in out nocopy t)": "p(a in out t)", "when login_denied or invalid_cursor or value_error": "when insufficient_privilege or invalid_cursor_state or data_exception",
+        "exit when c%notfound or d%found": "exit when NOT FOUND or FOUND", "p(a in out nocopy t)": "p(a INOUT t)", "x := 'sysdate from dual' || sysdate -- minus\nminus /* number": "x := 'sysdate from dual' || CURRENT_DATE -- minus\nEXCEPT /* number", "a.Sq.nextval + t.x": "nextval('a.sq') + t.x", "": "", None: None,
+        "f return number deterministic is": "f return NUMERIC is", "p authid definer as n := sql%rowcount; cursor c is select 1": "p SECURITY DEFINER as n := _row_count; c CURSOR FOR SELECT 1", "q'[it's from dual]' from dual": "q'[it's from dual]'", "when login_denied or invalid_cursor or value_error": "when insufficient_privilege or invalid_cursor_state or data_exception",
         "when invalid_number or cursor_already_open or too_many_rows": "when invalid_text_representation or duplicate_cursor or too_many_rows", "my_number dates": "my_number dates",
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")
