@@ -144,7 +144,7 @@ d as (select doc_id, j, -ln((cast(cast('0x' || substr(md5(doc_id || ':' || j), 1
       from documents, (select unnest(range(9)) as j)),
 p as (select doc_id, cast(arg_min(j, d) filter (where j < 8) as integer) as shard, cast(arg_min(j, d) as integer) as grown_shard from d group by doc_id)
 select doc_id, cast(size as bigint) as size, cast(crc as bigint) as text_crc32, 'key' as law, shard,
-       row_number() over (partition by shard order by substr(md5(doc_id || ':slot'), 1, 3), doc_id, crc, size) - 1 as slot, grown_shard
+       row_number() over (partition by shard order by substr(md5(doc_id || ':slot:' || crc), 1, 3), doc_id, crc, size) - 1 as slot, grown_shard
 from crc join p using (doc_id)
 """
 

@@ -160,7 +160,8 @@ class Encoder:
             raise ValueError("an added token begins with a letter or holds a space")
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = WhitespaceSplit()
-        self.words.model._resize_cache(0)  # the memory below is larger
+        if hasattr(self.words.model, "_resize_cache"):  # not in all versions; the memory below is larger
+            self.words.model._resize_cache(0)
         self.alphabet = _alphabet()
         self.memory, self.tails = Memory(), {}
 
@@ -259,10 +260,12 @@ def _encode(path: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
-    """Write doc_id, n_tokens, ids, part and pos (place in the part) in ascending id order; parts follow each other."""
+    """Write doc_id, n_tokens, ids, part and pos (place in the part) in ascending id order; parts follow each other.
+
+    Rows of one id stay in the order of their places in the input, which deal them to parts, however many they are."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
+    dealt = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     coded = dealt.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n_tokens long, ids array<int>")
     part = F.spark_partition_id()
     pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

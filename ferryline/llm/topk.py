@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from ferryline.llm.shared import bounded_batches, cut
 
 SAMPLE, PIVOTS, MOST_PIVOTS, OUTPOSTS = 4096, 64, 1024, 64
+#: The longest vector; all rows are padded to the longest one, and the sample on the driver too (512 MB at most).
+MOST_DIMS = 16_384
 #: Components of a block of rows; a pack of queries has half as many rows.
 BLOCK_VALUES = 1 << 15
 GROUP_BLOCKS = 16
@@ -249,6 +251,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims"), F.max(squares).alias("longest"), F.max(F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0))).alias("largest")).first()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
     dims = int(size["dims"] or 1)
+    if dims > MOST_DIMS:
+        raise ValueError(f"a vector has {dims} components, more than {MOST_DIMS}")
     values = np.zeros((sample.num_rows, dims), dtype=np.int64)
     for i, x in enumerate(sample["v"].to_pylist()):
         values[i, : len(x)] = x

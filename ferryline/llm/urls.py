@@ -30,8 +30,16 @@ from pyspark.sql import functions as F
 from ferryline.llm.shared import bounded_batches
 
 SPLIT = b"\xff"
+#: Words of hosts and paths that a crawl for text leaves out, folders of advertising, and types of files that hold no text.
+BLOCK_WORDS = "adserver adult bets betting casinos clickbait doorway freebies gambling lottery malware payday phishing poker popunder slots torrents trackers viagra warez".split()
+BLOCK_FOLDERS = "adclick adframe adimages admanager adsense adserv adview banners clicktrack doubleclick impressions popads popups sponsored trackback xads".split()
+BLOCK_TYPES = "7z apk bat bin cab deb dll dmg iso jar msi pkg rar rpm scr tar tgz xz".split()
 #: Host and path globs of the method; `*` is any run of bytes, `?` any one byte, `\\` quotes.
-BLOCK_GLOBS = [("*spam-*", "*"), ("*casino*", "*"), ("*porn*", "*"), ("ads.*", "*"), ("*", "*/ads/*"), ("*", "*/cgi-bin/*"), ("*", "*.exe"), ("*", "*.zip")]
+BLOCK_GLOBS = [
+    ("*spam-*", "*"), ("*casino*", "*"), ("*porn*", "*"), ("ads.*", "*"), ("*", "*/ads/*"), ("*", "*/cgi-bin/*"), ("*", "*.exe"), ("*", "*.zip"),
+    *((form.replace("W", w), "*") for w in BLOCK_WORDS for form in ("W.*", "*.W.*", "W-*", "*.W-*", "*-W.*", "*-W-*", "*.W")),
+    *(("*", f"*/{w}{end}*") for w in BLOCK_WORDS for end in "/-"), *(("*", f"*/{w}/*") for w in BLOCK_FOLDERS), *(("*", f"*.{w}") for w in BLOCK_TYPES),
+]
 #: Words of automaton state of one batch, and the most globs that globs_of() reads.
 STATE_WORDS, MOST_GLOBS = 1 << 20, 1 << 16
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ferryline.llm import lexical, prefixtrie, shards, simhash, urls, words
+from ferryline.llm.shared import tokenizer_path
 
 WORD, TERM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -288,3 +289,35 @@ def test_shards_replace_a_column_of_their_name(spark, tmp_path):
     shards.write_shards(docs, str(tmp_path / "s"), [1.0, 1.0])
     got = spark.read.parquet(str(tmp_path / "s"))
     assert got.count() == 40 and {r["shard"] for r in got.select("shard").distinct().collect()} == {0, 1}
+
+
+def test_copies_and_null_ids_are_many_tasks_work(spark, tmp_path, monkeypatch):
+    """Slots and token files where one key, and one text of it, hold most rows."""
+    from ferryline.llm import tokenfiles, topk
+
+    monkeypatch.setattr(shards, "RUN", 7)
+    text = F.when(F.col("id") < 1000, "copy").otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+    docs = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") >= 2500, F.col("id")).alias("doc_id"), text.alias("text"))
+    rows = shards.sharded(docs, [1.0] * 8)
+    got = rows.collect()
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in got) == sorted(
+        ((r["doc_id"] if r["doc_id"] is not None else -1), len(r["text"]) + 1, zlib.crc32(r["text"].encode())) for r in docs.collect()
+    )
+    for shard in {r["shard"] for r in got}:
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    tokenfiles.write_tokens(docs, str(tmp_path / "t"), tokenizer_path("byte_bpe_50k.json"))
+    parts = [r["count"] for r in spark.read.parquet(str(tmp_path / "t")).where("doc_id is null").groupBy("part").count().collect()]
+    assert sum(parts) == 2500 and (len(parts) == 1 or max(parts) < 1500)
+    with pytest.raises(ValueError, match="components"):
+        topk.top_k(spark.createDataFrame([(0, [0.0] * (topk.MOST_DIMS + 1))], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
+def test_the_globs_of_the_method_are_hundreds():
+    blocked = ["x-poker.org/", "poker.x.org/", "x.poker/", "a-poker-b.org/", "x.org/a/poker/b", "x.org/poker-1", "x.org/adview/1", "x.org/f.rpm"]
+    passed = ["pokers.org/", "x.org/pokers/", "spoker.x.org/", "x.org/adviews/", "x.org/rpm", "www.example.com/en/1.html"]
+    texts = [u.split("/", 1)[0].encode() + urls.SPLIT + b"/" + u.split("/", 1)[1].encode() for u in blocked + passed]
+    globs = urls.Globs([h.encode() + urls.SPLIT + p.encode() for h, p in urls.BLOCK_GLOBS])
+    hit = globs.matches(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])).any(axis=1)
+    assert hit.tolist() == [True] * len(blocked) + [False] * len(passed)
+    assert len(set(urls.BLOCK_GLOBS)) == len(urls.BLOCK_GLOBS) > 200
