@@ -15,6 +15,7 @@ from ferryline.sources import sink
 from ferryline.spec import SourceColumn, TableSpec, UnsupportedType, spark_schema, spark_type
 from ferryline.streaming import progress as P
 
+# Number types by precision and scale, and named types, with the types they must become.
 NUMBERS = [
     (3, 0, T.ShortType()), (4, 0, T.ShortType()), (9, 0, T.IntegerType()), (10, 0, T.LongType()), (18, 0, T.LongType()), (19, 0, T.DecimalType(19, 0)), (38, 0, T.DecimalType(38, 0)),
     (15, 2, T.DecimalType(15, 2)), (20, 5, T.DecimalType(20, 5)), (None, None, T.DecimalType(38, 10)), (5, -2, T.DecimalType(7, 0)), (2, 5, T.DecimalType(5, 5)),
