@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_noted = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +37,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    if getattr(_noted, "paths", None) is not None:
+        _noted.paths.append(path)
     return out
 
 
@@ -41,8 +47,30 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = _paths.pop(df, None)
         if path:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Paths of the tables that cut() writes in this thread meanwhile."""
+    outer, _noted.paths = getattr(_noted, "paths", None), []
+    try:
+        yield _noted.paths
+    finally:
+        _noted.paths = outer
+
+
+def drop_unread(paths: list[str], reader: DataFrame) -> None:
+    """Remove tables whose only reader left is `reader`, except those that it does read. Paths already gone are no error."""
+    read = {f.rsplit("/", 2)[-2] for f in reader.inputFiles()} if paths else set()
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in read:
+            _delete(reader.sparkSession, path)
 
 
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
