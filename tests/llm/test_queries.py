@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_operators import brute_classes, brute_passages, brute_quality, split
 
 import corpus_pipeline
+from ferryline.llm import shared
 from ferryline.llm.queries import ORACLES, QUERIES
 from ferryline.llm.shared import cut
 
@@ -73,6 +74,23 @@ def test_stages_by_brute_force(spark, sf_dir):
     assert sorted((r["doc_id"], r["round_trip"]) for r in out.collect()) == sorted((i, True) for i, _ in want)
 
 
+def test_stages_leave_no_tables(spark, sf_dir, tmp_path, monkeypatch):
+    """A stage removes what the one before left, but nothing that its docs read; run() leaves its result alone."""
+    folder = tmp_path / "stages"
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(folder))
+    tables = lambda: [p.name.split("-")[0] for p in (folder / "ferryline").iterdir()]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lazy = corpus_pipeline.good(spark, docs, sf_dir)
+    assert corpus_pipeline.once(spark, lazy, sf_dir).count() <= lazy.count() and tables().count("quality") == 1
+    corpus_pipeline.good(spark, docs, sf_dir).write.parquet(str(tmp_path / "good"))
+    assert tables().count("quality") == 2
+    corpus_pipeline.once(spark, spark.read.parquet(str(tmp_path / "good")), sf_dir)
+    assert tables().count("quality") == 1 and lazy.count() == spark.read.parquet(str(tmp_path / "good")).count()
+    folder = tmp_path / "run"
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert tables() == ["stage4"] and out.count() > 0
+
+
 def test_pipeline_of_odd_tables(spark, odd, prose, make, tmp_path):
     more = make([(100 + i, f"the of and to in a is that {prose(100, 500 + i)} it for on", "en", None if i % 2 else "s") for i in range(12)])
     rows = odd.unionByName(more).select("doc_id", "text", "lang", "source", "n_chars", F.col("label").alias("_id"), F.lit(1).alias("text_md5"), F.lit("x").alias("_starts"))
