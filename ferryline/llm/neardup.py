@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryline.llm import words
-from ferryline.llm.shared import cut, drop, fresh_names, keyed
+from ferryline.llm.shared import cut, cut_counting, drop, fresh_names, keyed
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -239,9 +239,10 @@ def roots(parents: DataFrame) -> DataFrame:
     labels = parents.select(F.col("b").alias("node"), F.col("a").alias("label"))
     while True:
         old, jump = labels, labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        labels = cut(labels.select("node", "label").join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "roots")
+        step = labels.select("node", "label").join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved"))
+        labels, moved = cut_counting(step, "roots", "moved")
         drop(old)
-        if labels.where("moved").isEmpty():
+        if not moved:
             return labels.select("node", "label")
 
 
@@ -253,24 +254,24 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("mid"))
         old, jump = labels, labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        labels = cut(step.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), "labels")
+        labels, moved = cut_counting(step.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("label"), "old"), "labels", "label <> old")
         drop(old)
-        if labels.where("label <> old").isEmpty():
+        if not moved:
             drop(both)
             return labels.select("node", "label")
 
 
-def _at_roots(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges between different labels; a node without a label is its own."""
+def _at_roots(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """Edges between different labels, and whether there are any; a node without a label is its own."""
     one = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a", "left").select("b", F.coalesce("x", "a").alias("a"))
     both = one.join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b", "left").select("a", F.coalesce("y", "b").alias("b"))
-    return cut(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "between")
+    return cut_counting(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "between")
 
 
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, label) after edges have tied some labels together."""
-    between = _at_roots(edges, labels)
-    if between.isEmpty():
+    between, found = _at_roots(edges, labels)
+    if not found:
         return labels
     tied = components(between)
     own = labels.join(tied.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
@@ -303,8 +304,8 @@ def _rest(star: DataFrame, comp: DataFrame, elements: DataFrame, threshold: floa
     cluster = cluster.unionByName(cluster.select(F.col("cluster").alias("node"), "cluster")).distinct()
     nodes = cut(cluster.join(comp, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("comp")), "nodes")
     by_comp = nodes.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
-    split = cut(by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "main"), "split")
-    if split.isEmpty():
+    split, n_split = cut_counting(by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster", "main"), "split")
+    if not n_split:
         return None
     some = nodes.join(split, "cluster").join(elements, "node")
     pivot = elements.select(F.col("node").alias("cluster"), F.col("elements").alias("pivot_elements"))
@@ -329,15 +330,15 @@ def _rest(star: DataFrame, comp: DataFrame, elements: DataFrame, threshold: floa
     right = dealt.groupBy("cluster", "block").agg(F.collect_list(item).alias("right"))
     outer = dealt.where("comp <> main").groupBy("cluster", "blocks", "block").agg(F.collect_list(item).alias("left"))
     left = outer.select("cluster", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    links = cut(left.join(right, ["cluster", "block"]).select("left", "right").mapInArrow(_compare(threshold), "a long, b long"), "more-links")
+    links, n_links = cut_counting(left.join(right, ["cluster", "block"]).select("left", "right").mapInArrow(_compare(threshold), "a long, b long"), "more-links")
     drop(sized, count)
-    return links
+    return links if n_links else None
 
 
 def _numbered(texts: DataFrame) -> DataFrame:
     """texts (text_md5, first) with `node`: `first` for the least text of that id, else a hashed number of its own."""
-    owners = cut(texts.groupBy("first").agg(F.min("text_md5").alias("text_md5"), F.count(F.lit(1)).alias("n")), "owners")
-    if owners.where("n > 1").isEmpty():
+    owners, shared = cut_counting(texts.groupBy("first").agg(F.min("text_md5").alias("text_md5"), F.count(F.lit(1)).alias("n")), "owners", "n > 1")
+    if not shared:
         drop(owners)
         return texts.withColumn("node", F.col("first"))
     others, salt = texts.join(owners, ["first", "text_md5"], "left_anti"), 0
@@ -352,8 +353,8 @@ def _numbered(texts: DataFrame) -> DataFrame:
 
 def _ties(usable: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(a, b): nodes of one id."""
-    several = cut(usable.groupBy("doc_id").agg(F.min("text_md5").alias("x"), F.max("text_md5").alias("y")).where("x < y").select("doc_id"), "several")
-    if several.isEmpty():
+    several, n_several = cut_counting(usable.groupBy("doc_id").agg(F.min("text_md5").alias("x"), F.max("text_md5").alias("y")).where("x < y").select("doc_id"), "several")
+    if not n_several:
         return None
     each = cut(usable.select("doc_id", "text_md5").join(several, "doc_id").join(nodes, "text_md5").select("doc_id", "node").distinct(), "tied")
     least = each.groupBy("doc_id").agg(F.min("node").alias("a"))
@@ -370,9 +371,9 @@ def _links_of(rows: DataFrame, usable: DataFrame, nodes: DataFrame, threshold: f
     ranked = inside.select("b", "band").join(central, "b").select("band", "b", F.struct("s", (-F.col("b")).alias("z")).alias("rank"))
     pivots = cut(ranked.groupBy("band").agg(F.max("rank").alias("top")), "pivots")
     best = F.max("top")
-    star = cut(inside.select("b", "band").join(pivots, "band").groupBy("b").agg(best.alias("top"), F.collect_set(-F.col("top.z")).alias("pivots")).select("b", (-F.col("top.z")).alias("a"), "pivots").where("a <> b"), "star")
+    star, n_star = cut_counting(inside.select("b", "band").join(pivots, "band").groupBy("b").agg(best.alias("top"), F.collect_set(-F.col("top.z")).alias("pivots")).select("b", (-F.col("top.z")).alias("a"), "pivots").where("a <> b"), "star")
     drop(buckets, inside, pivots)
-    if star.isEmpty():
+    if not n_star:
         return None
     members = central.select(F.col("b").alias("node")).join(nodes, "node").withColumnRenamed("first", "doc_id")
     texts = rows.join(members, ["doc_id", "text_md5"]).dropDuplicates(["node"]).select("node", "text")
@@ -380,7 +381,7 @@ def _links_of(rows: DataFrame, usable: DataFrame, nodes: DataFrame, threshold: f
     drop(central)
     found = roots(cut(_links(star.select("a", "b"), elements, threshold), "links"))
     more = _rest(star, found, elements, threshold)
-    if more is not None and not more.isEmpty():
+    if more is not None:
         found = _joined(found, more)
     drop(star, elements)
     return found

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_counting(df: DataFrame, name: str, which: str = "true") -> tuple[DataFrame, int]:
+    """cut(df), and how many of its rows hold `which`: counted while they are written, by no job of its own. A task that
+    runs again may count twice, so only zero is exact."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.when(F.expr(which), F.lit(1))).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove the files of cut tables that nothing reads any more, DataFrames not yet run included."""
     for df in tables:
