@@ -74,7 +74,8 @@ _orders("to_date_sssss", lambda: O.to_date(F.concat(F.date_format(_D, "MMM-d-yyy
 _orders("to_char_sssss", lambda: O.to_char_date(c(_D) + O.num_to_ds(c("o_orderkey") % 86_400, "SECOND"), 'SSSSS "s of" DDD'), f"lpad(cast(o_orderkey % 86400 as varchar), 5, '0') || ' s of ' || strftime({_D}, '%j')")
 _orders("to_number", lambda: O.to_number(F.substring("o_orderpriority", 1, 1)), "try_cast(substr(o_orderpriority, 1, 1) as decimal(38, 10))")
 _orders("to_char_number", lambda: O.to_char_number(F.round("o_totalprice", 2), "FM999,999,990.00"), "format('{:,.2f}', round(o_totalprice, 2))")
-_part("to_char_scale", lambda: O.to_char_number(c("p_partkey") / 10_000, "FM0.0000"), "printf('%.4f', p_partkey / 10000)")
+#: Fifteen whole digits hold a ten-thousandth of any long key.
+_part("to_char_scale", lambda: O.to_char_number(c("p_partkey") / 10_000, "FM999999999999990.0000"), "printf('%.4f', p_partkey / 10000)")
 _part("to_char_padded", lambda: O.to_char_number(c("p_partkey") - 100, "9,990MI"), "lpad(format('{:,}', abs(p_partkey - 100)), 5, ' ') || case when p_partkey < 100 then '-' else ' ' end")
 _orders("instr", lambda: O.instr(c("o_orderpriority"), "-"), "cast(position('-' in o_orderpriority) as integer)")
 _pages("instr_from", lambda: O.instr_from(c("url"), "/", 3, 2), "cast(case when len(string_split(substr(url, 3), '/')) > 2 then len(array_to_string(string_split(substr(url, 3), '/')[:2], '/')) + 3 else 0 end as integer)")

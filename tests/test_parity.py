@@ -1,5 +1,7 @@
 """Every registered query of the library against DuckDB on the same tables."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from parity import connect, duck_rows, spark_rows
 
@@ -20,6 +22,19 @@ def test_query(spark, sf_dir, con, name):
         assert got[0]
 
 
+#: Rows that the small tables lack.
+FURTHER = {
+    "f_to_char_scale": ("part", {"p_partkey": [0, 1, 99_999, 100_000, 1_199_999, 10**9 + 7, 10**15 + 1, -250_000, None]}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FURTHER))
+def test_query_on_further_rows(spark, tmp_path, name):
+    tab, columns = FURTHER[name]
+    pq.write_table(pa.table(columns), tmp_path / f"{tab}.parquet")
+    assert spark_rows(QUERIES[name](spark, str(tmp_path))) == duck_rows(connect(tmp_path), ORACLES[name])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
