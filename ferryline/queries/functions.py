@@ -121,8 +121,10 @@ def x_format_reading(spark: SparkSession, d: str) -> DataFrame:
 
 
 def format_reading(value: Column, unit: str = "kWh") -> Column:
-    """A reading with its unit, in units, thousands (K) or millions (M)."""
-    show = lambda x: O.to_char_number(x, "FM999,999,990.00")
+    """A reading with its unit, in units, thousands (K) or millions (M), to two places: a decimal half away from zero, as NUMBER
+    is; a double from the value it holds, ties to even, as SQL shows doubles (1.835 is held as less, so it is 1.83)."""
+    exact = lambda x: F.when(F.typeof(x).isin("double", "float"), x).otherwise(F.round(x, 2))
+    show = lambda x: F.replace(F.lower(F.format_number(exact(x), 2)), F.lit("∞"), F.lit("inf"))
     large = F.when(value >= 1_000_000, F.concat(show(value / 1_000_000), F.lit(f" M{unit}"))).when(value >= 1000, F.concat(show(value / 1000), F.lit(f" K{unit}")))
     return F.when(value.isNull(), "N/A").otherwise(large.otherwise(F.concat(show(value), F.lit(f" {unit}"))))
 

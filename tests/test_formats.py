@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ferryline.functions import formats
 from ferryline.functions import oracle as O
+from ferryline.queries.functions import format_reading
 
 
 @pytest.fixture
@@ -117,6 +118,12 @@ def test_number_pictures(spark):
         O.to_char_number(F.lit(1), "XX")
 
 
+def test_readings(get):
+    values = [Decimal("1835000"), Decimal("-1.125"), 1_835_000.0, 1_125_000.0, 1_135_000.0, 999.995]
+    assert get(*[format_reading(F.lit(v)) for v in values]) == ("1.84 MkWh", "-1.13 kWh", "1.83 MkWh", "1.12 MkWh", "1.14 MkWh", "1,000.00 kWh")
+    assert get(format_reading(F.lit(None).cast("double")), format_reading(F.lit(2500).cast("int"), "W")) == ("N/A", "2.50 KW")
+
+
 def test_parts_of_days(get):
     t = F.lit("2024-01-31 18:00:00").cast("timestamp_ntz")
     assert get(O.plus_days(t, 0.5), O.plus_days(t, -1), O.add_months(t, 1), O.last_day(F.lit("2024-02-03 01:02:03").cast("timestamp_ntz")), O.date_diff(t, F.lit("2024-01-31 06:00:00").cast("timestamp_ntz"))) == (

@@ -25,6 +25,8 @@ def test_query(spark, sf_dir, con, name):
 #: Rows that the small tables lack.
 FURTHER = {
     "f_to_char_scale": ("part", {"p_partkey": [0, 1, 99_999, 100_000, 1_199_999, 10**9 + 7, 10**15 + 1, -250_000, None]}),
+    # Quotients beside and on the middle between two texts, more digits than the tables have, and values that are no numbers.
+    "x_format_reading": ("events", {"event_id": [16_532, 19_013, 20_048, 1, 1, 1, 2, 4, 5, 11, 12, 3, 1, 2, 4, None], "value": [91.75, 101.5, 173.75, 1125.0, 1135.0, 0.13, -1e9, 1e9, 560.21, 7.0, -7.0, -7.0, float("nan"), float("inf"), float("-inf"), 5.0]}),
 }
 
 
